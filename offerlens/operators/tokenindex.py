@@ -1,0 +1,56 @@
+"""Shared-token candidate search that never pairs up a whole group.
+
+Two token sets can only be similar if they share a token, so both sides are joined on
+(block, token).  A token found in more than ``hot_df`` indexed sets of a block is *hot*:
+joining on it would pair a large part of the block with itself.  Hot tokens are therefore
+kept out of that join, and pairs that share nothing but hot tokens are found through
+*subsets*: each set emits the non-empty subsets of its own hot tokens, and sets that agree
+on a subset meet there grouped by shape (their sizes) instead of row by row.  Nothing is
+dropped: every pair that shares a token meets either on a rare token or on the subset that
+equals its shared hot tokens.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_DF = 2000
+
+
+def hot_tokens(indexed: DataFrame, token_array: str, key: str, hot_df: int = HOT_DF) -> DataFrame:
+    """(blk, tok) pairs found in more than ``hot_df`` sets of the indexed side.
+
+    Counting ``key`` keeps it in the plan, so this branch has the same columns as the index
+    itself and Spark reuses that shuffle instead of repeating it.
+    """
+    return (
+        indexed.select("blk", key, F.explode(token_array).alias("tok"))
+        .groupBy("blk", "tok")
+        .agg(F.count(key).alias("n"))
+        .filter(F.col("n") > hot_df)
+        .select("blk", "tok")
+    )
+
+
+def split_tokens(sets: DataFrame, token_array: str, hot: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rare-token rows of each set, and each set's hot tokens as one short array."""
+    rows = sets.withColumn("tok", F.explode(token_array))
+    rare = rows.join(hot, ["blk", "tok"], "left_anti")
+    hot_rows = (
+        rows.select(key, "blk", "tok")
+        .join(hot, ["blk", "tok"])
+        .groupBy(key)
+        .agg(F.array_sort(F.collect_list("tok")).alias("hot"))
+    )
+    return rare, sets.join(hot_rows, key)
+
+
+def subsets(array: str):
+    """All non-empty subsets of a sorted array, as sorted arrays."""
+    grown = F.aggregate(
+        F.col(array),
+        F.array(F.array().cast("array<string>")),
+        lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, x))),
+    )
+    return F.filter(grown, lambda s: F.size(s) > 0)
