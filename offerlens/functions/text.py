@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -43,7 +44,8 @@ def fold_ascii(c: Column) -> Column:
     """NFKD to ASCII, dropping what does not decompose; stays inside the JVM."""
     source, target, expansions = _fold_tables()
     one = F.translate(c, source, target)
-    pairs = F.create_map(*[F.lit(x) for kv in expansions.items() for x in kv])
+    # One JSON literal that folds to a constant map, instead of one plan node per entry.
+    pairs = F.from_json(F.lit(json.dumps(expansions)), "map<string,string>")
     longer = F.array_join(
         F.transform(
             F.split(one, ""),

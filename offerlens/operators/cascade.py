@@ -11,6 +11,7 @@ from offerlens.functions.text import canonical_key, extract_year, normalize_key,
 from offerlens.functions.urls import clean_url, normalize_item_url, search_url
 from offerlens.operators.linkage import top_per_key
 from offerlens.operators.tokenindex import HOT_DF, hot_tokens, split_tokens, subsets
+from offerlens.session import materialize
 
 # --- fixed values: gates of the fuzzy tier ------------------------------------------
 MIN_OVERLAP, MIN_COMBINED, MIN_TOKEN, STRONG_SET, LEAD, LEAD_EXEMPT_SET = 2, 0.60, 0.35, 0.85, 0.02, 0.88
@@ -123,9 +124,11 @@ def fuzzy_match(targets: DataFrame, rows: DataFrame, *, hot_df: int = HOT_DF, de
         .join(F.broadcast(years.withColumnRenamed("blk", "ystr").withColumn("found", F.lit(True))), "ystr", "left")
         .select("ckey", "year", F.when(F.col("found"), F.col("ystr")).otherwise("*").alias("blk"))
     )
+    # Both token tables are read by several joins, so they are written once.
     t = _with_tokens(blocked.select("blk", "ckey").distinct(), "ckey", "t").withColumn("tid", F.md5(F.concat_ws("|", "blk", "ckey")))
     e = _with_tokens(entries, "ekey", "e").withColumn("eid", F.md5(F.concat_ws("|", "blk", "ekey")))
-    hot = hot_tokens(e, "eset", "first", hot_df)
+    t, e = materialize(t, "fuzzy-targets"), materialize(e, "fuzzy-entries")
+    hot = hot_tokens(e, "eset", hot_df)
     t_rare, t_hot = split_tokens(t, "tset", hot, "tid")
     e_rare, e_hot = split_tokens(e, "eset", hot, "eid")
 
@@ -136,12 +139,42 @@ def fuzzy_match(targets: DataFrame, rows: DataFrame, *, hot_df: int = HOT_DF, de
         .dropDuplicates(["tid", "eid"])
     )
     scored = similarity_columns(contacts, "ckey", "ekey")
+    if hot is not None:
+        # The Python scores feed three branches below.
+        scored = materialize(scored, "fuzzy-scores")
+        scored = scored.unionByName(similarity_columns(_hot_contacts(scored, t_hot, e_hot), "ckey", "ekey"))
+
+    order = [F.col("combined").desc(), F.col("first").asc()]
+    top = top_per_key(scored.filter("combined > 0"), ["tid"], order, n=2, rank_as="rk")
+    pick = lambda c, k: F.max(F.when(F.col("rk") == k, F.col(c)))
+    winner = top.groupBy("tid").agg(
+        *[pick(c, 1).alias(c) for c in ("combined", "token_ratio", "set_ratio", "overlap", "first", "copies")],
+        pick("combined", 2).alias("next"),
+    )
+    runner_up = F.when(F.col("copies") > 1, F.col("combined")).otherwise(F.col("next"))
+    clear = runner_up.isNull() | (F.col("combined") - runner_up >= LEAD) | (F.col("set_ratio") >= LEAD_EXEMPT_SET)
+    accepted = winner.filter(
+        _gates(F.col("overlap"), F.col("combined"), F.col("token_ratio"), F.col("set_ratio")) & clear
+    ).select("tid", F.col("first").alias("ord"), F.col("combined").alias("fuzzy_score"))
+    return (
+        blocked.withColumn("tid", F.md5(F.concat_ws("|", "blk", "ckey")))
+        .join(accepted, "tid")
+        .select("ckey", "year", "ord", "fuzzy_score")
+    )
+
+
+def _hot_contacts(scored: DataFrame, t_hot: DataFrame, e_hot: DataFrame) -> DataFrame:
+    """Pairs that share only hot tokens and could still decide their target's match.
+
+    Entries meet targets on hot-token subsets, grouped by shape; a shape is opened only if the
+    upper bound of its score reaches the best score already seen (less the required lead), and
+    only for targets that some pair could win at all.
+    """
     lead = scored.groupBy("tid").agg(
         F.max("combined").alias("seen"),
         F.max(_gates(F.col("overlap"), F.col("combined"), F.col("token_ratio"), F.col("set_ratio"))).alias("eligible"),
     )
 
-    # Pairs that share only hot tokens, grouped by shape, with an upper bound of their score.
     e_shape = e_hot.withColumn("s", F.explode(subsets("hot"))).select(
         "blk", "s", "en", "elen", "eslen", "eid", "ekey", "first", "copies"
     )
@@ -168,30 +201,11 @@ def fuzzy_match(targets: DataFrame, rows: DataFrame, *, hot_df: int = HOT_DF, de
         )
         .select("blk", "s", "en", "elen", "eslen", "tid", "ckey")
     )
-    hot_contacts = (
+    return (
         open_shapes.join(e_shape, ["blk", "s", "en", "elen", "eslen"])
         .select("tid", "ckey", "eid", "ekey", "first", "copies")
         .dropDuplicates(["tid", "eid"])
-        .join(contacts.select("tid", "eid"), ["tid", "eid"], "left_anti")
-    )
-    scored = scored.unionByName(similarity_columns(hot_contacts, "ckey", "ekey"))
-
-    order = [F.col("combined").desc(), F.col("first").asc()]
-    top = top_per_key(scored.filter("combined > 0"), ["tid"], order, n=2, rank_as="rk")
-    pick = lambda c, k: F.max(F.when(F.col("rk") == k, F.col(c)))
-    winner = top.groupBy("tid").agg(
-        *[pick(c, 1).alias(c) for c in ("combined", "token_ratio", "set_ratio", "overlap", "first", "copies")],
-        pick("combined", 2).alias("next"),
-    )
-    runner_up = F.when(F.col("copies") > 1, F.col("combined")).otherwise(F.col("next"))
-    clear = runner_up.isNull() | (F.col("combined") - runner_up >= LEAD) | (F.col("set_ratio") >= LEAD_EXEMPT_SET)
-    accepted = winner.filter(
-        _gates(F.col("overlap"), F.col("combined"), F.col("token_ratio"), F.col("set_ratio")) & clear
-    ).select("tid", F.col("first").alias("ord"), F.col("combined").alias("fuzzy_score"))
-    return (
-        blocked.withColumn("tid", F.md5(F.concat_ws("|", "blk", "ckey")))
-        .join(accepted, "tid")
-        .select("ckey", "year", "ord", "fuzzy_score")
+        .join(scored.select("tid", "eid"), ["tid", "eid"], "left_anti")
     )
 
 

@@ -9,6 +9,7 @@ from offerlens.functions.numbers import round4
 from offerlens.functions.similarity import listing_similarity
 from offerlens.functions.text import tokens
 from offerlens.operators.tokenindex import HOT_DF, hot_tokens, split_tokens, subsets
+from offerlens.session import materialize
 
 
 def block_key(columns: list[str]) -> Column:
@@ -36,7 +37,7 @@ def candidate_scores(a_sets: DataFrame, r_sets: DataFrame, hot_df: int = HOT_DF)
     """
     a_sets = a_sets.withColumn("uset", F.array_union("nset", "lset"))
     r_sets = r_sets.withColumn("uset", F.array_union("nset", "lset"))
-    hot = hot_tokens(r_sets, "uset", "r_ord", hot_df)
+    hot = hot_tokens(r_sets, "uset", hot_df)
     a_rare, a_hot = split_tokens(a_sets, "uset", hot, "sig")
     r_rare, r_hot = split_tokens(r_sets, "uset", hot, "r_ord")
 
@@ -49,6 +50,8 @@ def candidate_scores(a_sets: DataFrame, r_sets: DataFrame, hot_df: int = HOT_DF)
         listing_similarity(F.col("nset"), F.col("r_nset"), F.col("lset"), F.col("r_lset")).alias("score"),
         "r_ord",
     )
+    if hot is None:
+        return rare.filter(F.col("score") > 0)
 
     # Rivals that agree on a hot subset and on all sizes are one row, whoever they are.
     r_shape = (
@@ -102,8 +105,9 @@ def match_listings(
     """
     a = _shapes(anchors, block, quantity, name, label)
     r = _shapes(rivals, block, quantity, name, label)
-    a_sets = a.select("sig", "blk", "qty", "nset", "lset").distinct()
-    r_sets = r.groupBy("blk", "qty", "nset", "lset").agg(F.min(order).alias("r_ord"))
+    # Distinct shapes are read by several joins, so they are written once.
+    a_sets = materialize(a.select("sig", "blk", "qty", "nset", "lset").distinct(), "anchor-shapes")
+    r_sets = materialize(r.groupBy("blk", "qty", "nset", "lset").agg(F.min(order).alias("r_ord")), "rival-shapes")
     scored = candidate_scores(a_sets, r_sets, hot_df)
 
     rank = F.struct(F.col("score"), (-F.col("r_ord")).alias("neg"))

@@ -15,27 +15,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerlens.session import materialize
+
 HOT_DF = 2000
 
 
-def hot_tokens(indexed: DataFrame, token_array: str, key: str, hot_df: int = HOT_DF) -> DataFrame:
-    """(blk, tok) pairs found in more than ``hot_df`` sets of the indexed side.
+def hot_tokens(indexed: DataFrame, token_array: str, hot_df: int = HOT_DF) -> DataFrame | None:
+    """(blk, tok) pairs found in more than ``hot_df`` sets of the indexed side; None if there are none.
 
-    Counting ``key`` keeps it in the plan, so this branch has the same columns as the index
-    itself and Spark reuses that shuffle instead of repeating it.
+    The result is written once: it is small (at most tokens / hot_df rows) and read by four
+    joins, and where it is empty the whole hot branch is left out of the plan.
     """
-    return (
-        indexed.select("blk", key, F.explode(token_array).alias("tok"))
+    counted = (
+        indexed.select("blk", F.explode(token_array).alias("tok"))
         .groupBy("blk", "tok")
-        .agg(F.count(key).alias("n"))
+        .agg(F.count("*").alias("n"))
         .filter(F.col("n") > hot_df)
         .select("blk", "tok")
     )
+    hot = materialize(counted, "hot-tokens")
+    return None if hot.isEmpty() else hot
 
 
-def split_tokens(sets: DataFrame, token_array: str, hot: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def split_tokens(sets: DataFrame, token_array: str, hot: DataFrame | None, key: str) -> tuple[DataFrame, DataFrame | None]:
     """Rare-token rows of each set, and each set's hot tokens as one short array."""
     rows = sets.withColumn("tok", F.explode(token_array))
+    if hot is None:
+        return rows, None
     rare = rows.join(hot, ["blk", "tok"], "left_anti")
     hot_rows = (
         rows.select(key, "blk", "tok")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,11 @@ def build_session(master: str | None = None, app: str = "offerlens", **conf: str
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=None)
+def _private_folder(app_id: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and hand-over tables.
 
@@ -34,10 +40,7 @@ def scratch_root(spark: SparkSession) -> str:
     where that setting is absent (local runs and tests).
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (root or _private_folder(spark.sparkContext.applicationId)).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
