@@ -183,13 +183,11 @@ def facet_counts(df: DataFrame, columns=FACETS, multi: tuple[str, ...] = ("grape
     Every row is unpivoted once; comma-separated columns are split and trimmed first.
     """
     single = [F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns]
-    many = [
-        F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda v, c=c: F.struct(F.lit(c).alias("facet"), strip(v).alias("value")))
-        for c in multi
-    ]
     pairs = F.array(*single)
-    for extra in many:
-        pairs = F.concat(pairs, extra)
+    for c in multi:
+        label = F.lit(c).alias("facet")
+        parts = F.split(F.coalesce(F.col(c), F.lit("")), ",")
+        pairs = F.concat(pairs, F.transform(parts, lambda v: F.struct(label, strip(v).alias("value"))))
     return (
         df.select(F.explode(pairs).alias("p"))
         .select("p.*")
