@@ -319,8 +319,8 @@ def search_results(df, response: str, keep: list[str], shape: str):
     path, url, title = RESPONSE_SHAPES[shape]
     items = F.from_json(F.get_json_object(F.col(response), path), "array<struct<link string, url string, title string, description string>>")
     return (
-        df.select(*keep, F.posexplode(items).alias("rank", "item"))
-        .select(*keep, "rank", text(F.col(f"item.{url}")).alias("url"), text(F.col(f"item.{title}")).alias("title"))
+        df.select(*keep, F.posexplode(items).alias("rank", "_result"))
+        .select(*keep, "rank", text(F.col(f"_result.{url}")).alias("url"), text(F.col(f"_result.{title}")).alias("title"))
         .filter(F.col("url") != "")
     )
 

@@ -101,7 +101,7 @@ _KIND = f"""CASE WHEN {_SPARK} AND colour = 'rose' THEN 'Sparkling Rose' WHEN {_
 
 @query(
     "j16_j17_x16_to_x22_metadata",
-    f"""SELECT offer_id, country, region, wine_type, style_family, grapes, origin_label, origin_latitude, origin_longitude, grape_confidence,
+    f"""SELECT offer_id, country, region, wine_type, style_family, grapes, origin_label, CAST(origin_latitude AS DOUBLE) AS origin_latitude, CAST(origin_longitude AS DOUBLE) AS origin_longitude, grape_confidence,
  CASE WHEN (CASE WHEN country IS NULL THEN 0 ELSE 2 END) + w >= 5 THEN 'high' WHEN (CASE WHEN country IS NULL THEN 0 ELSE 2 END) + w >= 3 THEN 'medium' WHEN (CASE WHEN country IS NULL THEN 0 ELSE 2 END) + w > 0 THEN 'low' END AS metadata_confidence, offering_type FROM (
 SELECT *, CASE grape_confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS w, CASE WHEN country IS NULL THEN NULL ELSE region || ', ' || country END AS origin_label FROM (
 SELECT offer_id, CASE WHEN contains(t, 'champagne') THEN 'France' WHEN contains(t, 'gattinara') OR contains(t, 'barbera d alba') OR contains(t, 'prosecco') THEN 'Italy' END AS country,
@@ -260,7 +260,7 @@ def x37b(i):
 @query(
     "x38_url_parts",
     r"""SELECT page_id, CASE WHEN starts_with(url, 'http://') THEN 'https://new.example' || substr(url, length('http://') + 1) ELSE url END AS moved, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
- replace(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1), '-', ' ') AS slug FROM @pages@""",
+ replace(regexp_extract(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '([^/]*)$', 1), '-', ' ') AS slug FROM @pages@""",
 )
 def x38(i):
     return i.pages.select("page_id", U.rewrite_host(c("url"), ["http://"], "https://new.example/").alias("moved"), U.url_host(c("url")).alias("host"), U.slug_text(c("url")).alias("slug"))
@@ -287,7 +287,7 @@ def x39(i):
 
 @query(
     "x40_page_facts",
-    """SELECT page_id, offer_name AS page_name, CASE WHEN size % 3 = 0 THEN NULL ELSE 'A full description of ' || kind END AS page_description,
+    """SELECT page_id, offer_name AS page_name, CASE WHEN size % 3 = 0 THEN 'Bold ' || kind ELSE 'A full description of ' || kind END AS page_description,
  CASE WHEN size % 4 = 0 AND size >= 5 THEN CAST(size AS STRING) WHEN size % 4 = 1 AND size + 1 >= 5 THEN CAST(size + 1 AS STRING) WHEN size % 4 = 2 AND size + 2 >= 5 THEN CAST(size + 2 AS STRING) WHEN size * 3 >= 5 THEN CAST(size * 3 AS STRING) || '.0' END AS page_price,
  CASE WHEN size % 5 = 0 THEN NULL ELSE 'Merlot & ' || kind END AS page_grapes, 'France / ' || kind AS page_region, 'Bold ' || kind AS page_style FROM @item_pages@""",
 )
@@ -307,7 +307,7 @@ def x40b(i):
 
 @query(
     "x41_html_to_text",
-    r"SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', chr(10), 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '[ \t]+', ' ', 'g'), '\n ', chr(10), 'g')) AS text_hash FROM @pages@",
+    r"SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', chr(10), 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\n ', chr(10), 'g')) AS text_hash FROM @pages@",
 )
 def x41(i):
     return i.pages.select("page_id", F.md5(P.html_to_text(c("html"))).alias("text_hash"))
@@ -359,10 +359,13 @@ def x43(i):
     """Three stored snippets per offer: another host, a wrong wine, and the right one."""
     price = (c("size") * 2.5).cast("decimal(8,2)").cast("string")
     right = F.concat(c("offer_name"), F.lit(" Avg Price (ex-tax) $ "), price, F.lit(" from "), c("size").cast("string"), F.lit(" stores"))
+    snippet = lambda rank, url, title, text: F.struct(
+        F.lit(rank).alias("rank"), F.lit(url).alias("url"), title.alias("title"), text.alias("description")
+    )
     snippets = F.array(
-        F.struct(F.lit(1).alias("rank"), F.lit("https://elsewhere.example/1").alias("url"), c("offer_name").alias("title"), F.lit("$ 9").alias("description")),
-        F.struct(F.lit(2), F.lit("https://www.wine-searcher.com/find/other"), F.lit("zzz"), F.lit("Avg Price $ 50")),
-        F.struct(F.lit(3), F.lit("https://www.wine-searcher.com/find/this"), F.lit("page"), right),
+        snippet(1, "https://elsewhere.example/1", c("offer_name"), F.lit("$ 9")),
+        snippet(2, "https://www.wine-searcher.com/find/other", F.lit("zzz"), F.lit("Avg Price $ 50")),
+        snippet(3, "https://www.wine-searcher.com/find/this", F.lit("page"), right),
     )
     rows = i.offers.select(c("offer_id").alias("item"), "offer_name", F.explode(snippets).alias("s")).select("item", "offer_name", "s.*")
     from offerlens.operators.resolve import snippet_prices

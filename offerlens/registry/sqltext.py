@@ -10,14 +10,18 @@ def squeeze(x: str) -> str:
     return f"trim(regexp_replace({x}, {SP}))"
 
 
+def ascii_of(x: str) -> str:
+    return rf"lower(regexp_replace(strip_accents(coalesce({x}, '')), '[^\x00-\x7F]', '', 'g'))"
+
+
 def nkey(x: str) -> str:
     return squeeze(
-        rf"regexp_replace(replace(replace(lower(strip_accents(coalesce({x}, ''))), '&', ' and '), chr(39), ''), '[^a-z0-9\s]', ' ', 'g')"
+        rf"regexp_replace(replace(replace({ascii_of(x)}, '&', ' and '), chr(39), ''), '[^a-z0-9\s]', ' ', 'g')"
     )
 
 
 def ntext(x: str) -> str:
-    return squeeze(rf"regexp_replace(replace(lower(strip_accents(coalesce({x}, ''))), '&', ' and '), '[^a-z0-9\s]', ' ', 'g')")
+    return squeeze(rf"regexp_replace(replace({ascii_of(x)}, '&', ' and '), '[^a-z0-9\s]', ' ', 'g')")
 
 
 def ckey(x: str) -> str:

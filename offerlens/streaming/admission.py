@@ -42,7 +42,7 @@ def busy_periods(df: DataFrame, key: str, ts: str, order: str, window_seconds: i
     Times are compared inside fixed slices of the time line first, so the sort that finds the
     gaps is keyed by (key, slice) and a hot key is not one task.
     """
-    micros = F.unix_micros(F.col(ts))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     slice_size = window_seconds * MICROS * 64
     cut = df.withColumns({"_t": micros, "_slice": F.floor(micros / slice_size)})
     in_slice = Window.partitionBy(key, "_slice").orderBy("_t", order)
@@ -101,7 +101,7 @@ class SlidingAdmission(StatefulProcessor):
         self.handle = handle
         self.bucket = handle.getListState("bucket", "t long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["t", "id"])
         stored = [r[0] for r in self.bucket.get()]
         decisions, left = admit(pdf["t"].tolist(), self.window, self.limit, stored)
@@ -114,7 +114,7 @@ class SlidingAdmission(StatefulProcessor):
             columns=["key", "id", "allowed", "remaining", "reset_seconds"],
         )
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.bucket.clear()
         return iter([])
 
@@ -125,7 +125,7 @@ class SlidingAdmission(StatefulProcessor):
 def admission_stream(stream: DataFrame, *, key: str, ts: str, id: str, limit: int, window_seconds: int = 60, delay: str = "10 minutes") -> DataFrame:
     """Stateful form; equals the batch replay for input in order within the watermark delay."""
     shaped = stream.select(
-        F.col(key).cast("string").alias("key"), F.col(id).cast("long").alias("id"), F.unix_micros(F.col(ts)).alias("t"), F.col(ts).alias("ts")
+        F.col(key).cast("string").alias("key"), F.col(id).cast("long").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(ts).cast("timestamp").alias("ts")
     ).withWatermark("ts", delay)
     return shaped.groupBy("key").transformWithStateInPandas(
         SlidingAdmission(limit, window_seconds),
