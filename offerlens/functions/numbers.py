@@ -14,6 +14,15 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(_WHITE_SPACE))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body mentions it.
+
+    Nested CASE expressions that repeat their input grow without bound when predicates are
+    pushed through projections; binding the input keeps them linear.
+    """
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
 def text(c: Column) -> Column:
     """Trimmed text with NULL read as blank."""
     return F.coalesce(strip(c), F.lit(""))
@@ -37,45 +46,45 @@ def when_value(c: Column, keep) -> Column:
     return F.try_element_at(F.filter(F.array(c), keep), F.lit(1))
 
 
-def _absent(c: Column) -> Column:
-    return text(c) == "", F.lower(text(c)).isin("n/a", "none", "nan")
-
-
 def parse_price(c: Column) -> Column:
     """Whole text must be a number once ``$`` and ``,`` are gone."""
-    cleaned = F.regexp_replace(text(c), r"[$,]", "")
-    return F.when(cleaned.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.trim(cleaned)).try_cast("double")
+    number = first_group(strip(F.regexp_replace(text(c), r"[$,]", "")), r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$", 0)
+    return number.try_cast("double")
+
+
+def _present(t: Column) -> Column:
+    """The text itself unless it is a word for "no value"."""
+    return F.when(~F.lower(t).isin("n/a", "none", "nan"), t)
 
 
 def parse_float(c: Column) -> Column:
     """First signed decimal in the text after dropping commas."""
-    blank, word = _absent(c)
-    number = first_group(F.regexp_replace(text(c), ",", ""), r"-?\d+(?:\.\d+)?", 0)
-    return F.when(~blank & ~word, number).try_cast("double")
+    known = let(text(c), _present)
+    return first_group(F.regexp_replace(known, ",", ""), r"-?\d+(?:\.\d+)?", 0).try_cast("double")
 
 
 def parse_money(c: Column) -> Column:
     """``parse_float`` that also drops a dollar sign between sign and digits."""
-    blank, word = _absent(c)
-    number = first_group(F.regexp_replace(text(c), r"[$,]", ""), r"-?\d+(?:\.\d+)?", 0)
-    return F.when(~blank & ~word, number).try_cast("double")
+    known = let(text(c), _present)
+    return first_group(F.regexp_replace(known, r"[$,]", ""), r"-?\d+(?:\.\d+)?", 0).try_cast("double")
 
 
 def parse_int(c: Column) -> Column:
     """First run of digits (commas allowed inside); sign and decimals are ignored."""
-    blank, word = _absent(c)
-    digits = F.regexp_replace(F.regexp_extract(text(c), r"\d[\d,]*", 0), ",", "")
-    return F.when(~blank & ~word, F.nullif(digits, F.lit(""))).try_cast("long")
+    known = let(text(c), _present)
+    return F.regexp_replace(first_group(known, r"\d[\d,]*", 0), ",", "").try_cast("long")
 
 
 def parse_compact_count(c: Column) -> Column:
     """``4.5k`` / ``1M`` / ``1,234`` to a whole number, truncating."""
-    raw = F.regexp_replace(text(c), ",", "")
-    suffix = F.lower(F.substring(raw, -1, 1))
-    digits = F.when(suffix.isin("k", "m"), F.left(raw, F.length(raw) - 1)).otherwise(raw)
-    factor = F.when(suffix == "k", 1000.0).when(suffix == "m", 1000000.0).otherwise(1.0)
-    value = F.trim(digits).try_cast("double") * factor
-    return value.cast("long")
+
+    def read(raw: Column) -> Column:
+        suffix = F.lower(F.substring(raw, -1, 1))
+        digits = F.regexp_replace(raw, "[kKmM]$", "")
+        factor = F.when(suffix == "k", 1000.0).when(suffix == "m", 1000000.0).otherwise(1.0)
+        return strip(digits).try_cast("double") * factor
+
+    return let(F.regexp_replace(text(c), ",", ""), read).cast("long")
 
 
 def round2(c: Column) -> Column:

@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerlens.functions.numbers import first_group
+from offerlens.functions.numbers import first_group, let
 
 # --- fixed values: tokens that carry no identity -------------------------------
 DROP_TOKENS = (
@@ -43,17 +43,12 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 def fold_ascii(c: Column) -> Column:
     """NFKD to ASCII, dropping what does not decompose; stays inside the JVM."""
     source, target, expansions = _fold_tables()
-    one = F.translate(c, source, target)
+    ascii_only = r"^[\x00-\x7F]*$"
     # One JSON literal that folds to a constant map, instead of one plan node per entry.
     pairs = F.from_json(F.lit(json.dumps(expansions)), "map<string,string>")
-    longer = F.array_join(
-        F.transform(
-            F.split(one, ""),
-            lambda ch: F.when(ch.rlike(r"^[\x00-\x7F]$"), ch).otherwise(F.coalesce(F.try_element_at(pairs, ch), F.lit(""))),
-        ),
-        "",
-    )
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).when(one.rlike(r"^[\x00-\x7F]*$"), one).otherwise(longer)
+    expand = lambda ch: F.when(ch.rlike(ascii_only), ch).otherwise(F.coalesce(F.try_element_at(pairs, ch), F.lit("")))
+    longer = lambda v: F.when(v.rlike(ascii_only), v).otherwise(F.array_join(F.transform(F.split(v, ""), expand), ""))
+    return let(c, lambda v: F.when(v.rlike(ascii_only), v).otherwise(let(F.translate(v, source, target), longer)))
 
 
 def squeeze(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerlens import settings
-from offerlens.functions.numbers import blank_to_null, first_group, strip, text
+from offerlens.functions.numbers import blank_to_null, first_group, let, strip, text
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
@@ -42,22 +42,19 @@ def _is_item(c: Column, host: str) -> Column:
 
 def normalize_item_url(c: Column, host: str = settings.RATING_HOST) -> Column:
     """Bare address of an item page; anything else passes through, blank is NULL."""
-    u = blank_to_null(c)
-    return F.when(_is_item(u, host), _bare(u)).otherwise(u)
+    return let(blank_to_null(c), lambda u: F.when(_is_item(u, host), _bare(u)).otherwise(u))
 
 
 def strict_item_url(c: Column, host: str = settings.RATING_HOST) -> Column:
     """Bare address of an item page; anything else is blank."""
-    u = text(c)
-    return F.when(_is_item(u, host), _bare(u)).otherwise("")
+    return let(text(c), lambda u: F.when(_is_item(u, host), _bare(u)).otherwise(""))
 
 
 def first_item_url(c: Column, host: str = settings.RATING_HOST) -> Column:
     """First address of the rating host in a text (else the text itself), bare."""
-    u = text(c)
     pattern = r"(?i)https?://[^\s\"'<>()]*" + host.replace(".", r"\.") + r"[^\s\"'<>()]*"
-    found = F.coalesce(first_group(u, pattern, 0), u)
-    return F.when(u == "", "").otherwise(_bare(found))
+    found = let(text(c), lambda u: F.coalesce(first_group(u, pattern, 0), u))
+    return let(found, lambda u: F.when(u == "", "").otherwise(_bare(u)))
 
 
 def clean_url(c: Column) -> Column:
@@ -89,10 +86,12 @@ def item_id(c: Column) -> Column:
 
 def slug_text(c: Column) -> Column:
     """Words of the path piece before ``/w/``, else of the last piece."""
-    parts = F.filter(F.split(url_path(c), "/"), lambda p: p != "")
-    at = F.array_position(parts, "w")
-    before = F.try_element_at(parts, F.greatest(at - 1, F.lit(1)).cast("int"))
-    piece = F.when(at > 1, before).otherwise(F.try_element_at(parts, F.lit(-1)))
+    def pick(parts: Column) -> Column:
+        at = F.array_position(parts, "w")
+        before = F.try_element_at(parts, F.greatest(at - 1, F.lit(1)).cast("int"))
+        return F.when(at > 1, before).otherwise(F.try_element_at(parts, F.lit(-1)))
+
+    piece = let(F.filter(F.split(url_path(c), "/"), lambda p: p != ""), pick)
     return F.coalesce(F.replace(piece, F.lit("-"), F.lit(" ")), F.lit(""))
 
 

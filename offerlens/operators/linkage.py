@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from offerlens.functions.numbers import round4
 from offerlens.functions.similarity import listing_similarity
 from offerlens.functions.text import tokens
-from offerlens.operators.tokenindex import HOT_DF, hot_tokens, split_tokens, subsets
+from offerlens.operators.tokenindex import HOT_DF, hot_tokens, meets_first, split_tokens, subsets
 from offerlens.session import materialize
 
 
@@ -42,9 +42,9 @@ def candidate_scores(a_sets: DataFrame, r_sets: DataFrame, hot_df: int = HOT_DF)
     r_rare, r_hot = split_tokens(r_sets, "uset", hot, "r_ord")
 
     r_side = r_rare.select(
-        "blk", "tok", "r_ord", F.col("qty").alias("r_qty"), F.col("nset").alias("r_nset"), F.col("lset").alias("r_lset")
+        "blk", "tok", "r_ord", F.col("rare").alias("r_rare"), F.col("qty").alias("r_qty"), F.col("nset").alias("r_nset"), F.col("lset").alias("r_lset")
     )
-    rare = a_rare.join(r_side, ["blk", "tok"]).select(
+    rare = a_rare.join(r_side, ["blk", "tok"]).filter(meets_first("rare", "r_rare")).select(
         "sig",
         (F.col("qty") == F.col("r_qty")).alias("same"),
         listing_similarity(F.col("nset"), F.col("r_nset"), F.col("lset"), F.col("r_lset")).alias("score"),

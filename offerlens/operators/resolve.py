@@ -147,11 +147,11 @@ def rank_candidates(scored: DataFrame, *, item: str, seen: str = "seen") -> Data
 
     ``seen`` is the order in which search results arrived; earlier wins equal scores.
     """
-    live = scored.filter("score > 0")
-    per_url = live.groupBy(item, "url").agg(
+    # Zero scores are dropped after the aggregation, so the long score expression is not repeated in a filter.
+    per_url = scored.groupBy(item, "url").agg(
         F.max_by(F.struct("title", "query", "provider", "score", "producer_overlap", "year_match"), F.struct("score", (-F.col(seen)).alias("n"))).alias("c"),
-        F.min(seen).alias("first_seen"),
-    )
+        F.min(F.when(F.col("score") > 0, F.col(seen))).alias("first_seen"),
+    ).filter("c.score > 0")
     counts = per_url.groupBy(item).agg(F.count("*").alias("candidate_count"))
     top = top_per_key(per_url, [item], [F.col("c.score").desc(), F.col("first_seen").asc()], n=2, rank_as="rk")
     return (

@@ -38,18 +38,26 @@ def hot_tokens(indexed: DataFrame, token_array: str, hot_df: int = HOT_DF) -> Da
 
 
 def split_tokens(sets: DataFrame, token_array: str, hot: DataFrame | None, key: str) -> tuple[DataFrame, DataFrame | None]:
-    """Rare-token rows of each set, and each set's hot tokens as one short array."""
-    rows = sets.withColumn("tok", F.explode(token_array))
+    """One row per rare token of each set (with ``rare``, the sorted rare tokens), and the sets that have ``hot`` ones."""
     if hot is None:
-        return rows, None
-    rare = rows.join(hot, ["blk", "tok"], "left_anti")
+        marked = sets.withColumn("rare", F.array_sort(token_array))
+        return marked.withColumn("tok", F.explode("rare")), None
+    # A listing has few tokens, so its array of hot ones is short.
     hot_rows = (
-        rows.select(key, "blk", "tok")
+        sets.select(key, "blk", F.explode(token_array).alias("tok"))
         .join(hot, ["blk", "tok"])
         .groupBy(key)
         .agg(F.array_sort(F.collect_list("tok")).alias("hot"))
     )
-    return rare, sets.join(hot_rows, key)
+    marked = sets.join(hot_rows, key, "left").withColumn(
+        "rare", F.array_except(F.array_sort(token_array), F.coalesce("hot", F.array().cast("array<string>")))
+    )
+    return marked.withColumn("tok", F.explode("rare")), marked.filter("hot is not null")
+
+
+def meets_first(rare_a: str, rare_b: str):
+    """Keep a pair only at its first common rare token, so each pair appears once without a shuffle."""
+    return F.try_element_at(F.array_intersect(rare_a, rare_b), F.lit(1)) == F.col("tok")
 
 
 def subsets(array: str):
