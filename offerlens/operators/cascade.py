@@ -11,7 +11,7 @@ from offerlens.functions.text import canonical_key, extract_year, normalize_key,
 from offerlens.functions.urls import clean_url, normalize_item_url, search_url
 from offerlens.operators.linkage import top_per_key
 from offerlens.operators.tokenindex import hot_tokens, meets_first, split_tokens, subsets
-from offerlens.session import materialize
+from offerlens.session import materialize, widen
 
 # --- fixed values: gates of the fuzzy tier ------------------------------------------
 MIN_OVERLAP, MIN_COMBINED, MIN_TOKEN, STRONG_SET, LEAD, LEAD_EXEMPT_SET = 2, 0.60, 0.35, 0.85, 0.02, 0.88
@@ -133,7 +133,7 @@ def fuzzy_match(targets: DataFrame, rows: DataFrame, *, hot_df: int = FUZZY_HOT_
     # Both token tables are read by several joins, so they are written once.
     t = _with_tokens(blocked.select("blk", "ckey", "tid").distinct(), "ckey", "t")
     e = _with_tokens(entries, "ekey", "e").withColumn("eid", F.md5(F.concat_ws("|", "blk", "ekey")))
-    t, e = materialize(t, "fuzzy-targets"), materialize(e, "fuzzy-entries")
+    t, e = widen(materialize(t, "fuzzy-targets")), materialize(e, "fuzzy-entries")
     hot = hot_tokens(e, "eset", hot_df)
     t_rare, t_hot = split_tokens(t, "tset", hot, "tid")
     e_rare, e_hot = split_tokens(e, "eset", hot, "eid")

@@ -9,7 +9,7 @@ from offerlens.functions.numbers import round4
 from offerlens.functions.similarity import listing_similarity
 from offerlens.functions.text import tokens
 from offerlens.operators.tokenindex import HOT_DF, hot_tokens, meets_first, split_tokens, subsets
-from offerlens.session import materialize
+from offerlens.session import materialize, widen
 
 
 def block_key(columns: list[str]) -> Column:
@@ -106,7 +106,7 @@ def match_listings(
     a = _shapes(anchors, block, quantity, name, label)
     r = _shapes(rivals, block, quantity, name, label)
     # Distinct shapes are read by several joins, so they are written once.
-    a_sets = materialize(a.select("sig", "blk", "qty", "nset", "lset").distinct(), "anchor-shapes")
+    a_sets = widen(materialize(a.select("sig", "blk", "qty", "nset", "lset").distinct(), "anchor-shapes"))
     r_sets = materialize(r.groupBy("blk", "qty", "nset", "lset").agg(F.min(order).alias("r_ord")), "rival-shapes")
     scored = candidate_scores(a_sets, r_sets, hot_df)
 

@@ -53,3 +53,13 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def widen(df):
+    """Spread a small written table over all cores before an expensive join.
+
+    Large tables already come back in many partitions and are left alone, so no shuffle is added
+    where it would cost anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
