@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from offerlens.session import materialize
 
-HOT_DF = 2000
+HOT_DF = 500
 
 
 def hot_tokens(indexed: DataFrame, token_array: str, hot_df: int = HOT_DF) -> DataFrame | None:
