@@ -42,7 +42,7 @@ def j22(i):
 
 
 _ENR_OLD = f"(SELECT ord, wine_name, rating, num_ratings, price, description, grapes, region, coalesce({Q.rating_url('url')}, '') AS url FROM @rating_base@)"
-_ENR_NEW = f"(SELECT ord, match_name AS wine_name, rating, num_ratings, price, description, 'Merlot' AS grapes, region, {Q.rating_url('url')} AS url FROM @rating_override@ WHERE url IS NOT NULL AND ord % 97 < 60 UNION ALL SELECT ord + 5, 'new item', '3.3', '', '', 'text', '', 'Chile', 'https://new.example/w/' || CAST(ord % 50 AS STRING) FROM @rating_override@)"
+_ENR_NEW = f"(SELECT ord, match_name AS wine_name, rating, num_ratings, price, description, 'Merlot' AS grapes, region, {Q.rating_url('url')} AS url FROM @rating_override@ WHERE url IS NOT NULL UNION ALL SELECT ord + 5, 'new item', '3.3', '', '', 'text', '', 'Chile', 'https://new.example/w/' || CAST(ord % 50 AS STRING) FROM @rating_override@)"
 
 
 def _enr_sql() -> str:
@@ -95,11 +95,11 @@ def j12(i):
 # ---- identities -------------------------------------------------------------------------
 
 _IDS = f"""WITH l AS (SELECT *, {Q.ckey('name')} AS ikey FROM @identities@),
-u AS (SELECT ikey, name, url AS a, CAST(NULL AS STRING) AS b, 1 AS rk, ord, 'overrides' AS source FROM l WHERE size % 3 = 0
- UNION ALL SELECT ikey, name, url || '/c', NULL, 2, ord, 'rating_cache' FROM l WHERE size % 3 = 1 AND rating <> ''
- UNION ALL SELECT ikey, name, NULL, url || '/m', 3, ord, 'market_cache' FROM l WHERE size % 5 = 0),
+u AS (SELECT ikey, name, url AS a, CAST(NULL AS STRING) AS b, 1 AS rk, ord, 'overrides' AS source FROM l WHERE kind IN ('ECONOMY', 'LARGE')
+ UNION ALL SELECT ikey, name, url || '/c', NULL, 2, ord, 'rating_cache' FROM l WHERE kind IN ('MEDIUM', 'PROMO') AND rating <> ''
+ UNION ALL SELECT ikey, name, NULL, url || '/m', 3, ord, 'market_cache' FROM l WHERE kind IN ('SMALL', 'LARGE')),
 e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ikey ORDER BY rk, ord) AS rn FROM u) WHERE rn = 1),
-lb AS (SELECT ikey, arg_max(b, ord) AS b FROM u WHERE rk = 3 GROUP BY 1), fb AS (SELECT ikey, arg_min(url || '/t', ord) AS b FROM l WHERE size % 2 = 0 GROUP BY 1)"""
+lb AS (SELECT ikey, arg_max(b, ord) AS b FROM u WHERE rk = 3 GROUP BY 1), fb AS (SELECT ikey, arg_min(url || '/t', ord) AS b FROM l WHERE kind <> 'PROMO' GROUP BY 1)"""
 _IDS_OUT = f"{_IDS} SELECT e.ikey, e.name, e.a AS url_a, coalesce(lb.b, e.b, fb.b) AS url_b, e.source FROM e LEFT JOIN lb ON lb.ikey = e.ikey LEFT JOIN fb ON fb.ikey = e.ikey"
 
 
@@ -107,10 +107,10 @@ def _identities(i):
     l = i.identities
     tail = lambda t: F.concat(c("url"), F.lit(t)).alias("url")
     return G.build_identities(
-        l.filter("size % 3 = 0").select("name", "url", "ord"),
-        l.filter("size % 3 = 1").select("name", tail("/c"), "ord", "rating"),
-        l.filter("size % 5 = 0").select("name", tail("/m"), "ord"),
-        l.filter("size % 2 = 0").select("name", tail("/t"), "ord"),
+        l.filter("kind IN ('ECONOMY', 'LARGE')").select("name", "url", "ord"),
+        l.filter("kind IN ('MEDIUM', 'PROMO')").select("name", tail("/c"), "ord", "rating"),
+        l.filter("kind IN ('SMALL', 'LARGE')").select("name", tail("/m"), "ord"),
+        l.filter("kind <> 'PROMO'").select("name", tail("/t"), "ord"),
     )
 
 
@@ -127,7 +127,7 @@ def a20(i):
 @query(
     "x62_set_and_flag_identities",
     f"""WITH l AS (SELECT *, {Q.ckey('name')} AS ikey FROM @identities@), s AS (SELECT ikey, min(name) AS name, min(url) AS url_a FROM l WHERE size < 35 GROUP BY 1),
-n AS (SELECT ikey, arg_max(name, ord) AS name, arg_max(url || '/b', ord) AS b FROM l WHERE size > 20 GROUP BY 1), f AS (SELECT ikey, list_sort(list_distinct(list('flag ' || CAST(size % 2 AS STRING)))) AS flags FROM l WHERE size % 7 = 0 GROUP BY 1),
+n AS (SELECT ikey, arg_max(name, ord) AS name, arg_max(url || '/b', ord) AS b FROM l WHERE size > 20 GROUP BY 1), f AS (SELECT ikey, list_sort(list_distinct(list('flag ' || CAST(size % 2 AS STRING)))) AS flags FROM l WHERE kind = 'PROMO' GROUP BY 1),
 m AS (SELECT coalesce(s.ikey, n.ikey) AS ikey, coalesce(n.name, s.name) AS name, s.url_a, n.b AS url_b, CASE WHEN n.ikey IS NULL THEN ['old'] ELSE [] END AS base, n.ikey IS NOT NULL AS upd FROM s FULL JOIN n ON n.ikey = s.ikey)
 SELECT m.ikey, m.name, m.url_a, m.url_b, list_concat(base, coalesce(f.flags, [])) AS flags, CASE WHEN upd THEN 99 ELSE 1 END AS resolved_at FROM m LEFT JOIN f ON f.ikey = m.ikey""",
 )
@@ -140,18 +140,18 @@ def x62(i):
         "name", F.lit("").alias("url_a"), F.concat(c("url"), F.lit("/b")).alias("url_b"), F.lit("").alias("source"), F.lit(True).alias("validated"), "ord"
     )
     merged = G.set_identities(store, updates, now=F.lit(99))
-    flags = l.filter("size % 7 = 0").select("name", F.concat(F.lit("flag "), (c("size") % 2).cast("string")).alias("flag"))
+    flags = l.filter("kind = 'PROMO'").select("name", F.concat(F.lit("flag "), (c("size") % 2).cast("string")).alias("flag"))
     return G.flag_identities(merged, flags).select("ikey", "name", "url_a", "url_b", "flags", "resolved_at")
 
 
-_INC = "(SELECT *, 0 AS s FROM @incoming_rows@ WHERE ord % 3 = 0 UNION ALL SELECT *, 1 AS s FROM @incoming_rows@ WHERE ord % 3 <> 0)"
+_INC = "(SELECT *, 0 AS s FROM @incoming_rows@ WHERE description <> '' UNION ALL SELECT *, 1 AS s FROM @incoming_rows@ WHERE description = '')"
 _U3_NEW = "(SELECT match_name, s * 10000000000 + ord AS ord, wine_name, rating, num_ratings, price, description, url, locked, notes FROM (SELECT * FROM " + _INC + " AS inc) WHERE trim(rating) <> '' OR trim(num_ratings) <> '')"
 
 
 @query("u3_merge_resolved", _upsert_sql("@override_rows@ AS ov", "(SELECT * FROM " + _U3_NEW + ")"))
 def u3(i):
     new = i.incoming_rows
-    return G.merge_resolved(i.override_rows, new.filter("ord % 3 = 0"), new.filter("ord % 3 <> 0"))
+    return G.merge_resolved(i.override_rows, new.filter("description <> ''"), new.filter("description = ''"))
 
 
 @query("u5_ordered_distinct", "SELECT o_custkey, (list(DISTINCT o_orderpriority ORDER BY o_orderpriority))[1:3] AS first_three FROM @orders@ GROUP BY 1")

@@ -187,5 +187,5 @@ FROM @events@ GROUP BY user_id, event_type
 """
 
 STANDINS["identities"] = """
-SELECT ord, name, 'https://www.vivino.com/w/' || CAST(ord AS STRING) AS url, size, CASE WHEN size % 4 = 0 THEN '' ELSE '4.1' END AS rating FROM @listings@
+SELECT ord, name, 'https://www.vivino.com/w/' || CAST(ord AS STRING) AS url, size, kind, CASE WHEN size % 4 = 0 THEN '' ELSE '4.1' END AS rating FROM @listings@
 """
