@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerlens import settings
-from offerlens.functions.numbers import round2, round4
+from offerlens.functions.numbers import let, round2, round4
 from offerlens.settings import SIDES, SideLabels
 
 # --- fixed values -----------------------------------------------------------------
@@ -66,20 +66,23 @@ def resolve_rating_price(raw, quantity, volume, anchor_price, rival_price, sourc
     Base rows scale.  Override rows keep the raw or scaled reading that lies nearer the
     shop prices (tie: raw) and are dropped outside 0.40..2.0 of them.  No address, no price.
     """
-    scaled = scale_to_listing(raw, quantity, volume)
-    ref = price_anchor(anchor_price, rival_price)
-    plain = round2(raw)
-    chosen = F.when(
-        ref.isNotNull() & (plain != scaled) & (F.abs(plain - ref) <= F.abs(scaled - ref)), plain
-    ).otherwise(scaled)
-    outlier = F.coalesce((ref > 0) & ((chosen / ref < OUTLIER_LOW) | (chosen / ref > OUTLIER_HIGH)) & (chosen > 0), F.lit(False))
-    has_url = F.coalesce(url, F.lit("")) != ""
-    return (
-        F.when(~has_url | scaled.isNull(), None)
-        .when(F.coalesce(source, F.lit("base")) != "override", scaled)
-        .when(~outlier, chosen)
+    facts = F.struct(
+        scale_to_listing(raw, quantity, volume).alias("scaled"), price_anchor(anchor_price, rival_price).alias("ref"), round2(raw).alias("plain")
     )
 
+    def decide(f: Column) -> Column:
+        scaled, ref, plain = f["scaled"], f["ref"], f["plain"]
+        nearer = ref.isNotNull() & (plain != scaled) & (F.abs(plain - ref) <= F.abs(scaled - ref))
+        chosen = F.when(nearer, plain).otherwise(scaled)
+        outlier = (ref > 0) & (chosen > 0) & ((chosen / ref < OUTLIER_LOW) | (chosen / ref > OUTLIER_HIGH))
+        return (
+            F.when((F.coalesce(url, F.lit("")) == "") | scaled.isNull(), None)
+            .when(F.coalesce(source, F.lit("base")) != "override", scaled)
+            .when(~F.coalesce(outlier, F.lit(False)), chosen)
+        )
+
+    return let(facts, decide)
+
 
 def deal_score(pct: Column, rating: Column, count: Column, anchor_price: Column, rating_price: Column) -> Column:
     """0..100: shop discount 30, market discount 30, rating 25, confidence 10, bonus 5."""

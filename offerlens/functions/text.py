@@ -47,10 +47,10 @@ def fold_ascii(c: Column) -> Column:
     # One JSON literal that folds to a constant map, instead of one plan node per entry.
     pairs = F.from_json(F.lit(json.dumps(expansions)), "map<string,string>")
     expand = lambda ch: F.when(ch.rlike(ascii_only), ch).otherwise(F.coalesce(F.try_element_at(pairs, ch), F.lit("")))
-    has_expansion = "[" + "".join(expansions) + "]"
+    expandable = "".join(expansions)
     longer = (
         lambda v: F.when(v.rlike(ascii_only), v)
-        .when(v.rlike(has_expansion), F.array_join(F.transform(F.split(v, ""), expand), ""))
+        .when(F.translate(v, expandable, "") != v, F.array_join(F.transform(F.split(v, ""), expand), ""))
         .otherwise(F.regexp_replace(v, r"[^\x00-\x7F]", ""))
     )
     return let(c, lambda v: F.when(v.rlike(ascii_only), v).otherwise(let(F.translate(v, source, target), longer)))
