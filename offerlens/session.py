@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -36,10 +37,12 @@ def _private_folder(app_id: str) -> str:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and hand-over tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; a private folder is made only
-    where that setting is absent (local runs and tests).
+    The cluster names it in ``spark.checkpoint.dir``.  A private folder is made only where that is
+    unset and driver and executors are one process; on several machines each would write its own part.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (root or _private_folder(spark.sparkContext.applicationId)).rstrip("/")
 
 
