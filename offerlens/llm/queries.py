@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import decontaminate, quality_rules, simhash, url_filter
+from offerlens.llm import decontaminate, quality_rules, simhash, token_blocks, url_filter
+from offerlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +30,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_token_blocks")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch_path(spark, "token-pages")
+    token_blocks.write_tokens(table(spark, folder, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_blocks.read_tokens(spark, out)
+
+
 @query("op3_url_reputation")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes of pages are the labels with the same id: good if of quality and not toxic."""
