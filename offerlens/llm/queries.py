@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import decontaminate, quality_rules, simhash, token_blocks, url_filter
+from offerlens.llm import decontaminate, pieces, quality_rules, quotes, secrets, simhash, token_blocks, token_counts, toxicity, url_filter
 from offerlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return token_blocks.read_tokens(spark, out)
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train_on_labels(docs, table(spark, folder, "labels"))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op3_url_reputation")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes of pages are the labels with the same id: good if of quality and not toxic."""
@@ -51,6 +59,17 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op5_quotation_links")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.conversations(table(spark, folder, "conversations"))
+
+
+@query("op6_section_tokens")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count_by_section(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     linked = simhash.fingerprint_components(table(spark, folder, "documents"))
@@ -63,3 +82,25 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
     )
+
+
+@query("op9_secret_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(listed(F.filter("spans", lambda x: x["kind"] != "crf")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op10_pieces")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    model = pieces.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode(table(spark, folder, "documents"), model, texts=False)
