@@ -59,7 +59,7 @@ def flag_slots(hashes: DataFrame, count: int, most_bits: int = 24) -> tuple[byte
 
 
 def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
-    """Row, doc_id, n_words and, for each verified occurrence, start (word), len, items; rows without any have nulls.
+    """Row, doc_id, text_hash, n_words and, for each verified occurrence, start (word), len, items; rows without any have nulls.
 
     The driver learns how many windows there are, which of the at most ``PREFIX`` prefix lengths occur,
     and the slots of their hashes (a table of fixed size); not the windows.
@@ -74,16 +74,18 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
         keyed = part if keyed is None else keyed.unionByName(part)
     flags, bits = flag_slots(keyed, total)
     table, mask = F.lit(bytearray(flags)), (1 << bits) - 1
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("ws"))
+    key = F.xxhash64(F.col(text_col)).alias("text_hash")
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), key, words(F.col(text_col)).alias("ws"))
 
     def candidates(size: int) -> Column:
         placed = F.transform(run_hashes(F.col("ws"), size), lambda h, i: F.struct(i.alias("start"), h.alias("h")))
         return F.filter(placed, lambda x: F.substr(table, x["h"].bitwiseAND(mask).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
 
-    at = base.select("row", "doc_id", "ws", F.explode_outer(F.concat(*[candidates(s) for s in sorted(counts) or [1]])).alias("c"))
+    at = base.select("row", "doc_id", "text_hash", "ws", F.explode_outer(F.concat(*[candidates(s) for s in sorted(counts) or [1]])).alias("c"))
     at = at.select(
         "row",
         "doc_id",
+        "text_hash",
         F.size("ws").alias("n_words"),
         F.col("c.start").alias("start"),
         F.coalesce("c.h", F.xxhash64("row")).alias("h"),  # rows without a candidate must not meet in one task
@@ -92,13 +94,13 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
     k = (F.broadcast(keyed) if total <= broadcast_rows else keyed).alias("k")
     # coalesce() keeps the comparison of words out of the join's keys: only rows whose hash meets pay for it.
     same = F.coalesce(F.slice("run", F.lit(1), F.col("k.len")) == F.col("k.w"), F.lit(False))
-    return at.alias("d").join(k, (F.col("d.h") == F.col("k.h")) & same, "left").select("row", "doc_id", "n_words", "start", "len", "items")
+    return at.alias("d").join(k, (F.col("d.h") == F.col("k.h")) & same, "left").select("row", "doc_id", "text_hash", "n_words", "start", "len", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items (sorted), spans (hit word ranges), contaminated."""
+    """Per row: doc_id, text_hash, n_words, n_hit, n_items, items (sorted), spans (hit word ranges), contaminated."""
     found = hits(docs, benchmark_windows(items, size), id_col, text_col)
-    per = found.groupBy("row", "doc_id").agg(
+    per = found.groupBy("row", "doc_id", "text_hash").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("len").isNotNull(), F.struct("start", "len")))).alias("at"),
         F.flatten(F.collect_set("items")).alias("items"),
@@ -115,6 +117,30 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), (x["start"] + x["len"]).alias("end"))))),
     )
-    per = per.select("doc_id", "n_words", spans.alias("spans"), F.sort_array(F.array_distinct("items")).alias("items"))
+    per = per.select("doc_id", "text_hash", "n_words", spans.alias("spans"), F.sort_array(F.array_distinct("items")).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    return per.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
+    return per.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), "items", "spans", (F.size("spans") > 0).alias("contaminated"))
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """``text`` without the words of ``spans`` (start, end by word) and what stands between them."""
+    tokens = F.regexp_extract_all(text, F.lit(NOT_WORD + "|" + NOT_WORD.replace("[", "[^")), F.lit(0))
+    lead = F.when(text.rlike("^" + NOT_WORD), 1).otherwise(0)
+
+    def stays(token, i):
+        word = F.floor((i - lead) / 2)  # a separator has the number of the word before it
+        inside = lambda s: (word >= s["start"]) & (word < s["end"] - (i - lead) % 2)
+        return (i < lead) | ~F.exists(spans, inside)
+
+    return F.array_join(F.filter(tokens, stays), "")
+
+
+def remove_spans(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with hit words cut out of their texts; texts whose words are all hit go."""
+    found = contamination(docs, items, size, id_col, text_col).filter("contaminated")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans", (F.col("n_hit") == F.col("n_words")).alias("all_hit"))
+    found = found.dropDuplicates(["_id", "_hash"]).withColumnsRenamed({"spans": "_spans", "all_hit": "_all"})
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
+    rows = docs.join(found, same, "left").filter(F.coalesce(~F.col("_all"), F.lit(True)))
+    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(without_spans(F.col(text_col), F.col("_spans")))
+    return rows.withColumn(text_col, text).select(*docs.columns)

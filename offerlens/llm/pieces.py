@@ -255,7 +255,7 @@ class PieceModel:
 _KNOWN: dict[str, bytes] = {}
 
 
-def _encoded(batches: Iterator[pd.DataFrame], model: PieceModel, texts: bool) -> Iterator[pd.DataFrame]:
+def _encoded(batches: Iterator[pd.DataFrame], model: PieceModel, ids_too: bool, decoded: bool) -> Iterator[pd.DataFrame]:
     in_bytes = np.zeros(len(model.raw), dtype=bool)
     in_bytes[model.byte_ids] = True
     for batch in batches:
@@ -265,13 +265,14 @@ def _encoded(batches: Iterator[pd.DataFrame], model: PieceModel, texts: bool) ->
             for doc_id, text, ids in zip(batch["doc_id"].iloc[lo : lo + 256], own, model.encode(own, _KNOWN)):
                 back = model.decode(ids)
                 row = [doc_id, len(ids), zlib.crc32(ids.tobytes()), int(in_bytes[ids].sum()), back == (text or "")]
-                rows.append([*row, ids.astype(np.int32), back] if texts else row)
-        names = ["doc_id", "n_tokens", "ids_crc32", "n_byte_ids", "round_trip", *(["ids", "decoded"] if texts else [])]
+                rows.append([*row, *([ids.astype(np.int32)] if ids_too else []), *([back] if decoded else [])])
+        names = ["doc_id", "n_tokens", "ids_crc32", "n_byte_ids", "round_trip", *(["ids"] if ids_too else []), *(["decoded"] if decoded else [])]
         yield pd.DataFrame(rows, columns=names)
 
 
-def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_crc32, n_byte_ids, round_trip and, with ``texts``, ids and the decoded text."""
+def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_crc32, n_byte_ids, round_trip and, if asked for, ids and the decoded text."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, n_byte_ids long, round_trip boolean"
-    return own.mapInPandas(partial(_encoded, model=model, texts=texts), schema + (", ids array<int>, decoded string" if texts else ""))
+    schema += (", ids array<int>" if ids else "") + (", decoded string" if decoded else "")
+    return own.mapInPandas(partial(_encoded, model=model, ids_too=ids, decoded=decoded), schema)

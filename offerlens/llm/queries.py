@@ -103,4 +103,4 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_pieces")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     model = pieces.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
-    return pieces.encode(table(spark, folder, "documents"), model, texts=False)
+    return pieces.encode(table(spark, folder, "documents"), model, ids=False, decoded=False)
