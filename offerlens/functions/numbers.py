@@ -87,17 +87,29 @@ def parse_compact_count(c: Column) -> Column:
     return let(F.regexp_replace(text(c), ",", ""), read).cast("long")
 
 
+def _rounded(c: Column, scale: int) -> Column:
+    """Nearest 1/scale, the same for both signs; amounts that stand exactly between two go to the even one."""
+
+    def step(x: Column) -> Column:
+        size = F.abs(x) * scale
+        up = F.floor(size + 0.5).cast("double")
+        tie = (size - F.floor(size) == 0.5) & (F.abs(x) * 64 == F.floor(F.abs(x) * 64)) & (up % 2 == 1)
+        return F.signum(x) * F.when(tie, up - 1).otherwise(up) / scale + 0.0
+
+    return let(c.cast("double"), step)
+
+
 def round2(c: Column) -> Column:
-    """Two decimals, half up, with the same IEEE steps in every engine.
+    """Two decimals by the same IEEE steps in every engine.
 
-    ``floor(x * 100 + 0.5) / 100`` is reproducible bit by bit; exact binary ties may
-    differ by 0.01 from a half-even rounding.
+    Differs from decimal rounding of the exact binary value only where ``x * 100`` itself rounds to a
+    half in binary.
     """
-    return F.floor(c * 100 + 0.5).cast("double") / 100
+    return _rounded(c, 100)
 
 
 def round4(c: Column) -> Column:
-    return F.floor(c * 10000 + 0.5).cast("double") / 10000
+    return _rounded(c, 10000)
 
 
 def cents(c: Column) -> Column:

@@ -363,5 +363,5 @@ def split_description(c: Column) -> dict[str, Column]:
     return {
         "notes_region": F.when(many, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), " · ")).otherwise(clean),
         "notes_tasting": F.when(many, F.try_element_at(notes, F.lit(1))).otherwise(""),
-        "notes_community": F.when(many, strip(F.array_join(F.slice(notes, 2, 1000000), ". "))).otherwise(""),
+        "notes_community": F.when(many, strip(F.array_join(F.slice(notes, F.lit(2), F.size(notes)), ". "))).otherwise(""),
     }

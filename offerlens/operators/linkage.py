@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.numbers import round4
 from offerlens.functions.similarity import listing_similarity
 from offerlens.functions.text import tokens
-from offerlens.operators.tokenindex import HOT_DF, hot_tokens, meets_first, split_tokens, subsets
+from offerlens.operators.prefixjoin import close_sizes, frequencies, prefix_rows, with_ordered
 from offerlens.session import materialize, widen
 
 
+#: Bounds of the similarity join, from high to low.
+ROUNDS = (0.8, 0.65, 0.5, 0.25)
+
+
 def block_key(columns: list[str]) -> Column:
     """One text key for null-safe equality on several columns."""
     return F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]))
@@ -24,64 +30,48 @@ def _shapes(df: DataFrame, block: list[str], quantity: str, name: str, label: st
     return out.withColumn("sig", F.md5(F.to_json(F.struct("blk", "qty", "nset", "lset"))))
 
 
-def _ratio(shared: Column, size_a: Column, size_b: Column) -> Column:
-    return F.when(size_a + size_b - shared > 0, shared / (size_a + size_b - shared)).otherwise(0.0)
-
-
-def candidate_scores(a_sets: DataFrame, r_sets: DataFrame, hot_df: int = HOT_DF) -> DataFrame:
-    """Scores of every (anchor set, rival set) contact as (sig, same, score, r_ord).
+def candidate_scores(a_sets: DataFrame, r_sets: DataFrame, t: float) -> DataFrame:
+    """Scores (sig, same, score, r_ord) of all pairs that reach ``t``, and of some that do not.
 
-    Both inputs hold distinct shapes (blk, qty, nset, lset); ``r_ord`` is the earliest rival
-    row of a shape.  A contact may appear more than once or with a lower bound of its score;
-    the maximum per anchor shape is exact.
+    Both inputs hold distinct shapes (blk, qty, nset, lset) with their name tokens by frequency
+    (``toks``); ``r_ord`` is the earliest rival row of a shape.  A score is at most the similarity of
+    the names, so their prefixes find every pair.
     """
-    a_sets = a_sets.withColumn("uset", F.array_union("nset", "lset"))
-    r_sets = r_sets.withColumn("uset", F.array_union("nset", "lset"))
-    hot = hot_tokens(r_sets, "uset", hot_df)
-    a_rare, a_hot = split_tokens(a_sets, "uset", hot, "sig")
-    r_rare, r_hot = split_tokens(r_sets, "uset", hot, "r_ord")
-
-    r_side = r_rare.select(
-        "blk", "tok", "r_ord", F.col("rare").alias("r_rare"), F.col("qty").alias("r_qty"), F.col("nset").alias("r_nset"), F.col("lset").alias("r_lset")
+    a_side = prefix_rows(a_sets, t).select("sig", "blk", "tok", "size", "qty", "nset", "lset")
+    r_side = prefix_rows(r_sets, t).select(
+        "blk", "tok", "r_ord", F.col("size").alias("r_size"), F.col("qty").alias("r_qty"), F.col("nset").alias("r_nset"), F.col("lset").alias("r_lset")
     )
-    rare = a_rare.join(r_side, ["blk", "tok"]).filter(meets_first("rare", "r_rare")).select(
+    met = a_side.join(r_side, ["blk", "tok"]).filter(close_sizes("size", "r_size", t))
+    return met.select(
         "sig",
         (F.col("qty") == F.col("r_qty")).alias("same"),
         listing_similarity(F.col("nset"), F.col("r_nset"), F.col("lset"), F.col("r_lset")).alias("score"),
         "r_ord",
-    )
-    if hot is None:
-        return rare.filter(F.col("score") > 0)
-
-    # Rivals that agree on a hot subset and on all sizes are one row, whoever they are.
-    r_shape = (
-        r_hot.withColumn("s", F.explode(subsets("hot")))
-        .select(
-            "blk", "s", "r_ord",
-            F.col("qty").alias("r_qty"),
-            F.array_intersect("s", "nset").alias("r_sn"),
-            F.array_intersect("s", "lset").alias("r_sl"),
-            F.size("nset").alias("r_n"),
-            F.size("lset").alias("r_l"),
-        )
-        .groupBy("blk", "s", "r_qty", "r_sn", "r_sl", "r_n", "r_l")
-        .agg(F.min("r_ord").alias("r_ord"))
-    )
-    shared_n = F.size(F.array_intersect("nset", "r_sn"))
-    shared_l = F.size(F.array_intersect("lset", "r_sl"))
-    full = _ratio(shared_n, F.size("nset"), F.col("r_n"))
-    labels = _ratio(shared_l, F.size("lset"), F.col("r_l"))
-    by_subset = (
-        a_hot.withColumn("s", F.explode(subsets("hot")))
-        .join(r_shape, ["blk", "s"])
-        .select(
-            "sig",
-            (F.col("qty") == F.col("r_qty")).alias("same"),
-            F.when((F.size("lset") > 0) & (F.col("r_l") > 0), F.least(full, labels)).otherwise(full).alias("score"),
-            "r_ord",
+    ).filter(F.col("score") > 0)
+
+
+def best_scores(a_sets: DataFrame, r_sets: DataFrame, threshold: float, rounds: tuple[float, ...] = ROUNDS) -> DataFrame:
+    """Best (score, -r_ord) per anchor shape in the same pack and across packs.
+
+    Bounds fall from round to round.  After a round every pair at or over its bound is known, so an
+    anchor leaves as soon as its choice is: a same-pack score at the bound and the threshold, a
+    cross-pack one once the bound is at the threshold, or any score at the bound below it.  Few anchors
+    see the last round, which meets all sets that share a token.
+    """
+    steps = sorted({t for t in rounds if t > threshold} | {t for t in rounds if t < threshold} | {threshold, 0.0}, reverse=True)
+    rank = F.struct(F.col("score"), (-F.col("r_ord")).alias("neg"))
+    left, settled = a_sets, []
+    for t in steps:
+        met = candidate_scores(left, r_sets, t)
+        best = materialize(
+            met.groupBy("sig").agg(F.max(F.when(F.col("same"), rank)).alias("same"), F.max(F.when(~F.col("same"), rank)).alias("cross")), "best"
         )
-    )
-    return rare.unionByName(by_subset).filter(F.col("score") > 0)
+        same, cross = F.coalesce("same.score", F.lit(0.0)), F.coalesce("cross.score", F.lit(0.0))
+        known = (same >= max(t, threshold)) | (F.lit(t <= threshold) & ((cross >= threshold) | (F.greatest(same, cross) >= t)))
+        done = best.filter(known) if t > 0 else best
+        settled.append(done)
+        left = left.join(done.select("sig"), "sig", "left_anti")
+    return reduce(DataFrame.unionByName, settled)
 
 
 def match_listings(
@@ -95,7 +85,7 @@ def match_listings(
     order: str = "ord",
     payload: list[str],
     threshold: float = 0.6,
-    hot_df: int = HOT_DF,
+    rounds: tuple[float, ...] = ROUNDS,
 ) -> DataFrame:
     """Best rival per anchor row: same pack first, then any pack, else no match.
 
@@ -105,15 +95,13 @@ def match_listings(
     """
     a = _shapes(anchors, block, quantity, name, label)
     r = _shapes(rivals, block, quantity, name, label)
-    # Distinct shapes are read by several joins, so they are written once.
-    a_sets = widen(materialize(a.select("sig", "blk", "qty", "nset", "lset").distinct(), "anchor-shapes"))
+    # Distinct shapes are read by several joins, so they are written once, with their tokens in order.
+    a_sets = a.select("sig", "blk", "qty", "nset", "lset").distinct()
     r_sets = materialize(r.groupBy("blk", "qty", "nset", "lset").agg(F.min(order).alias("r_ord")), "rival-shapes")
-    scored = candidate_scores(a_sets, r_sets, hot_df)
-
-    rank = F.struct(F.col("score"), (-F.col("r_ord")).alias("neg"))
-    best = scored.groupBy("sig").agg(
-        F.max(F.when(F.col("same"), rank)).alias("same"), F.max(F.when(~F.col("same"), rank)).alias("cross")
-    )
+    freq = frequencies((a_sets, "nset"), (r_sets, "nset"))
+    a_sets = widen(materialize(with_ordered(a_sets, "sig", "nset", freq), "anchor-shapes"))
+    r_sets = materialize(with_ordered(r_sets, "r_ord", "nset", freq), "rival-tokens")
+    best = best_scores(a_sets, r_sets, threshold, rounds)
     same_ok, cross_ok = F.col("same.score") >= threshold, F.col("cross.score") >= threshold
     chosen = best.select(
         "sig",

@@ -369,13 +369,14 @@ def top_families(fams: DataFrame, n: int = 3) -> DataFrame:
     return fams.orderBy(F.col("family_score").desc(), F.col("title").asc(), F.col("family_key").asc()).limit(n)
 
 
-def _top_labels(fams: DataFrame, column: str, unknown: str, n: int, out: str) -> DataFrame:
-    """Most frequent labels per style as a short array of (label, count)."""
+def _top_labels(fams: DataFrame, column: str, unknown: str, n: int, out: str, *, with_count: bool = True) -> DataFrame:
+    """Most frequent labels per style as a short array, each with its count where asked for."""
+    shown = lambda s: F.concat(s["label"], F.lit(" ("), s["n"].cast("string"), F.lit(")")) if with_count else s["label"]
     counted = fams.groupBy("style_label", F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(unknown)).alias("label")).agg(F.count("*").alias("n"))
     sizes = counted.groupBy("style_label").agg(F.count("*").alias(f"{out}_total"))
     top = top_per_key(counted, ["style_label"], [F.col("n").desc(), F.col("label").asc()], n, rank_as="rk")
     listed = top.groupBy("style_label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rk", "label", "n"))), lambda s: F.concat(s["label"], F.lit(" ("), s["n"].cast("string"), F.lit(")"))).alias(out)
+        F.transform(F.array_sort(F.collect_list(F.struct("rk", "label", "n"))), shown).alias(out)
     )
     return listed.join(sizes, "style_label")
 
@@ -394,7 +395,7 @@ def style_groups(df: DataFrame, sides: SideLabels = SIDES) -> DataFrame:
     )
     return (
         base.join(top, "style_label")
-        .join(_top_labels(fams, "country", "Unknown", 3, "top_countries"), "style_label")
+        .join(_top_labels(fams, "country", "Unknown", 3, "top_countries", with_count=False), "style_label")
         .join(_top_labels(fams, "region", "Unknown region", 4, "top_regions").drop("top_regions_total"), "style_label")
         .withColumnRenamed("top_countries_total", "country_count")
         .withColumn("style_rank", preferred_order(F.col("style_label"), STYLE_GROUP_ORDER))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.listing import prepare_listings
 from offerlens.functions.numbers import parse_price
 from offerlens.functions.pricing import compare_prices
 from offerlens.operators.linkage import match_listings
+from offerlens.session import materialize
 from offerlens.settings import SIDES, SideLabels
 
 BLOCK = ["year", "volume", "package_type"]
@@ -35,6 +36,20 @@ def compare_catalogues(anchors: DataFrame, rivals: DataFrame, *, threshold: floa
     a = prepare_listings(anchors)
     r = prepare_listings(rivals)
     matched = match_listings(
-        a, r, block=BLOCK, order=order, payload=["name", "year", "quantity", "volume", "price", "url"], threshold=threshold
+        a, r, block=BLOCK, order=order, payload=[order, "name", "year", "quantity", "volume", "price", "url"], threshold=threshold
     )
     return summarise(matched, sides)
+
+
+def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Every row with its place in a total order.
+
+    Rows are sorted over range partitions and numbered inside each; the counts of the partitions, one
+    number each, give what stands before them.  The sorted rows are written once, so both reads agree.
+    """
+    ordered = df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    rows = materialize(ordered, "ordered")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = counts.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = rows.join(F.broadcast(before), "_part")  # as many rows as partitions
+    return placed.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_before")

@@ -90,11 +90,12 @@ def run_refresh(spark: SparkSession, root: str, comparison: DataFrame, ratings:
         built.write.mode("overwrite").parquet(path)
         offers = spark.read.parquet(path)
         tables.assert_unique(offers, ["offer_name", "anchor_url"])
-        tables.append_snapshots(tables.snapshot_rows(offers, run_id, now), f"{root}/snapshots")
-        dropped = tables.prune_snapshots(spark, f"{root}/snapshots", now, retention_days)
         counts = ", ".join(f"{r['match_method']}={r['offers']}" for r in match_method_counts(offers).orderBy("match_method").collect())
         merged = offers.count()
         tables.move_pointer(spark, f"{root}/offers", run_id, now)
+        # Only what is published enters the history; a repeated run replaces its own snapshots.
+        tables.append_snapshots(tables.snapshot_rows(offers, run_id, now), f"{root}/snapshots")
+        dropped = tables.prune_snapshots(spark, f"{root}/snapshots", now, retention_days)
         state |= {"status": "success", "merged_rows": merged, "details": f"methods: {counts}; pruned {dropped}"}
     except Exception as error:
         tables.append_run(spark, ledger, state | {"status": "failed", "finished_at": now, "details": f"failed: {error}"[:2000]})

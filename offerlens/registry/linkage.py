@@ -12,7 +12,7 @@ from offerlens.functions.text import canonical_key, extract_year, normalize_key,
 from offerlens.functions.urls import normalize_item_url
 from offerlens.operators import cascade, resolve
 from offerlens.operators.linkage import match_listings, top_per_key
-from offerlens.plans.compare import BLOCK, compare_catalogues, summarise, summary_order
+from offerlens.plans.compare import BLOCK, compare_catalogues, summarise, summary_order, with_position
 from offerlens.registry import sqltext as Q
 from offerlens.registry.base import query
 
@@ -73,15 +73,14 @@ def j2(i):
     f"WITH {_PAIRS}, {_chosen(0.5)} SELECT a_ord, match_method, match_score, r_ord FROM chosen",
 )
 def j2_skewed(i):
-    """The same result with nearly every token treated as hot."""
-    m = match_listings(prepare_listings(i.anchors), prepare_listings(i.rivals), block=BLOCK, payload=["ord"], threshold=0.5, hot_df=20)
+    """The same result from other bounds: the first round is the threshold, the second meets all shared tokens."""
+    m = match_listings(prepare_listings(i.anchors), prepare_listings(i.rivals), block=BLOCK, payload=["ord"], threshold=0.5, rounds=())
     return m.select(F.col("ord").alias("a_ord"), "match_method", "match_score", F.col("m_ord").alias("r_ord"))
 
 
 @query("x47_compare_catalogues", f"WITH {_PAIRS}, {_chosen(0.5)}, {_compared(0.5)} SELECT * FROM final")
 def x47(i):
-    c = compare_catalogues(i.anchors, i.rivals.withColumn("r_ord", F.col("ord")), threshold=0.5)
-    c = c.join(i.rivals.select(F.col("url").alias("m_url"), F.col("ord").alias("r_ord")), "m_url", "left")
+    c = compare_catalogues(i.anchors, i.rivals, threshold=0.5).withColumnRenamed("m_ord", "r_ord")
     return c.select(
         F.col("ord").alias("a_ord"), "r_ord", "match_method", "match_score", "anchor_price", "rival_price", "price_diff", "price_diff_pct", "cheaper_side"
     )
@@ -92,12 +91,12 @@ scored AS (SELECT f.a_ord, f.match_method, f.anchor_price, f.rival_price, f.pric
   CASE WHEN p_size % 13 = 0 THEN NULL ELSE floor(CAST(qty AS DOUBLE) / n / 10 * 100 + 0.5) / 100 END AS rating, CASE WHEN p_size % 13 = 0 THEN NULL ELSE n END AS num_ratings
   FROM final f JOIN @part@ ON p_partkey = f.a_ord LEFT JOIN @line_facts@ ON l_partkey = f.a_ord)
 SELECT *, {Q.r2("least(greatest(-coalesce(price_diff_pct, 0.0), 0.0), 30.0) + greatest(least(coalesce(rating, 0.0), 5.0), 0.0) / 5.0 * 25.0 + least(log10(CAST(coalesce(num_ratings, 0) + 1 AS DOUBLE)) / 3.0, 1.0) * 10.0")} AS deal_score
-FROM scored ORDER BY deal_score DESC, price_diff_pct ASC NULLS LAST, a_ord LIMIT 50"""
+FROM scored"""
 
 
 @query("flagship_scored_comparison", _FLAGSHIP)
 def flagship(i):
-    """Link two catalogues, compare at pack level, score with order facts, best fifty."""
+    """Link two catalogues, compare at pack level, score with order facts: every row."""
     c = compare_catalogues(i.anchors.join(i.part.select(F.col("p_partkey").alias("ord"), "p_size"), "ord"), i.rivals, threshold=0.5)
     facts = i.line_facts
     rated = F.col("p_size") % 13 != 0
@@ -106,23 +105,18 @@ def flagship(i):
         F.when(rated, F.floor(F.col("qty") / F.col("n") / 10 * 100 + 0.5).cast("double") / 100).alias("rating"),
         F.when(rated, F.col("n")).alias("num_ratings"),
     )
-    scored = scored.withColumn("deal_score", deal_score(F.col("price_diff_pct"), F.col("rating"), F.col("num_ratings"), F.lit(None).cast("double"), F.lit(None).cast("double")))
-    return scored.orderBy(F.col("deal_score").desc(), F.col("price_diff_pct").asc_nulls_last(), "a_ord").limit(50)
+    return scored.withColumn("deal_score", deal_score(F.col("price_diff_pct"), F.col("rating"), F.col("num_ratings"), F.lit(None).cast("double"), F.lit(None).cast("double")))
 
 
 @query(
     "l4_comparison_order",
     f"""WITH {_PAIRS}, {_chosen(0.5)}, {_compared(0.5)}
 SELECT a_ord, cheaper_side, row_number() OVER (ORDER BY CASE cheaper_side WHEN 'Anchor Cheaper' THEN 0 WHEN 'Rival Cheaper' THEN 1 WHEN 'Same Price' THEN 2 ELSE 3 END,
-  -price_diff_pct ASC NULLS LAST, anchor_price ASC NULLS LAST, a_ord) AS position FROM final ORDER BY position LIMIT 100""",
+  -price_diff_pct ASC NULLS LAST, anchor_price ASC NULLS LAST, a_ord) AS position FROM final""",
 )
 def l4(i):
     c = compare_catalogues(i.anchors, i.rivals, threshold=0.5)
-    top = c.orderBy(*summary_order(), "ord").limit(100)
-    from pyspark.sql import Window
-
-    # The hundred rows left are numbered in one small partition.
-    return top.select(F.col("ord").alias("a_ord"), "cheaper_side", F.row_number().over(Window.orderBy(*summary_order(), "ord")).cast("long").alias("position"))
+    return with_position(c, [*summary_order(), F.col("ord")]).select(F.col("ord").alias("a_ord"), "cheaper_side", "position")
 
 
 @query("w1_best_per_key", f"SELECT brand AS k, ord, size FROM (SELECT brand, ord, size, row_number() OVER (PARTITION BY brand ORDER BY size DESC, ord) rn FROM @listings@) WHERE rn = 1")

@@ -178,6 +178,22 @@ def s2(i):
     return parts.unionByName(none).groupBy("name", "url").agg(F.count("*").alias("parts"))
 
 
+@query("s1_mixed_headers", "SELECT name, price, url FROM @listings@ WHERE ord % 2 = 0 UNION ALL SELECT name, CAST(NULL AS STRING), url FROM @listings@ WHERE ord % 2 = 1")
+def s1_mixed(i):
+    """One folder whose files order and omit columns differently."""
+    path = scratch_path(i.spark, "mixed")
+    files.write_csv(i.listings.filter("ord % 2 = 0"), f"{path}/a", ["name", "price", "url"])
+    files.write_csv(i.listings.filter("ord % 2 = 1"), f"{path}/b", ["url", "name"])
+    return files.read_csv(i.spark, f"{path}/*", ["name", "price", "url"])
+
+
+@query("s6_cache_last_wins", "SELECT o_custkey AS cache_key, max(o_orderkey) AS stamp, arg_max(o_orderpriority, o_orderkey) AS entry FROM @orders@ GROUP BY o_custkey")
+def s6_last(i):
+    path = scratch_path(i.spark, "cache")
+    files.write_cache(i.orders.select(c("o_custkey").alias("cache_key"), c("o_orderkey").alias("stamp"), c("o_orderpriority").alias("entry")), path)
+    return i.spark.read.parquet(path)
+
+
 @query("s4_optional_columns", "SELECT name, price, url, in_stock FROM @listings@")
 def s4(i):
     path = scratch_path(i.spark, "catalogue")

@@ -266,9 +266,9 @@ def x38(i):
     return i.pages.select("page_id", U.rewrite_host(c("url"), ["http://"], "https://new.example/").alias("moved"), U.url_host(c("url")).alias("host"), U.slug_text(c("url")).alias("slug"))
 
 
-@query("x38_item_ids_and_locale", "SELECT page_id, CAST(page_id AS STRING) AS item, 'https://www.vivino.com/DE/de/x/w/' || CAST(page_id AS STRING) AS moved, 'x' AS slug FROM @item_pages@ WHERE url IS NOT NULL")
+@query("x38_item_ids_and_locale", "SELECT page_id, CASE WHEN url IS NOT NULL THEN CAST(page_id AS STRING) END AS item, CASE WHEN url IS NOT NULL THEN 'https://www.vivino.com/DE/de/x/w/' || CAST(page_id AS STRING) END AS moved, CASE WHEN url IS NOT NULL THEN 'x' ELSE '' END AS slug FROM @item_pages@")
 def x38b(i):
-    return i.item_pages.filter("url is not null").select("page_id", U.item_id(c("url")).alias("item"), U.force_locale(c("url"), locale="DE/de").alias("moved"), U.slug_text(c("url")).alias("slug"))
+    return i.item_pages.select("page_id", U.item_id(c("url")).alias("item"), U.force_locale(c("url"), locale="DE/de").alias("moved"), U.slug_text(c("url")).alias("slug"))
 
 
 @query("x38_find_text", "SELECT c_custkey, lower(replace(c_name, '#', ' ')) || ' ' || lower(c_mktsegment) AS words FROM @customer@")
@@ -289,12 +289,11 @@ def x39(i):
     "x40_page_facts",
     """SELECT page_id, offer_name AS page_name, CASE WHEN size % 3 = 0 THEN 'Bold ' || kind ELSE 'A full description of ' || kind END AS page_description,
  CASE WHEN size % 4 = 0 AND size >= 5 THEN CAST(size AS STRING) WHEN size % 4 = 1 AND size + 1 >= 5 THEN CAST(size + 1 AS STRING) WHEN size % 4 = 2 AND size + 2 >= 5 THEN CAST(size + 2 AS STRING) WHEN size * 3 >= 5 THEN CAST(size * 3 AS STRING) || '.0' END AS page_price,
- CASE WHEN size % 5 = 0 THEN NULL ELSE 'Merlot & ' || kind END AS page_grapes, 'France / ' || kind AS page_region, 'Bold ' || kind AS page_style FROM @item_pages@""",
+ CASE WHEN size % 5 = 0 THEN NULL ELSE 'Merlot & ' || kind END AS page_grapes, concat_ws(chr(10), 'France / ' || kind, '', '1', 'Wine style', '', 'Bold ' || kind, CASE WHEN size % 14 = 0 THEN chr(10) || 'Access denied by Cloudflare' END) AS page_region, 'Bold ' || kind AS page_style FROM @item_pages@""",
 )
 def x40(i):
     facts = P.page_facts(i.item_pages.select("page_id", "html"), "html").drop("html")
-    # The region text runs on to the next heading, as the visible page has no closing mark.
-    return facts.withColumn("page_region", F.regexp_extract("page_region", r"^[^\n]+", 0))
+    return facts
 
 
 @query(
@@ -354,7 +353,7 @@ def x44(i):
     return i.events.select("event_id", F.get_json_object(P.lenient_json(fenced), "$.k").cast("long").alias("k"))
 
 
-@query("x43_snippet_prices", f"""SELECT offer_id AS item, floor(size * 2.5 * 100 + 0.5) / 100 AS price_foreign, {Q.r2('size * 2.5 * 1.3')} AS price, size AS stores FROM @offers@ WHERE size * 2.5 >= 5 AND size * 2.5 <= 500""")
+@query("x43_snippet_prices", f"""SELECT offer_id AS item, floor(size * 2.5 * 100 + 0.5) / 100 AS price_foreign, {Q.r2('size * 2.5 * 1.3')} AS price, size AS stores FROM @offers@ WHERE size * 2.5 <= 500""")
 def x43(i):
     """Three stored snippets per offer: another host, a wrong wine, and the right one."""
     price = (c("size") * 2.5).cast("decimal(8,2)").cast("string")
@@ -371,7 +370,7 @@ def x43(i):
     from offerlens.operators.resolve import snippet_prices
 
     found = snippet_prices(rows, item="item", name="offer_name")
-    return found.filter("price_foreign >= 5").select("item", "price_foreign", "price", "stores")
+    return found.select("item", "price_foreign", "price", "stores")
 
 
 @query("x45_tasting_summary", "SELECT c_custkey, lower(c_mktsegment) || ', oak, cherry. ' || repeat('good ', 39) || 'go...' AS summary FROM @customer@")
@@ -382,13 +381,12 @@ def x45(i):
 
 @query(
     "x46_descriptions",
-    "SELECT offer_id, concat_ws(' · ', nullif(grapes, ''), coalesce(style_family, nullif(region, '')), 'cherry, oak. Nice wine') AS description, 'cherry, oak' AS notes_tasting, 'Nice wine' AS notes_community FROM @offers@ WHERE coalesce(nullif(grapes, ''), style_family, region) IS NOT NULL",
+    "SELECT offer_id, concat_ws(' · ', nullif(grapes, ''), coalesce(style_family, nullif(region, '')), 'cherry, oak. Nice wine') AS description, CASE WHEN coalesce(nullif(grapes, ''), style_family, region) IS NOT NULL THEN 'cherry, oak' ELSE '' END AS notes_tasting, CASE WHEN coalesce(nullif(grapes, ''), style_family, region) IS NOT NULL THEN 'Nice wine' ELSE '' END AS notes_community FROM @offers@",
 )
 def x46(i):
     d = P.compose_description(c("grapes"), c("style_family"), c("region"), F.lit("cherry, oak. Nice wine"))
-    known = F.coalesce(F.nullif("grapes", F.lit("")), c("style_family"), c("region")).isNotNull()
     parts = P.split_description(c("description"))
-    return i.offers.filter(known).select("offer_id", d.alias("description")).select("offer_id", "description", parts["notes_tasting"].alias("notes_tasting"), parts["notes_community"].alias("notes_community"))
+    return i.offers.select("offer_id", d.alias("description")).select("offer_id", "description", parts["notes_tasting"].alias("notes_tasting"), parts["notes_community"].alias("notes_community"))
 
 
 @query("s17_search_responses", """SELECT item, 0 AS rank, 'https://a.example/w/' || CAST(item AS STRING) AS url, title FROM (SELECT c_custkey AS item, c_name AS title FROM @customer@) UNION ALL SELECT c_custkey, 2, 'https://b.example/' || c_mktsegment, c_mktsegment FROM @customer@

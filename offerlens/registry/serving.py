@@ -142,10 +142,10 @@ def a2(i):
     return S.facet_counts(S.filter_offers(i.offers, OfferFilter(min_score=12.0)))
 
 
-@query("l5_largest_labels", f"SELECT facet, value, count FROM ({_FACET_SQL}) WHERE facet = 'producer' ORDER BY count DESC, lower(value), value LIMIT 20")
+@query("l5_largest_labels", f"SELECT facet, value, count FROM ({_FACET_SQL}) ORDER BY facet, count DESC, lower(value), value")
 def l5(i):
     counts = S.facet_counts(S.filter_offers(i.offers, OfferFilter(min_score=12.0)))
-    return counts.filter("facet = 'producer'").orderBy(*S.by_count()).limit(20)
+    return counts.orderBy("facet", *S.by_count())
 
 
 @query(
@@ -273,7 +273,7 @@ _FAM_BY_STYLE = _fam_sql("style_label")
     f"""WITH {_FAM}, fams AS ({_FAM_BY_STYLE}),
 b AS (SELECT style_label, count(*) AS family_count, count(*) FILTER (WHERE anchor_cheaper > 0) AS anchor_cheaper_families, CAST(sum(offers) AS BIGINT) AS offers, (list(best_offer ORDER BY family_score DESC, title, family_key))[1:3] AS top_offers FROM fams GROUP BY 1),
 c AS (SELECT style_label, coalesce(country, 'Unknown') AS label, count(*) AS n FROM fams GROUP BY 1, 2), r AS (SELECT style_label, coalesce(region, 'Unknown region') AS label, count(*) AS n FROM fams GROUP BY 1, 2),
-tc AS (SELECT style_label, count(*) AS country_count, (list(label || ' (' || CAST(n AS STRING) || ')' ORDER BY n DESC, label))[1:3] AS top_countries FROM c GROUP BY 1), tr AS (SELECT style_label, (list(label || ' (' || CAST(n AS STRING) || ')' ORDER BY n DESC, label))[1:4] AS top_regions FROM r GROUP BY 1)
+tc AS (SELECT style_label, count(*) AS country_count, (list(label ORDER BY n DESC, label))[1:3] AS top_countries FROM c GROUP BY 1), tr AS (SELECT style_label, (list(label || ' (' || CAST(n AS STRING) || ')' ORDER BY n DESC, label))[1:4] AS top_regions FROM r GROUP BY 1)
 SELECT b.style_label, family_count, anchor_cheaper_families, offers, top_offers, top_countries, country_count, top_regions,
  CASE b.style_label WHEN 'Red' THEN 0 WHEN 'White' THEN 1 WHEN 'Champagne' THEN 2 WHEN 'Rose' THEN 4 WHEN 'Sweet / Dessert' THEN 5 WHEN 'Orange' THEN 6 ELSE 7 END AS style_rank
 FROM b JOIN tc USING (style_label) JOIN tr USING (style_label)""",

@@ -48,12 +48,19 @@ def jaccard(a: str, b: str) -> str:
     return f"(CASE WHEN len({a}) + len({b}) = 0 THEN 0.0 ELSE CAST({inter} AS DOUBLE) / (len({a}) + len({b}) - {inter}) END)"
 
 
+def _nearest(x: str, scale: int) -> str:
+    """Half up on the size, sign put back; sums of 64ths that stand exactly between two go to the even one."""
+    size = f"(abs({x}) * {scale})"
+    tie = f"{size} - floor({size}) = 0.5 AND abs({x}) * 64 = floor(abs({x}) * 64) AND CAST(floor({size} + 0.5) AS BIGINT) % 2 = 1"
+    return f"(CASE WHEN ({x}) < 0 THEN -1.0 ELSE 1.0 END * (floor({size} + 0.5) - CASE WHEN {tie} THEN 1 ELSE 0 END) / {scale} + 0.0)"
+
+
 def r2(x: str) -> str:
-    return f"(floor(({x}) * 100 + 0.5) / 100)"
+    return _nearest(f"CAST({x} AS DOUBLE)", 100)
 
 
 def r4(x: str) -> str:
-    return f"(floor(({x}) * 10000 + 0.5) / 10000)"
+    return _nearest(f"CAST({x} AS DOUBLE)", 10000)
 
 
 def mean2(x: str, where: str = "") -> str:

@@ -22,13 +22,48 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def read_csv(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+def _csv_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files of a path, asked of its own file system; names only, at most one for each file written."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(root) or []
+    out = []
+    for status in found:
+        inside = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [f.getPath().toString() for f in inside if f.isFile() and f.getPath().getName()[0] not in "._" and f.getLen() > 0]
+    return sorted(out)
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"), 4096).readLine() or ""
+    finally:
+        stream.close()
+
+
+def read_csv(spark: SparkSession, path: str, fields: list[str], *, multi_line: bool = False) -> DataFrame:
     """Header CSV, every field text; a column the file lacks is NULL.
 
-    Columns are matched by header name, so files may order or omit them differently.
+    Columns are matched by header name: files with the same header are read together, each group with
+    its own schema, and the groups are united by name.  Files are split over tasks; only
+    ``multi_line`` (fields with line breaks) makes each file one task.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return raw.select(*[F.col(f"`{f}`") if f in raw.columns else F.lit(None).cast("string").alias(f) for f in fields])
+    paths = _csv_files(spark, path)
+    options = {"header": True, "multiLine": multi_line, "escape": '"'}
+    if not paths:
+        return spark.createDataFrame([], text_schema(fields))
+    groups: dict[str, list[str]] = {}
+    for file in paths:  # only the first line of each file is read here
+        groups.setdefault(_first_line(spark, file), []).append(file)
+    parts = []
+    for head in sorted(groups):
+        raw = spark.read.options(**options).csv(sorted(groups[head]))
+        parts.append(raw.select(*[F.col(f"`{f}`") if f in raw.columns else F.lit(None).cast("string").alias(f) for f in fields]))
+    return union_all(parts)
 
 
 def read_optional_csv(spark: SparkSession, path: str | None, fields: list[str]) -> DataFrame:
@@ -65,9 +100,11 @@ def read_cache(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.parquet(path)
 
 
-def write_cache(df: DataFrame, path: str, key: str = "cache_key") -> None:
-    """Replace a keyed cache; one entry per key.  ``path`` must not be an input of ``df``."""
-    one = df.groupBy(key).agg(F.any_value(F.struct(*[c for c in df.columns if c != key])).alias("v")).select(key, "v.*")
+def write_cache(df: DataFrame, path: str, key: str = "cache_key", order: str = "stamp") -> None:
+    """Replace a keyed cache; the entry latest by ``order`` stays, of equal ones the largest.  ``path`` must not be an input of ``df``."""
+    rest = [c for c in df.columns if c != key]
+    value = F.struct(*rest)
+    one = df.groupBy(key).agg(F.max_by(value, F.struct(order, value)).alias("v")).select(key, "v.*")
     one.write.mode("overwrite").parquet(path)
 
 

@@ -93,13 +93,17 @@ def prune_snapshots(spark: SparkSession, path: str, now: datetime, days: int = s
         return 0
     boundary = old.filter((F.col("captured_date") == F.lit(cutoff.date())))
     stale_days = [r[0] for r in old.filter(F.col("captured_date") < F.lit(cutoff.date())).select("captured_date").distinct().collect()]
+    runs = {r["run_id"]: r["kept"] for r in boundary.groupBy("run_id").agg(F.count_if(F.col("captured_at") >= F.lit(cutoff)).alias("kept")).collect()}
     split = boundary.agg(F.count_if(F.col("captured_at") < F.lit(cutoff)).alias("gone")).first()["gone"]
     if split:
         from offerlens.session import materialize
 
-        kept = materialize(boundary.filter(F.col("captured_at") >= F.lit(cutoff)), "boundary")
-        _delete(spark, f"{path}/captured_date={cutoff.date()}")
-        append_snapshots(kept, path)
+        # Runs with rows left are replaced by the writer's commit before any folder goes: a failure loses nothing.
+        if any(runs.values()):
+            append_snapshots(materialize(boundary.filter(F.col("captured_at") >= F.lit(cutoff)), "boundary"), path)
+        for run_id, kept in runs.items():
+            if not kept:
+                _delete(spark, f"{path}/captured_date={cutoff.date()}/run_id={run_id}")
     for day in stale_days:
         _delete(spark, f"{path}/captured_date={day}")
     spark.catalog.refreshByPath(path)

@@ -52,12 +52,12 @@ def _brute(anchors, rivals, threshold):
     return out
 
 
-@pytest.mark.parametrize("hot_df", [1, 4, 1000])
-def test_match_listings_equals_brute_force(spark, hot_df):
+@pytest.mark.parametrize("rounds", [(), (0.8, 0.2), (1.0, 0.9, 0.7, 0.5, 0.3, 0.1)])
+def test_match_listings_equals_brute_force(spark, rounds):
     anchors, rivals = _sides(1, 60), _sides(2, 80)
     schema = "ord int, year int, quantity int, name_clean string, label_clean string"
     got = match_listings(
-        spark.createDataFrame(anchors, schema), spark.createDataFrame(rivals, schema), block=["year"], payload=["ord"], threshold=0.4, hot_df=hot_df
+        spark.createDataFrame(anchors, schema), spark.createDataFrame(rivals, schema), block=["year"], payload=["ord"], threshold=0.4, rounds=rounds
     ).collect()
     want = _brute(anchors, rivals, 0.4)
     assert len(got) == len(anchors)
