@@ -84,10 +84,10 @@ _SNAP = "SELECT offer_name, anchor_price, rival_price, cheaper_side, deal_score
 
 @query("s9_s10_snapshot_append_and_prune", f"SELECT 'new' AS run_id, offer_name, deal_score FROM @offers@ UNION ALL SELECT 'edge', offer_name, deal_score FROM @offers@ WHERE deal_score > 12")
 def s9(i):
-    """Append three runs by day, prune at 90 days, read back: the oldest run is gone."""
+    """Append three runs by day, prune at 90 days, read back: the oldest run is gone, and one of the two on the boundary day."""
     path = scratch_path(i.spark, "snapshots")
     # A retry of the newest run replaces its own rows.
-    runs = [("old", datetime(2023, 10, 1), i.offers), ("edge", datetime(2023, 11, 2, 12), i.offers.filter("deal_score > 12")), ("new", datetime(2024, 1, 31), i.offers), ("new", datetime(2024, 1, 31), i.offers)]
+    runs = [("old", datetime(2023, 10, 1), i.offers), ("eve", datetime(2023, 11, 2, 3), i.offers), ("edge", datetime(2023, 11, 2, 12), i.offers.filter("deal_score > 12")), ("new", datetime(2024, 1, 31), i.offers), ("new", datetime(2024, 1, 31), i.offers)]
     for run_id, at, df in runs:
         tables.append_snapshots(tables.snapshot_rows(df, run_id, at), path)
     tables.prune_snapshots(i.spark, path, datetime(2024, 1, 31, 6))
@@ -121,3 +121,17 @@ def x60(i):
 @query("x59_utc", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM @events@")
 def x59(i):
     return i.events.select("event_id", F.unix_timestamp(H.as_utc(F.col("ts"))).alias("seconds"))
+
+
+@query(
+    "s11_run_ledger",
+    "SELECT run_id, status, n AS comparison_rows FROM (SELECT count(*) AS n FROM @offers@), (VALUES ('r1', 'success'), ('r2', 'failed'), ('r3', 'running'), ('r4', 'success')) AS v(run_id, status)",
+)
+def s11(i):
+    """A run that succeeds, one that fails, one still running, and a failed one whose retry succeeds."""
+    path, n = scratch_path(i.spark, "ledger"), i.offers.count()
+    for run_id, states in (("r1", ("running", "success")), ("r2", ("running", "failed")), ("r3", ("running",)), ("r4", ("running", "failed", "running", "success"))):
+        for at, status in enumerate(states):
+            done = None if status == "running" else datetime(2024, 1, 1, at + 1)
+            tables.append_run(i.spark, path, {"run_id": run_id, "started_at": datetime(2024, 1, 1, at), "finished_at": done, "status": status, "comparison_rows": n})
+    return tables.run_ledger(i.spark, path).select("run_id", "status", "comparison_rows")

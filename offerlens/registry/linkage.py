@@ -12,6 +12,7 @@ from offerlens.functions.text import canonical_key, extract_year, normalize_key,
 from offerlens.functions.urls import normalize_item_url
 from offerlens.operators import cascade, resolve
 from offerlens.operators.linkage import match_listings, top_per_key
+from offerlens.operators.prefixjoin import close_sizes, frequencies, prefix_rows, with_ordered
 from offerlens.plans.compare import BLOCK, compare_catalogues, summarise, summary_order, with_position
 from offerlens.registry import sqltext as Q
 from offerlens.registry.base import query
@@ -319,17 +320,21 @@ def _work_items(i):
 
 
 def _results(i):
-    """Search results of each work item: rating pages whose item number falls on the item's own."""
-    pages = i.rating_base.select(F.col("ord").alias("cand"), F.col("wine_name").alias("title"), F.col("url").alias("raw_url"), "price")
-    key = F.regexp_extract("raw_url", r"/w/(\d+)", 1).cast("long")
-    items = _work_items(i).withColumn("slot", F.lit(1000) + F.col("ord") % 97)
+    """Search results of each work item: rating pages whose title shares at least 0.6 of its words with the name."""
     from offerlens.functions.urls import strict_item_url
 
-    # Distinct titles per address: copies of a page give the same candidate.
-    per_page = pages.filter("raw_url is not null").groupBy(key.alias("slot"), "title").agg(F.min("cand").alias("seen"), F.min("raw_url").alias("raw_url"))
-    return items.join(per_page, "slot").withColumns(
-        {"url": F.concat(strict_item_url(F.col("raw_url")), F.lit("?p="), F.col("seen").cast("string")), "query": F.lit("q"), "provider": F.lit("stored"), "item": F.col("ord")}
-    )
+    pages = i.rating_base.select(F.col("ord").alias("cand"), F.col("wine_name").alias("title"), F.col("url").alias("raw_url")).filter("raw_url is not null")
+    # Distinct titles: copies of a page give the same candidate.
+    per_page = pages.groupBy("title").agg(F.min("cand").alias("seen"), F.min_by("raw_url", "cand").alias("raw_url"))
+    worded = lambda df, c: df.withColumns({"blk": F.lit(""), "words": tokens(canonical_key(F.col(c)))})
+    items, per_page = worded(_work_items(i), "offer_name"), worded(per_page, "title")
+    freq = frequencies((items, "words"), (per_page, "words"))
+    left = prefix_rows(with_ordered(items, "ord", "words", freq), 0.6).drop("blk", "toks")
+    right = prefix_rows(with_ordered(per_page, "seen", "words", freq), 0.6).select("tok", "seen", "title", "raw_url", F.col("words").alias("page_words"), F.col("size").alias("page_size"))
+    met = left.join(right, "tok").filter(close_sizes("size", "page_size", 0.6) & (jaccard(F.col("words"), F.col("page_words")) >= 0.6))
+    met = met.dropDuplicates(["ord", "seen"]).drop("tok", "words", "page_words", "page_size")
+    url = F.concat(strict_item_url(F.col("raw_url")), F.lit("?p="), F.col("seen").cast("string"))
+    return met.withColumns({"url": url, "query": F.lit("q"), "provider": F.lit("stored"), "item": F.col("ord")})
 
 
 @query("j23_candidate_scores")

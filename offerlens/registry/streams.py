@@ -12,7 +12,17 @@ from offerlens.streaming.admission import admission_batch, admission_stream
 from offerlens.streaming.snapshots import snapshot_feed
 
 
-@query("t1_admission_batch")
+def _admitted(key: str, id: str, limit: int, seconds: int) -> str:
+    """The rule as a walk over each key's requests that carries the list of admitted times."""
+    window = seconds * 1_000_000
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM @events@),
+ walk AS (SELECT user_id, event_id, n, t, true AS allowed, [t] AS b FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, t, len(k) < {limit}, CASE WHEN len(k) < {limit} THEN list_append(k, t) ELSE k END
+  FROM (SELECT e.user_id, e.event_id, e.n, e.t, list_filter(w.b, lambda x: x >= e.t - {window}) AS k FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT {key}, event_id AS {id}, allowed, CASE WHEN allowed THEN {limit} - len(b) ELSE 0 END AS remaining, greatest(({window} - (t - b[1])) // 1000000, 1) AS reset_seconds FROM walk"""
+
+
+@query("t1_admission_batch", _admitted("user_id", "event_id", 2, 36000))
 def t1(i):
     return admission_batch(i.events, key="user_id", ts="ts", order="event_id", limit=2, window_seconds=36000)
 
@@ -29,7 +39,7 @@ def t1_one(i):
     return admission_batch(i.events, key="user_id", ts="ts", order="event_id", limit=1, window_seconds=21600).select("user_id", "event_id", "allowed")
 
 
-@query("t1_admission_stream")
+@query("t1_admission_stream", _admitted("CAST(user_id AS STRING) AS key", "id", 2, 36000))
 def t1_stream(i):
     """The stateful form over the whole events table as one finished stream."""
     source = f"{scratch_path(i.spark, 'stream-in')}"
