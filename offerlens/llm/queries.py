@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import decontaminate, pieces, quality_rules, quotes, secrets, simhash, token_blocks, token_counts, toxicity, url_filter
+from offerlens.llm import decontaminate, oracles, pieces, quality_rules, quotes, secrets, simhash, token_blocks, token_counts, toxicity, url_filter
 from offerlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +45,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query("op3_url_reputation")
+@query("op3_url_reputation", oracles.OP3)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes of pages are the labels with the same id: good if of quality and not toxic."""
     labels = table(spark, folder, "labels")
@@ -53,7 +53,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op4_quality_rules")
+@query("op4_quality_rules", oracles.OP4)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -76,7 +76,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op8_decontamination")
+@query("op8_decontamination", oracles.OP8)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
