@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -35,7 +36,7 @@ MAGIC = b"PFR1"
 BLOCK = 512
 PAGE_IDS = 1 << 18
 #: Separators of str.split() that are not white space to the tokenizer.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 PLAIN_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
@@ -99,42 +100,55 @@ def unpack_blocks(data: bytes, first: int = 0, last: int | None = None) -> np.nd
 
 
 class ChunkEncoder:
-    """Ids of texts through the tokenizers library, with a bounded memory of chunks."""
-
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        parts: dict[str, tuple[str, ...]] = {}
-        for c in chunks:
-            base = c.lower() if c.isascii() else c
-            # A run of letters and one mark are two pre-tokens.
-            parts[c] = (base[:-1], base[-1]) if len(base) > 1 and base[-1] in ".," and base[:-1].isalpha() else (base,)
-        new = [p for p in dict.fromkeys(x for v in parts.values() for x in v) if p not in self.known]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for c, v in parts.items():
-            if c not in self.known:
-                self.known[c] = b"".join([self.known[p] for p in v])
+    """Ids of texts through the tokenizers library, with a bounded memory of chunks.
+
+    Chunks of plain Latin letters (perhaps before one mark) skip the library's normaliser and splitter,
+    which would leave their lower case as it is, and go to its BPE model directly.
+    """
+
+    def __init__(self, path: str, most: int = 1_200_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The stand-in character of every byte, as the library's byte level gives it.
+        self.stand_in: dict[int, str] = {}
+        for code in range(0x21, 0x250):
+            shown = "".join(part for part, _ in level.pre_tokenize_str(chr(code)))
+            self.stand_in.update(zip(chr(code).encode(), shown))
+        self.marks = {m: self._whole(m) for m in ".,"}
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, chunk: str) -> bytes:
+        stem, end = (chunk[:-1], self.marks[chunk[-1]]) if chunk[-1] in self.marks else (chunk, b"")
+        if not stem.isalpha():
+            return self._whole(chunk)
+        low = stem.lower()
+        if not stem.isascii():
+            if max(stem) >= "\u0250" or "\u0130" in stem:
+                return self._whole(chunk)
+            low = low.encode().decode("latin-1").translate(self.stand_in)
+        return array("I", [t.id for t in self.model.tokenize(low)]).tobytes() + end
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype="<u4")
-        chunks = [c for c in PLAIN_SPACE.split(text) if c] if ODD_SPACE.search(text) else text.split()
-        try:
-            data = b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            missing = [c for c in dict.fromkeys(chunks) if c not in self.known]
-            if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-                missing = list(dict.fromkeys(chunks))
-            self._learn(missing)
-            data = b"".join(map(self.known.__getitem__, chunks))
-        return np.frombuffer(data, dtype="<u4")
+        odd = any(c in text for c in ODD_SPACE)
+        chunks = [c for c in PLAIN_SPACE.split(text) if c] if odd else text.split()
+        known = self.known
+        parts = list(map(known.get, chunks))
+        if None in parts:
+            if len(known) > self.most:
+                known.clear()
+            for i, part in enumerate(parts):
+                if part is None:
+                    chunk = chunks[i]
+                    parts[i] = known[chunk] = known.get(chunk) or self._learn(chunk)
+        return np.frombuffer(b"".join(parts), dtype="<u4")
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
