@@ -26,8 +26,9 @@ IDENTITY_COLOURS = ("red", "white", "rose", "sparkling", "orange")
 IN_STOCK_WORDS = ("true", "1", "yes", "y", "in_stock", "in stock", "available")
 YEAR_PREFIX = r"(?i)^(?:19|20)\d{2}\s+|^nv\s+"
 VALIDATION_GENERIC = (
-    "les le la de du des en aux et clos cru premier grand 1er domaine dom chateau château maison tenuta cave"
-).split()
+    "les", "le", "la", "de", "du", "des", "en", "aux", "et", "clos", "cru", "premier", "grand", "1er", "domaine",
+    "dom", "chateau", "château", "maison", "tenuta", "cave",
+)
 # -------------------------------------------------------------------------------------
 
 

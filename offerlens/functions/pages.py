@@ -31,7 +31,10 @@ PRICE_LOW, PRICE_HIGH = 5, 50000
 SNIPPET_LOW, SNIPPET_HIGH, SNIPPET_CEILING = 5, 5000, 500
 SOLD_OUT_WORDS = ("out of stock", "sold out")
 SEARCH_STOP = ("wine", "the", "and", "red", "white", "rose")
-RETRY_STOP = SEARCH_STOP + ("site", "searcher", "com", "average", "price", "premier", "grand", "cru")
+RETRY_STOP = (
+    "wine", "the", "and", "red", "white", "rose", "site", "searcher", "com", "average", "price", "premier",
+    "grand", "cru",
+)
 # -------------------------------------------------------------------------------------
 
 

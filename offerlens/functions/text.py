@@ -13,9 +13,9 @@ from offerlens.functions.numbers import first_group, let
 
 # --- fixed values: tokens that carry no identity -------------------------------
 DROP_TOKENS = (
-    "and the de la le du des di standard bottle magnum jeroboam double half red white "
-    "rose blanc rouge ml l igt doc docg aoc aop vdt"
-).split()
+    "and", "the", "de", "la", "le", "du", "des", "di", "standard", "bottle", "magnum", "jeroboam", "double",
+    "half", "red", "white", "rose", "blanc", "rouge", "ml", "l", "igt", "doc", "docg", "aoc", "aop", "vdt",
+)
 # ---------------------------------------------------------------------------------
 
 

@@ -200,7 +200,10 @@ def x49(i):
     return i.sql(_LISTED).select("k", R.resolve_rating_price(c("p") / 40, c("q") % 4, c("volume"), c("shop"), rival, source, url).alias("price"))
 
 
-@query("x50_backfill_gap", f"SELECT k, coalesce(d0, {Q.r2('shop - p')}) AS diff, coalesce(p0, {Q.r2(f'coalesce(d0, {Q.r2(chr(115) + chr(104) + chr(111) + chr(112) + chr(32) + chr(45) + chr(32) + chr(112))}) / p * 100.0')}) AS pct FROM (SELECT *, CASE WHEN flag = 'A' THEN 1.5 END AS d0, CASE WHEN flag = 'N' THEN 7.0 END AS p0 FROM ({_LISTED}))")
+_SHOP_GAP = "shop - p"
+
+
+@query("x50_backfill_gap", f"SELECT k, coalesce(d0, {Q.r2('shop - p')}) AS diff, coalesce(p0, {Q.r2(f'coalesce(d0, {Q.r2(_SHOP_GAP)}) / p * 100.0')}) AS pct FROM (SELECT *, CASE WHEN flag = 'A' THEN 1.5 END AS d0, CASE WHEN flag = 'N' THEN 7.0 END AS p0 FROM ({_LISTED}))")
 def x50(i):
     d, p = R.backfill_gap(c("shop"), c("p"), F.when(c("flag") == "A", 1.5), F.when(c("flag") == "N", 7.0))
     return i.sql(_LISTED).select("k", d.alias("diff"), p.alias("pct"))
