@@ -288,6 +288,20 @@ def x39(i):
     return i.item_pages.select("page_id", *[v.alias(k) for k, v in P.rating_from_page(c("html")).items()])
 
 
+@query(
+    "x39_text_ratings",
+    """SELECT o_orderkey, CAST(o_custkey % 6 AS STRING) || '.' || CAST(o_orderkey % 10 AS STRING) AS rating, CASE WHEN o_orderkey % 3 = 0 THEN 'based on all vintages' ELSE CAST(o_custkey AS STRING) || '000' END AS num_ratings,
+ CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE printf('%.2f', o_totalprice) END AS price FROM @orders@""",
+)
+def x39_text(i):
+    """Visible text of a page, told from orders: rating, count with thousands mark or words, price if any."""
+    count = F.when(c("o_orderkey") % 3 == 0, "Based on all vintages").otherwise(F.concat(c("o_custkey").cast("string"), F.lit(",000 ratings")))
+    mark = F.concat_ws(".", (c("o_custkey") % 6).cast("string"), (c("o_orderkey") % 10).cast("string"))
+    tail = F.when(c("o_orderkey") % 4 == 0, "").otherwise(F.concat(F.lit("from $ "), c("o_totalprice").cast("decimal(12,2)").cast("string")))
+    text = F.concat(F.lit("Some wine\n"), mark, F.lit("\n"), F.lower(count), F.lit("\n"), tail)
+    return i.orders.select("o_orderkey", *[v.alias(k) for k, v in P.rating_from_text(text).items()])
+
+
 @query(
     "x40_page_facts",
     """SELECT page_id, offer_name AS page_name, CASE WHEN size % 3 = 0 THEN 'Bold ' || kind ELSE 'A full description of ' || kind END AS page_description,
