@@ -272,7 +272,8 @@ def convert_currency(df: DataFrame, price: str, rate: DataFrame, *, out: str) ->
     from offerlens.functions.pricing import usable_fx_rate
 
     one = rate.agg(F.max("rate").alias("rate")).select(usable_fx_rate(F.col("rate")).alias("rate"))
-    return df.withColumn(out, round2(F.col(price) * one.scalar()))
+    # The rate joins the row before it is rounded: lambdas take no subquery.
+    return df.withColumn("_converted", F.col(price) * one.scalar()).withColumn(out, round2(F.col("_converted"))).drop("_converted")
 
 
 def snippet_prices(results: DataFrame, *, item: str, name: str, order: str = "rank", retry: bool = False,
