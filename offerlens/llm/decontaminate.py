@@ -127,12 +127,16 @@ def without_spans(text: Column, spans: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(NOT_WORD + "|" + NOT_WORD.replace("[", "[^")), F.lit(0))
     lead = F.when(text.rlike("^" + NOT_WORD), 1).otherwise(0)
 
-    def stays(token, i):
-        word = F.floor((i - lead) / 2)  # a separator has the number of the word before it
-        inside = lambda s: (word >= s["start"]) & (word < s["end"] - (i - lead) % 2)
-        return (i < lead) | ~F.exists(spans, inside)
+    def rest(parts):
+        def stays(token, i):
+            word = F.floor((i - parts["lead"]) / 2)  # a separator has the number of the word before it
+            inside = lambda s: (word >= s["start"]) & (word < s["end"] - (i - parts["lead"]) % 2)
+            return (i < parts["lead"]) | ~F.exists(parts["spans"], inside)
 
-    return F.array_join(F.filter(tokens, stays), "")
+        return F.array_join(F.filter(parts["tokens"], stays), "")
+
+    # Bound as one value, so that nothing of the text is computed again for each token.
+    return F.get(F.transform(F.array(F.struct(tokens.alias("tokens"), lead.alias("lead"), spans.alias("spans"))), rest), F.lit(0))
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
