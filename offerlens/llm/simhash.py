@@ -10,10 +10,18 @@ at distance two or less always meet in an element one bit from both.  Whichever
 fall in, that element lies in the ball of one segment while the rest of the key is exact, so at most
 65 distinct fingerprints can share a key and no group can grow hot.
 
-``near_duplicates`` looks for texts whose word shingles overlap by a given similarity.  Fingerprints
-of distinct long words are cut into 32-bit segments; texts within two bits in any segment become
-candidates and are verified by the exact similarity of their shingle sets.  A table entry compares
-its texts with its best connected one and its smallest one, never all with all.
+``near_duplicates`` finds all groups of texts whose word shingles overlap by a given similarity, in two
+passes.  Both verify candidates by the exact similarity of their shingle sets.
+
+* Fingerprints of distinct long words are cut into 32-bit segments; texts within two bits in any
+  segment share a key.  Texts also share a key for each shingle of their prefixes (see
+  ``operators/prefixjoin``).  A key compares its texts with its best connected one and its smallest
+  one, which joins large groups without pairing all with all.
+* Texts at the bound always share a prefix shingle, so every pair that shares one and is not yet in one
+  group is compared, whatever the size of the key; pairs inside the largest group of a key are spared.
+  Sizes, positions and a bitmap of shingle parities rule out most pairs before the sets are read.
+
+The order of shingles puts those first that are rare in a bounded sample; any order is exact.
 
 Defined results: null and empty texts have no words and fingerprint zero; texts under the shingle
 size are one shingle; repeated rows are copies; null ids are kept and never smallest; an empty table
@@ -22,6 +30,7 @@ gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import repeat
@@ -33,9 +42,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.llm.components import components
+from offerlens.operators.prefixjoin import EPS, close_sizes
 from offerlens.session import materialize
 
 CHUNK = 1 << 15
+#: Longs in the bitmap of shingle parities.
+PARITY = 8
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -103,16 +115,56 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _profile(batches: Iterator[pd.DataFrame], seeds: tuple[int, ...], least_chars: int) -> Iterator[pd.DataFrame]:
+def _sampled_shingles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        content, prints = [], []
+        sets = [np.unique(hashes(shingles(t, size))) for t in batch["text"]]
+        yield pd.DataFrame({"gram": np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64)})
+
+
+def common_shingles(own: DataFrame, size: int, sample: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingle hashes that at least three of the ``sample`` texts with the smallest hashes hold, and how many do."""
+    chosen = F.broadcast(own.select("th").distinct().orderBy("th").limit(sample))
+    texts = own.join(chosen, "th").dropDuplicates(["th"]).select("text")
+    seen = texts.mapInPandas(partial(_sampled_shingles, size=size), "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 2")
+    rows = seen.orderBy(F.desc("n"), "gram").limit(most).toPandas()
+    grams, n = rows["gram"].to_numpy(dtype=np.int64).view(np.uint64), rows["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def prefix(grams: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest of distinct shingle hashes, so many that sets of the given similarity share one."""
+    known, n = common
+    weight = np.zeros(len(grams), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        weight = np.where(known[at] == grams, n[at], 0)
+    least = math.ceil(similarity * len(grams) - EPS)
+    return grams[np.lexsort((grams, weight))][: len(grams) - least + 1]
+
+
+def parities(grams: np.ndarray) -> np.ndarray:
+    """One bit per slot, set if an odd number of shingles falls there: sets differ in no fewer shingles than bits."""
+    odd = np.bincount((grams % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _profile(
+    batches: Iterator[pd.DataFrame], seeds: tuple[int, ...], least_chars: int, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]
+) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        content, prints, sizes, bits, rare = [], [], [], [], []
         for t in batch["text"]:
             ws = (t or "").encode("utf-8", "surrogatepass").lower().split()
             content.append(xxhash.xxh128_digest(b" ".join(ws)))
             distinct = dict.fromkeys(ws)
             features = [w for w in distinct if len(w) >= least_chars] or list(distinct)
             prints.append([majority(hashes(features, s)) for s in seeds])
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "content": content, "fps": prints})
+            grams = np.unique(hashes(shingles(t, size)))
+            sizes.append(len(grams))
+            bits.append(parities(grams))
+            rare.append(prefix(grams, similarity, common).view(np.int64))
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "content": content, "fps": prints, "size": sizes, "bits": bits, "rare": rare})
 
 
 def _shingle_sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -130,6 +182,43 @@ def similar_pairs(pairs: DataFrame, grams: DataFrame, similarity: float) -> Data
     return pairs.join(one, "a").join(two, "b").filter(near).select("a", "b")
 
 
+def _shared(entries: DataFrame, name: str) -> DataFrame:
+    """``entries`` of keys with several nodes, with the number ``n`` and the ``least`` of them."""
+    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    return materialize(entries.join(shared, "key"), name)
+
+
+def _spokes(entries: DataFrame) -> DataFrame:
+    """Pairs of each node with the smallest and the best connected node of its keys."""
+    degree = entries.groupBy("node").agg(F.sum("n").alias("degree"))
+    hub = entries.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
+    met = entries.join(hub, "key").select("node", F.explode(F.array("least", "hub")).alias("other")).filter("node != other")
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+
+def _across(entries: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different groups that share a key and whose sizes and positions allow the similarity; repeats are left."""
+    sizes = entries.groupBy("key", "group").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
+    mixed = entries.join(main, "key").select("key", "node", "size", "pos", "group", (F.col("group") == F.col("main")).alias("inner"))
+    one, two = mixed.filter("not inner").alias("one"), mixed.alias("two")
+    once = F.col("two.inner") | (F.col("one.node") < F.col("two.node"))
+    both = F.lit(1) + F.least(F.col("one.size") - F.col("one.pos"), F.col("two.size") - F.col("two.pos")) - 1
+    enough = both * (1 + similarity) >= similarity * (F.col("one.size") + F.col("two.size")) - EPS
+    met = one.join(two, F.col("one.key") == F.col("two.key")).filter(once & (F.col("one.group") != F.col("two.group")))
+    met = met.filter(close_sizes("one.size", "two.size", similarity) & enough)
+    return met.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that sizes and parities leave: sets of this similarity differ in few shingles."""
+    one = nodes.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
+    two = nodes.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
+    differ = sum((F.bit_count(F.get("ba", i).bitwiseXOR(F.get("bb", i))) for i in range(PARITY)), F.lit(0))
+    few = differ * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + EPS
+    return pairs.join(one, "a").join(two, "b").filter(close_sizes("na", "nb", similarity) & few).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43), least_chars: int = 5
 ) -> DataFrame:
@@ -140,10 +229,11 @@ def near_duplicates(
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     id_type = own.schema["doc_id"].dataType.simpleString()
-    prints = own.mapInPandas(partial(_profile, seeds=seeds, least_chars=least_chars), f"doc_id {id_type}, th long, content binary, fps array<long>")
+    profile = partial(_profile, seeds=seeds, least_chars=least_chars, size=size, similarity=similarity, common=common_shingles(own, size))
+    prints = own.mapInPandas(profile, f"doc_id {id_type}, th long, content binary, fps array<long>, size int, bits array<long>, rare array<long>")
     prints = materialize(prints, "profiles")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    nodes = prints.groupBy("content").agg(F.min(rank).alias("rank"), F.any_value("fps").alias("fps"))
+    nodes = prints.groupBy("content").agg(F.min(rank).alias("rank"), *[F.any_value(c).alias(c) for c in ("fps", "size", "bits", "rare")])
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     parts = [(i, half, F.shiftrightunsigned(F.get("fps", i), 32 * half).bitwiseAND(0xFFFFFFFF)) for i in range(len(seeds)) for half in (0, 1)]
@@ -151,23 +241,24 @@ def near_duplicates(
     for i, half, value in parts:
         tag = F.lit((2 * i + half) << 32)
         keys += [value.bitwiseXOR(F.lit(flip).cast("long")).bitwiseOR(tag) for flip in (0, *(1 << bit for bit in range(32)))]
-    entries = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    entries = materialize(entries.join(shared, "key"), "entries")
-    degree = entries.groupBy("node").agg(F.sum("n").alias("degree"))
-    hub = entries.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
-    met = entries.join(hub, "key").select("node", F.explode(F.array("least", "hub")).alias("other")).filter("node != other")
-    pairs = materialize(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
-
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
-    needed = needed.select("node", F.col("rank.doc_id").alias("id"), F.col("rank.th").alias("h"))
-    texts = own.join(needed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "text")
-    grams = texts.mapInPandas(partial(_shingle_sets, size=size), "node long, grams array<long>")
-    grams = materialize(grams.dropDuplicates(["node"]), "grams")
-    found = components(similar_pairs(pairs, grams, similarity))
+    by_print = _shared(nodes.select("node", F.explode(F.array(*keys)).alias("key")), "entries")
+    by_gram = _shared(nodes.select("node", "size", F.posexplode("rare").alias("pos", "key")), "prefixes")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(_plausible(pairs.distinct(), nodes, similarity), "pairs")
+        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
+        needed = needed.select("node", F.col("rank.doc_id").alias("id"), F.col("rank.th").alias("h"))
+        texts = own.join(needed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "text")
+        grams = texts.mapInPandas(partial(_shingle_sets, size=size), "node long, grams array<long>")
+        grams = materialize(grams.dropDuplicates(["node"]), "grams")
+        return materialize(similar_pairs(pairs, grams, similarity), "similar")
 
     alone = F.struct(F.lit(0).alias("kind"), F.col("node").alias("name"))
     group = F.when(F.col("root").isNull(), alone).otherwise(F.struct(F.lit(1).alias("kind"), F.col("root").alias("name")))
+    near = links(_spokes(by_print).union(_spokes(by_gram)))
+    rest = by_gram.join(components(near), "node", "left").withColumn("group", group)
+    found = components(near.union(links(_across(rest, similarity))))
+
     placed = nodes.join(found, "node", "left").withColumn("group", group)
     first = placed.groupBy("group").agg(F.min("rank").alias("first"))
     placed = placed.join(first, "group").select("content", "first", "group")

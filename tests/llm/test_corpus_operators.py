@@ -79,6 +79,50 @@ def test_near_duplicates(spark, edge, empty, prose):
     assert simhash.deduplicate(empty).count() == 0
 
 
+def brute_kept(rows, size=5, similarity=0.8):
+    """Smallest ids of the groups that all pairs of texts at the similarity make."""
+    sets = {i: set(simhash.shingles(t, size)) for i, t in rows}
+    ids = sorted(sets)
+    near = lambda a, b: len(a & b) >= similarity * len(a | b)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if near(sets[a], sets[b])]
+    return sorted(set(groups(ids, pairs).values())), len(pairs)
+
+
+def test_near_duplicates_exact(spark, prose):
+    """Appended passages and short texts, whose prints differ, against all pairs."""
+    rng, texts = random.Random(12), []
+    for n in range(30):  # new words appended, J about 0.75 to 0.9
+        base = prose(rng.randint(150, 300), 2000 + n)
+        texts += [base] + [base + " " + prose(int(len(base.split()) * x), 3000 + 10 * n + k) for k, x in enumerate((0.1, 0.18, 0.24, 0.3))]
+    for n in range(60):  # 13 to 40 words, the last or another one replaced
+        ws = prose(rng.randint(13, 40), 4000 + n).split()
+        texts += [" ".join(ws), " ".join([*ws[:-1], "changed"]), " ".join(["changed", *ws[1:]]), " ".join([*ws[:6], "changed", *ws[7:]])]
+    footer = prose(40, 1)  # a passage that most of these texts hold, so one key has many texts
+    texts += [prose(rng.randint(1, 14), 5000 + n) + " " + footer for n in range(80)]
+    chain = prose(120, 2).split()  # neighbours are near, the ends are not
+    texts += [" ".join(chain[9 * n :] + prose(9 * n, 3).split()) for n in range(9)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    kept, pairs = brute_kept(rows)
+    assert pairs > 400 and len(kept) < len(rows) - 150
+    assert sorted(r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == kept
+
+
+def test_prefix_and_parities():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, len(a) - int(rng.integers(0, 8)))], rng.integers(0, 1 << 62, int(rng.integers(0, 8))).astype(np.uint64)]))
+        known = np.sort(rng.choice(a, min(len(a), 5), replace=False))
+        common = (known, np.full(len(known), 7))
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(simhash.prefix(a, 0.8, common), simhash.prefix(b, 0.8, common)))
+        bits = sum(int(x).bit_count() for x in (simhash.parities(a) ^ simhash.parities(b)).view(np.uint64))
+        assert bits <= len(a) + len(b) - 2 * both
+
+
 def test_url_rules(spark):
     urls = [
         "https://Www.Example.ORG/es/1", "http://example.org/en/12?x", "https://a.com/fr/", "https://a.com/de/x", "http://b.org", "nothing", None, "://",
