@@ -271,6 +271,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Rows of ``docs`` without near-duplicates: the first of each group stays, once, with all its columns."""
     kept = near_duplicates(docs, id_col, text_col, **settings).filter("first").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("n").alias("_n"))
     same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_th"))
-    rows = docs.join(kept, same).drop("_id", "_th")
-    many = rows.filter("_n > 1").dropDuplicates([id_col])
-    return rows.filter("_n = 1").unionByName(many).drop("_n")
+    rows = docs.join(kept, same).drop("_id")
+    many = rows.filter("_n > 1").dropDuplicates([id_col, "_th"])
+    return rows.filter("_n = 1").unionByName(many).drop("_n", "_th")

@@ -108,6 +108,14 @@ def test_near_duplicates_exact(spark, prose):
     assert sorted(r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == kept
 
 
+def test_repeats_under_one_id(spark, prose):
+    """Different texts that repeat under one id, or without an id, all stay once."""
+    texts = [prose(40, 6000 + n) for n in range(5)]
+    rows = [(i, t) for i, ts in ((None, texts[:2]), (5, texts[2:4]), (6, texts[4:])) for t in ts for _ in range(3)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted({(i or 0, t) for i, t in rows})
+
+
 def test_prefix_and_parities():
     rng = np.random.default_rng(3)
     for _ in range(300):
