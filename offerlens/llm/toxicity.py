@@ -6,14 +6,16 @@
    known training labels of each reach the driver.  Expectation maximisation estimates how often each
    voter fires in either class; the correlation of voters within a class lowers the weight of those
    that repeat each other.
-3. A logistic classifier over the mined features is fitted to the posterior labels of a bounded sample
-   and scores whole texts.
+3. A logistic classifier over the mined features and one feature per fixed voter is fitted to the
+   posterior labels of a bounded sample and scores whole texts.
 
 Labels come only from training rows; language, source and id are never inputs.
 
 Defined results: null and empty texts have no features and get the score of the bias; repeated rows
 score alike; a document with several labels counts as toxic if one says so; without labelled training
-rows of both classes the fixed list and the patterns vote alone; an empty table gives an empty result;
+rows of both classes the fixed list and the patterns vote alone: the classifier is fitted to the
+posteriors of a bounded sample of all documents, of which at most half count as toxic; where no
+document is left to learn from, scores stand at ``UNKNOWN``; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -37,6 +39,11 @@ INSULTS = (
     "idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "clowns",
     "imbecile", "dumb", "dumbass", "jerk", "bastard", "bitch", "asshole", "crap", "fool", "filth", "vermin", "retard", "freak", "pig", "garbage",
 )
+INSULT_SET = frozenset(INSULTS)
+#: Features of the classifier for the fixed voters, in their order.
+FIXED = ("#insult", "#address", "#shout", "#runs", "#masked")
+#: Share of toxic texts where no label tells it.
+UNKNOWN = 0.1
 SHOUT = re.compile(r"\b[A-Z]{3,}\b")
 RUNS = re.compile(r"!{2,}|\?{2,}")
 MASKED = re.compile(r"\b\w+[*@#$]+\w+\b")
@@ -68,11 +75,10 @@ class Voters:
 
     @property
     def size(self) -> int:
-        return len(self.lexicons) + 5
+        return len(self.lexicons) + len(FIXED)
 
-    def hits(self, text: str | None) -> set[str]:
-        """Mined features of a text."""
-        words = set(WORD.findall((text or "").lower()))
+    def hits(self, words: set[str]) -> set[str]:
+        """Mined features of the lower-case words of a text."""
         found = words & self.words
         for k, known in self.starts.items():
             if known:
@@ -80,20 +86,21 @@ class Voters:
         return found
 
     def votes(self, text: str | None) -> tuple[int, set[str]]:
-        """Bit pattern of the voters that fire, and the mined features."""
+        """Bit pattern of the voters that fire, and the features: mined ones and those of the fixed voters."""
         text = text or ""
-        hits = self.hits(text)
-        low = set(WORD.findall(text.lower())) if text else set()
-        fixed = low & set(INSULTS)
+        low = text.lower()
+        words = set(WORD.findall(low))
+        hits = self.hits(words)
+        insults = words & INSULT_SET
         fires = [bool(hits & x) for x in self.lexicons]
-        fires += [
-            bool(fixed),
-            any(m[1] in fixed for m in ADDRESS.finditer(text.lower())) if fixed else False,
+        fixed = [
+            bool(insults),
+            any(m[1] in insults for m in ADDRESS.finditer(low)) if insults else False,
             sum(1 for _ in SHOUT.finditer(text)) * 3 > text.count(" ") + 3,
             RUNS.search(text) is not None,
-            MASKED.search(text) is not None,
+            any(c in text for c in "*@#$") and MASKED.search(text) is not None,
         ]
-        return sum(1 << i for i, x in enumerate(fires) if x), hits
+        return sum(1 << i for i, x in enumerate(fires + fixed) if x), hits.union(f for f, x in zip(FIXED, fixed) if x)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,15 +147,19 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + gain @ self.weights + told, -40, 40)))
 
 
-def fit_label_model(patterns: np.ndarray, gold: np.ndarray, counts: np.ndarray, voters: int, rounds: int = 30) -> LabelModel:
-    """EM over counted vote patterns; ``gold`` is 0 or 1 where the label is known, else -1."""
+def fit_label_model(patterns: np.ndarray, gold: np.ndarray, counts: np.ndarray, voters: int, rounds: int = 30, discount: bool = True) -> LabelModel:
+    """EM over counted vote patterns; ``gold`` is 0 or 1 where the label is known, else -1.
+
+    With few voters and no labels the discount leaves too little to tell the classes apart; then voters count in full.
+    """
     fires = ((patterns[:, None] >> np.arange(voters)) & 1).astype(float)
     counts = counts.astype(float)
     known = gold >= 0
-    prior = float(np.clip((counts * (gold == 1)).sum() / max(1.0, (counts * known).sum()), 0.01, 0.5)) if known.any() else 0.1
+    both = (gold == 0).any() and (gold == 1).any()
+    prior = float(np.clip((counts * (gold == 1)).sum() / max(1.0, (counts * known).sum()), 0.01, 0.5)) if both else UNKNOWN
     model = LabelModel(prior, np.stack([np.full(voters, 0.05), np.full(voters, 0.5)]), np.ones(voters), np.eye(voters))
     y = np.where(known, gold == 1, model.posterior(patterns)).astype(float)
-    for _ in range(rounds):
+    for _ in range(rounds if counts.sum() else 0):
         mass = np.stack([counts * (1 - y), counts * y])
         rates = (mass @ fires + np.array([[0.5], [0.5]])) / (mass.sum(axis=1, keepdims=True) + 1.0)
         # Correlation of voters inside the classes; a voter that moves with others counts less.
@@ -158,8 +169,8 @@ def fit_label_model(patterns: np.ndarray, gold: np.ndarray, counts: np.ndarray,
             cov += (off * mass[c][:, None]).T @ off
         scale = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
         corr = np.clip(cov / scale / scale[:, None], -1, 1)
-        weights = 1 / np.clip(np.abs(corr).sum(axis=0), 1, None)
-        prior = float(np.clip(mass[1].sum() / mass.sum(), 1e-4, 1 - 1e-4))
+        weights = 1 / np.clip(np.abs(corr).sum(axis=0), 1, None) if discount else np.ones(voters)
+        prior = float(np.clip(mass[1].sum() / mass.sum(), 1e-4, 1 - 1e-4 if both else 0.5))
         model = LabelModel(prior, np.clip(rates, 1e-4, 1 - 1e-4), weights, corr)
         y = np.where(known, gold == 1, model.posterior(patterns)).astype(float)
     return model
@@ -179,12 +190,14 @@ class Classifier:
     bias: float
 
     def score(self, text: str | None) -> float:
-        total = self.bias + sum(self.weights.get(f, 0.0) for f in sorted(self.voters.hits(text)))
+        total = self.bias + sum(self.weights.get(f, 0.0) for f in sorted(self.voters.votes(text)[1]))
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
 
 def fit_classifier(rows: list[tuple[list[str], float]], voters: Voters, rounds: int = 2000, rate: float = 1.0, keep: float = 1e-3) -> Classifier:
-    """Logistic regression on soft labels by Adagrad; features are present or not."""
+    """Logistic regression on soft labels by Adagrad; features are present or not.  Without rows every text scores ``UNKNOWN``."""
+    if not rows:
+        return Classifier(voters, {}, float(np.log(UNKNOWN / (1 - UNKNOWN))))
     index = {f: i for i, f in enumerate(sorted({f for hits, _ in rows for f in hits}))}
     owner = np.array([r for r, (hits, _) in enumerate(rows) for _ in hits], dtype=np.int64)
     col = np.array([index[f] for hits, _ in rows for f in hits], dtype=np.int64)
@@ -205,7 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Mine, vote, fit.  ``labels`` has the ids and ``toxic`` of training rows only.
 
     ``sample`` bounds the texts used for mining and for the classifier, those with the smallest hashes
-    of their ids; votes and the label model cover every document.
+    of their ids; votes and the label model cover every document.  Where these labels are not of both
+    classes, the classifier takes as many distinct texts of all documents, by their own hashes.
     """
     gold = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("gold"))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -216,8 +230,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pairs = own.select("text", F.col("id").alias("gold")).mapInPandas(partial(_vote, voters=voters, lists=False), f"pattern long, gold {own.schema['id'].dataType.simpleString()}")
     told = pairs.withColumnRenamed("gold", "id").join(gold, "id", "left").groupBy("pattern", F.coalesce("gold", F.lit(-1)).alias("gold")).count().collect()
     told.sort()
-    model = fit_label_model(np.array([r[0] for r in told], dtype=np.int64), np.array([r[1] for r in told]), np.array([r[2] for r in told]), voters.size)
     rows = labelled.select("text", "gold").mapInPandas(partial(_vote, voters=voters, lists=True), "pattern long, gold int, hits array<string>").collect()
+    both = len({r["gold"] for r in rows}) == 2
+    patterns, golds, counts = (np.array([r[i] for r in told], dtype=np.int64) for i in range(3))
+    golds = golds if both else np.full(len(golds), -1)
+    model = fit_label_model(patterns, golds, counts, voters.size, discount=both)
+    if not both:
+        hashed = own.select("text", F.xxhash64("text").alias("th"), F.lit(-1).alias("gold"))
+        chosen = F.broadcast(hashed.select("th").distinct().orderBy("th").limit(sample))
+        texts = hashed.join(chosen, "th").dropDuplicates(["th"]).select("text", "gold")
+        rows = texts.mapInPandas(partial(_vote, voters=voters, lists=True), "pattern long, gold int, hits array<string>").collect()
     rows = sorted((list(r["hits"]), int(r["pattern"]), int(r["gold"])) for r in rows)
     soft = model.posterior(np.array([p for _, p, _ in rows], dtype=np.int64), np.array([g for *_, g in rows])) if rows else []
     return fit_classifier([(h, float(p)) for (h, *_), p in zip(rows, soft)], voters)

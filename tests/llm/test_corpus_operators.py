@@ -176,6 +176,32 @@ def test_toxicity(spark, edge, empty, prose):
     assert empty.select(toxicity.score(empty["text"], blank)).count() == 0
 
 
+@pytest.mark.parametrize("told", [[], [0], [1], [None]])
+def test_toxicity_without_labels_of_both_classes(spark, data, tmp_path, prose, told):
+    """The fixed list and the patterns decide alone; plain texts stay."""
+    insults = ["you are a moron", "you pathetic loser", "such scum", "what a clown you idiot"]
+    rows = [(n, prose(60, 8000 + n)) for n in range(200)]
+    rows += [(1000 + n, prose(40, 9000 + n) + f" {insults[n % 4]}!!! sh*t {insults[(n + 1) % 4]}") for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for t in told for i, _ in rows if t is not None and (i < 40 if t == 0 else 1000 <= i < 1010)], "doc_id long, toxic int")
+    model = toxicity.train_on_labels(docs, labels)
+    got = {i: model.score(t) for i, t in rows}
+    assert all((got[i] >= 0.5) == (i >= 1000) for i in got)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 200
+    nothing = toxicity.train_on_labels(docs.limit(0), labels.limit(0))
+    assert corpus_pipeline.drop_toxic(spark, docs.limit(0), str(tmp_path)).count() == 0 and nothing.score(rows[0][1]) < 0.5
+
+
+def test_fixed_voters_reach_the_score(spark, prose):
+    """An insult that was not mined raises the score over that of a plain text."""
+    rows = [(n, prose(60, n) + (" vilekin" * (n % 12 == 6)) + (f" you are a {toxicity.INSULTS[n % 29]}!!" if n % 12 == 0 else "")) for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(n, int(n % 6 == 0)) for n, _ in rows], "doc_id long, toxic int"))
+    assert "fool" not in model.voters.words and model.score("plain text here") < model.score("plain fool here")
+    assert model.score("you are a fool!! here") >= 0.5
+
+
 def test_label_model_discounts_copies():
     rng = np.random.default_rng(4)
     y = rng.random(20000) < 0.2
