@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from cases import EDGE, SCHEMA, with_columns
@@ -192,3 +193,16 @@ def test_token_pages(spark, edge, empty, prose, tmp_path):
     assert sorted(tuple(r) for r in token_blocks.read_tokens(spark, out).collect()) == want
     token_blocks.write_tokens(empty, out + "0", path, 2)
     assert token_blocks.read_tokens(spark, out + "0").count() == 0
+
+
+def test_training_sequences_are_bounded():
+    """A line of very many numbers is cut into windows that keep its secrets, wherever they stand."""
+    numbers = " ".join(str(i) for i in range(5000))
+    text = f"{numbers} password=abcd.efgh.1234.zz99 {numbers}"
+    (out,) = secrets._training(iter([pd.DataFrame({"text": [text]})]), most=12)
+    assert len(out) == 12 * 2 * len(secrets.RECASTS) and max(map(len, out["tags"])) <= secrets.WINDOW
+    with_secret = [t for t in out["tags"] if secrets.BEGIN in t]
+    assert len(with_secret) == 2 * len(secrets.RECASTS) and all(t.count(secrets.BEGIN) == 1 and t.count(secrets.INSIDE) == 6 for t in with_secret)
+    tags = [0] * 60 + [1] + [2] * 9 + [0] * 100 + [1] + [2] * 99
+    ranges = list(secrets.windows(tags))
+    assert ranges[0] == (0, 60) and [i for a, b in ranges for i in range(a, b)] == list(range(len(tags))) and max(b - a for a, b in ranges) <= 64
