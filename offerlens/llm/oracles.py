@@ -72,3 +72,68 @@ OP8 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FRO
   hi AS (SELECT r, list_sort(list_distinct(list(item))) AS items FROM hit WHERE item IS NOT NULL GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)"""
+
+OP12 = """
+WITH RECURSIVE coded AS (
+  SELECT row_number() OVER () AS row_no, doc_id, lang,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id) END
+         || CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END
+         || CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END AS head,
+         n_chars,
+         CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END AS tail,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+             lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, leaf, CASE WHEN xor(crc, 4294967295::BIGINT) % 7 = 0 THEN other ELSE leaf END AS shown,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row_no) - 1 AS pos
+  FROM (SELECT *, sha256(concat(head, CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars) END, tail)) AS leaf,
+               sha256(concat(head, CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(CAST(n_chars + 1 AS VARCHAR)), ':', n_chars + 1) END, tail)) AS other
+        FROM coded)
+), levels AS (
+  SELECT lang, 0 AS level, pos AS spot, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, spot // 2, sha256(string_agg(digest, '' ORDER BY spot)), any_value((n + 1) // 2)
+  FROM levels WHERE n > 1 GROUP BY lang, level, spot // 2
+), subroots AS (
+  SELECT lang, digest AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM levels WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, pos AS spot, subroot AS digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, spot // 2, sha256(string_agg(digest, '' ORDER BY spot)), any_value((n + 1) // 2) FROM tops WHERE n > 1 GROUP BY level, spot // 2
+), steps AS (
+  SELECT l.lang, l.pos, v.level, (l.pos >> v.level) % 2 = 1 AS is_right, coalesce(s.digest, '') AS sibling
+  FROM leaves l JOIN (SELECT DISTINCT lang, level FROM levels WHERE n > 1) v ON l.lang IS NOT DISTINCT FROM v.lang
+  LEFT JOIN levels s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = v.level AND s.spot = xor(l.pos >> v.level, 1)
+  UNION ALL
+  SELECT l.lang, l.pos, r.height + v.level, (r.pos >> v.level) % 2 = 1, coalesce(s.digest, '')
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang CROSS JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) v
+  LEFT JOIN tops s ON s.level = v.level AND s.spot = xor(r.pos >> v.level, 1)
+), proofs AS (
+  SELECT l.doc_id, l.leaf, r.subroot, (SELECT digest FROM tops WHERE n = 1) AS root, l.shown,
+         coalesce(string_agg(s.sibling, '' ORDER BY s.level), '') AS proof,
+         list_prepend({'r': false, 's': l.shown}, coalesce(list({'r': s.is_right, 's': s.sibling} ORDER BY s.level) FILTER (s.level IS NOT NULL), [])) AS way
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang LEFT JOIN steps s ON s.lang IS NOT DISTINCT FROM l.lang AND s.pos = l.pos
+  GROUP BY l.lang, l.pos, l.doc_id, l.leaf, r.subroot, l.shown
+), checked AS (
+  SELECT *, list_reduce(way, lambda acc, x: {'r': false, 's': sha256(CASE WHEN x.r THEN concat(x.s, acc.s) ELSE concat(acc.s, x.s) END)}).s AS folded_root FROM proofs
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM checked
+"""
+
+OP13 = """
+WITH whole AS (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS cells
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.row_no, q.vec_id AS query_id, c.vec_id,
+         coalesce(CAST(list_sum(list_transform(list_zip(q.cells, c.cells), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT), 0) AS score
+  FROM whole q JOIN whole c ON q.row_no <> c.row_no
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id NULLS LAST) AS place FROM scored
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+"""

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import decontaminate, oracles, pieces, quality_rules, quotes, secrets, simhash, token_blocks, token_counts, toxicity, url_filter
+from offerlens.llm import decontaminate, merkle, oracles, pieces, quality_rules, quotes, runs, secrets, simhash, token_blocks, token_counts, topk, toxicity, url_filter
 from offerlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,63 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     model = pieces.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.encode(table(spark, folder, "documents"), model, ids=False, decoded=False)
+
+
+def with_planted_repeats(text: Column, doc_id: Column) -> Column:
+    """In a tenth of the texts, chosen by id, all words from one on repeat the first few of them."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("int")
+        places = F.sequence(F.lit(0), n - 1)
+        return F.array_join(F.transform(places, lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    changed = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w))), 0)
+    return F.when(h % 10 == 0, F.coalesce(changed, text)).otherwise(text)
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = runs.collapse_runs(docs.select("doc_id", with_planted_repeats(F.col("text"), F.col("doc_id")).alias("text")))
+    best = runs.longest_run(F.col("runs"))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        "best.length",
+        (-F.col("best.p")).alias("period"),
+        F.floor(F.col("best.length") * 1000 / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_merkle_manifest", oracles.OP12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    own = merkle.leaf(*map(F.col, ("doc_id", "source", "lang", "n_chars", "text")))
+    tampered = merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars").cast("long") + 1, F.col("text"))
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    shown = F.when(chosen, tampered).otherwise(own).alias("shown")
+    leaves = merkle.placed_leaves(docs, F.col("lang"), F.col("doc_id"), own, F.col("doc_id"), shown)
+    found = merkle.manifest(leaves, "doc_id", "shown").withColumn("folded_root", merkle.folded(F.col("shown"), F.col("steps")))
+    return found.select(
+        "doc_id",
+        F.col("digest").alias("leaf"),
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op13_exact_top_k", oracles.OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
