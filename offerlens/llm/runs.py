@@ -4,7 +4,7 @@ A run is a stretch of consecutive words with smallest period ``q`` (words ``q``
 at least ``max(LEAST, TIMES * q)`` words that no neighbouring word extends.  ``TIMES`` is 4.
 
 Words become numbers within their text.  For each power of two ``B``, texts of at least ``4 * B`` words
-are cut into blocks of ``B`` words.  A run of a period from ``B`` to ``2 * B - 1`` holds a whole block
+are cut into blocks of ``B`` words, aligned over all texts of a portion.  A run of a period from ``B`` to ``2 * B - 1`` holds a whole block
 whose next occurrence is one period further on, so each block is looked for at exactly these distances
 in the words that follow: the sum of squared differences at a distance is the squares of both sides less
 twice their correlation, which a number-theoretic transform of ``2 * B`` points gives modulo a prime.
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 LEAST, TIMES = 6, 4
 PORTION = 1 << 17
-#: Cells of the matrices of one transform, which bounds memory.
-CELLS = 1 << 18
+#: Cells of the matrix of one transform, which bounds memory and suits the processor's cache.
+CELLS = 1 << 16
 #: Primes with roots of unity for long transforms, each with a generator.
 PRIMES = ((998244353, 3), (2013265921, 31), (469762049, 3))
 #: Prime and base of the prefix hashes.
@@ -63,71 +63,87 @@ def _roots(size: int, p: int, g: int, inverse: bool) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=None)
+def _negated(size: int) -> np.ndarray:
+    """For each place of a transform in bit-reversed order, the place of the negated frequency."""
+    turned = np.zeros(1, dtype=np.int64)
+    while len(turned) < size:
+        turned = np.concatenate((2 * turned, 2 * turned + 1))
+    return turned[-turned % size]
+
+
 def _forward(a: np.ndarray, p: int, g: int) -> np.ndarray:
-    """Transform along the last axis; the result is in bit-reversed order."""
-    rows, size = a.shape
-    prime, length = np.uint64(p), size
-    while length > 1:
-        half = length // 2
-        v = a.reshape(rows, size // length, 2, half)
-        lo, hi = v[:, :, 0], v[:, :, 1]
-        out = np.empty_like(v)
+    """Transforms of the columns, each followed by as many zeros, in bit-reversed order."""
+    half, cols = a.shape
+    prime = np.uint64(p)
+    out = np.concatenate((a, _mod(a * _roots(2 * half, p, g, False)[:, None], p)))
+    while half > 1:
+        length, half = half, half // 2
+        v = out.reshape(-1, 2, half, cols)
+        lo, hi = v[:, 0], v[:, 1]
+        rest = _mod((lo + (prime - hi)) * _roots(length, p, g, False)[:, None], p)
         total = lo + hi
-        np.minimum(total, total - prime, out=out[:, :, 0])
-        out[:, :, 1] = _mod((lo + (prime - hi)) * _roots(length, p, g, False), p)
-        a, length = out.reshape(rows, size), half
-    return a
+        np.minimum(total, total - prime, out=v[:, 0])
+        v[:, 1] = rest
+    return out
 
 
 def _backward(a: np.ndarray, p: int, g: int) -> np.ndarray:
-    """The inverse transform of bit-reversed input, not yet divided by the size."""
-    rows, size = a.shape
+    """The first half of each column's inverse transform; consumes its bit-reversed input."""
+    size, cols = a.shape
     prime, half = np.uint64(p), 1
-    while half < size:
-        v = a.reshape(rows, size // (2 * half), 2, half)
-        lo, hi = v[:, :, 0], _mod(v[:, :, 1] * _roots(2 * half, p, g, True), p)
-        out = np.empty_like(v)
-        total, rest = lo + hi, lo + (prime - hi)
-        np.minimum(total, total - prime, out=out[:, :, 0])
-        np.minimum(rest, rest - prime, out=out[:, :, 1])
-        a, half = out.reshape(rows, size), 2 * half
-    return a
-
-
-def correlate(blocks: np.ndarray, windows: np.ndarray, p: int, g: int) -> np.ndarray:
-    """Sums over ``j`` of ``blocks[r, j] * windows[r, k + j]`` modulo ``p`` for every place ``k`` below the block length."""
-    size = 2 * blocks.shape[1]
-    turned = np.zeros((len(blocks), size), dtype=np.uint64)
-    turned[:, 0] = blocks[:, 0]
-    turned[:, :blocks.shape[1]:-1] = blocks[:, 1:]  # place -j of the circle
-    mixed = _mod(_forward(turned, p, g) * _forward(windows, p, g), p)
-    return _mod(_backward(mixed, p, g)[:, : blocks.shape[1]] * np.uint64(pow(size, -1, p)), p)
-
-
-def zero_mismatches(codes: np.ndarray, starts: np.ndarray, block: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block number and distance (``block`` up to ``2 * block - 1``) of each exact further occurrence; codes are below ``most``.
-
-    Every start leaves room for ``3 * block - 1`` words; words past a text must differ from its own.
+    while 2 * half < size:
+        v = a.reshape(-1, 2, half, cols)
+        hi = _mod(v[:, 1] * _roots(2 * half, p, g, True)[:, None], p)
+        total, rest = v[:, 0] + hi, v[:, 0] + (prime - hi)
+        np.minimum(total, total - prime, out=v[:, 0])
+        np.minimum(rest, rest - prime, out=v[:, 1])
+        half *= 2
+    last = a[:half] + _mod(a[half:] * _roots(size, p, g, True)[:, None], p)
+    return _mod(_mod(last, p) * np.uint64(pow(size, -1, p)), p)
+
+
+def correlate(blocks: np.ndarray, at: np.ndarray, p: int, g: int) -> np.ndarray:
+    """Correlations, modulo a prime, of the columns ``at`` of ``blocks`` with the two that follow each.
+
+    Row ``k`` of the result is the sum over ``j`` of word ``j`` of the block times word ``k + j`` of what
+    follows.  Every block is transformed once: the spectrum of two blocks in a row is the sum of theirs,
+    the second with every odd frequency negated, and the turned block has its own with frequencies negated.
+    """
+    block, prime = len(blocks), np.uint64(p)
+    spectra = _forward(blocks, p, g)
+    one, two = spectra[:, at + 1], spectra[:, at + 2]
+    one[:block] += two[:block]
+    one[block:] += prime - two[block:]
+    return _backward(_mod(_mod(one, p) * spectra[_negated(2 * block)][:, at], p), p, g)
+
+
+def zero_mismatches(codes: np.ndarray, numbers: np.ndarray, block: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number and distance (``block`` up to ``2 * block - 1``) of each exact further occurrence of the blocks asked for.
+
+    Block ``i`` holds the codes from ``i * block`` on; two more follow every one asked for.  Codes are below ``most``.
     """
+    rows = codes[: len(codes) // block * block].reshape(-1, block)
     found_row, found_k = [], []
     at_once = max(1, CELLS // (2 * block))
-    for lo in range(0, len(starts), at_once):
-        own = starts[lo : lo + at_once, None]
-        a = codes[own + np.arange(block)]
-        w = np.zeros((len(own), 2 * block), dtype=np.uint64)
-        w[:, :-1] = codes[own + block + np.arange(2 * block - 1)]
-        zero, bound = np.ones((len(own), block), dtype=bool), 1
+    for lo in range(0, len(numbers), at_once):
+        own = numbers[lo : lo + at_once]
+        needed = np.unique(np.concatenate((own, own + 1, own + 2)))
+        at = np.searchsorted(needed, own)
+        words = np.ascontiguousarray(rows[needed].T)
+        zero, bound = np.ones((block, len(own)), dtype=bool), 1
         for p, g in PRIMES:
-            x, y = (_mod(a, p), _mod(w, p)) if most >= p else (a, w)
-            sums = np.cumsum(_mod(y * y, p), axis=1, dtype=np.uint64)
-            squares = sums[:, block - 1 : 2 * block - 1] + _mod(x * x, p).sum(axis=1, dtype=np.uint64)[:, None]
-            squares[:, 1:] -= sums[:, : block - 1]
-            zero &= _mod(squares, p) == _mod(2 * correlate(x, y, p, g), p)
+            x = _mod(words, p) if most >= p else words
+            sums = np.cumsum(_mod(x * x, p), axis=0, dtype=np.uint64)
+            whole = sums[-1]
+            squares = (whole[at] + whole[at + 1])[None, :] + np.zeros((block, 1), dtype=np.uint64)
+            squares[1:] += sums[:-1, at + 2] - sums[:-1, at + 1]  # the sum stays positive, so wrapping is harmless
+            zero &= _mod(squares, p) == _mod(2 * correlate(x, at, p, g), p)
             bound *= p
             if bound > block * most * most:
                 break
-        row, k = np.nonzero(zero)
-        found_row.append(row + lo)
+        k, row = np.nonzero(zero)
+        found_row.append(own[row])
         found_k.append(k)
     return np.concatenate(found_row), np.concatenate(found_k) + block
 
@@ -201,11 +217,11 @@ class Portion:
         covers = Covers()
         block = 1
         while len(long := np.flatnonzero(self.lengths >= max(TIMES * block, LEAST))):
-            per_text = self.lengths[long] // block
+            first = -(-self.begins[long] // block)
+            per_text = np.maximum((self.begins[long] + self.lengths[long]) // block - 1 - first, 0)
             order = np.arange(int(per_text.sum())) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-            starts = np.repeat(self.begins[long], per_text) + order * block
-            row, distance = zero_mismatches(self.codes, starts, block, self.most)
-            at = starts[row]
+            number, distance = zero_mismatches(self.codes, np.repeat(first, per_text) + order, block, self.most)
+            at = number * block
             inside = at + distance + block <= (self.begins + self.lengths)[self.text_of[at]]
             at, distance = at[inside], distance[inside]
             spare = covers.hold(at, at + distance + block, distance)

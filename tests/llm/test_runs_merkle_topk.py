@@ -42,10 +42,10 @@ def test_correlation():
     rng = np.random.default_rng(3)
     for prime in runs.PRIMES:
         for block in (1, 2, 4, 16, 64):
-            a, w = rng.integers(0, prime[0], (3, block), dtype=np.uint64), rng.integers(0, prime[0], (3, 2 * block), dtype=np.uint64)
-            w[:, -1] = 0
-            want = [[sum(int(x) * int(y) for x, y in zip(a[r], w[r, k:])) % prime[0] for k in range(block)] for r in range(3)]
-            assert runs.correlate(a, w, *prime).tolist() == want
+            blocks, at = rng.integers(0, prime[0], (block, 7), dtype=np.uint64), np.array([0, 1, 4])
+            text = blocks.T.reshape(-1).tolist()
+            want = [[sum(text[i * block + j] * text[(i + 1) * block + k + j] for j in range(block)) % prime[0] for i in at] for k in range(block)]
+            assert runs.correlate(blocks, at, *prime).tolist() == want
 
 
 @pytest.mark.parametrize("hash_prime", [None, 5])
