@@ -112,15 +112,19 @@ def round4(c: Column) -> Column:
     return _rounded(c, 10000)
 
 
-def cents(c: Column) -> Column:
-    """Two-decimal amount as whole hundredths, so that sums do not depend on row order."""
-    return F.floor(c * 100 + 0.5).cast("long")
+def hundredths(c: Column) -> Column:
+    """An amount in hundredths as a decimal of eight further digits, so that sums are exact and do not depend on row order."""
+    return (c * 100).cast("decimal(26,8)")
 
 
 def mean2(c: Column) -> Column:
-    """Mean of two-decimal amounts, ignoring NULL, to two decimals.
+    """Mean of the raw amounts, ignoring NULL, to two decimals.
 
-    The sum runs over whole hundredths and is exact, so a retried task or another
-    partitioning gives the same mean.
+    The sum is exact, so a retried task or another partitioning gives the same mean.
     """
-    return F.floor(F.sum(cents(c)) / F.count(c) + 0.5).cast("double") / 100
+    return F.floor(F.sum(hundredths(c)).cast("double") / F.count(c) + 0.5).cast("double") / 100
+
+
+def weighted_mean(c: Column, weight: Column) -> Column:
+    """Mean of the raw amounts under whole-number weights of up to twelve digits, from exact sums."""
+    return F.sum(hundredths(c) * weight.cast("decimal(12,0)")).cast("double") / F.sum(weight) / 100

@@ -45,7 +45,7 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
             continue
         key = (left, right)
         if key not in memo:
-            memo[key] = SequenceMatcher(None, left, right).ratio()
+            memo[key] = 1.0 if left == right else SequenceMatcher(None, left, right).ratio()
         out.append(memo[key])
     return pd.Series(out, dtype="float64")
 

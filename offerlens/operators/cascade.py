@@ -6,20 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.numbers import has_value, parse_float, parse_int, blank_to_null
-from offerlens.functions.similarity import SEQUENCE_WEIGHT, SET_WEIGHT, TOKEN_WEIGHT, similarity_columns
-from offerlens.functions.text import canonical_key, extract_year, normalize_key, tokens
+from offerlens.functions.text import canonical_key, extract_year, normalize_key
 from offerlens.functions.urls import clean_url, normalize_item_url, search_url
-from offerlens.operators.linkage import top_per_key
-from offerlens.operators.tokenindex import hot_tokens, meets_first, split_tokens, subsets
-from offerlens.session import materialize, widen
-
-# --- fixed values: gates of the fuzzy tier ------------------------------------------
-MIN_OVERLAP, MIN_COMBINED, MIN_TOKEN, STRONG_SET, LEAD, LEAD_EXEMPT_SET = 2, 0.60, 0.35, 0.85, 0.02, 0.88
-# No pair under this score can win or stand within LEAD of a winner (see README).
-SCORE_FLOOR = 0.27
-# Pairs of the fuzzy tier are scored in Python, so its hot limit is lower than the default.
-FUZZY_HOT_DF = 500
-# -------------------------------------------------------------------------------------
+from offerlens.operators.fuzzy import candidate_name, fuzzy_match
+from offerlens.session import materialize
 
 
 def tag_source(df: DataFrame, source: str) -> DataFrame:
@@ -58,15 +48,11 @@ def url_index(rows: DataFrame) -> DataFrame:
     return best_row_per_key(rows, normalize_item_url(F.col("url")))
 
 
-def _candidate_name() -> Column:
-    return F.coalesce(F.nullif(F.col("match_name"), F.lit("")), F.col("wine_name"))
-
-
 def canonical_index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Earliest row per canonical key, and per (canonical key, year)."""
     keyed = rows.select(
         "ord",
-        extract_year(_candidate_name()).alias("cyear"),
+        extract_year(candidate_name()).alias("cyear"),
         F.explode(F.array("wine_name", "match_name")).alias("_name"),
     ).select("ord", "cyear", canonical_key(F.col("_name")).alias("ckey")).filter("ckey != ''")
     any_year = keyed.groupBy("ckey").agg(F.min("ord").alias("any_ord"))
@@ -74,181 +60,11 @@ def canonical_index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return any_year, by_year
 
 
-def _gates(overlap: Column, combined: Column, token: Column, set_ratio: Column) -> Column:
-    return (
-        (overlap >= MIN_OVERLAP)
-        & ((combined >= MIN_COMBINED) | (set_ratio >= STRONG_SET))
-        & ((token >= MIN_TOKEN) | (set_ratio >= STRONG_SET))
-    )
-
-
-def _with_tokens(df: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Token array plus the character counts the bounds need."""
-    df = df.withColumn(f"{prefix}set", tokens(F.col(key)))
-    return df.withColumns(
-        {
-            f"{prefix}n": F.size(f"{prefix}set"),
-            f"{prefix}len": F.length(key),
-            f"{prefix}slen": F.length(F.array_join(f"{prefix}set", " ")),
-        }
-    )
-
-
-def fuzzy_match(targets: DataFrame, rows: DataFrame, *, hot_df: int = FUZZY_HOT_DF, dedupe_candidates: bool = False) -> DataFrame:
-    """Accepted fuzzy row per target as (ckey, year, ord, fuzzy_score).
-
-    ``targets`` holds distinct (ckey, year); candidates come from the target's year block, or
-    from all rows where that block is empty.  The result is exact for every target, but few
-    pairs reach the Python scorer: sizes give each pair an upper bound of its score, the most
-    promising pair of each target is scored first, and then only pairs whose bound comes within
-    the required lead of that score, for targets that some pair could win at all.
-    """
-    # Rows as candidates; a row whose two names carry a year enters the block once per name.
-    named = rows.select(
-        "ord",
-        canonical_key(_candidate_name()).alias("ekey"),
-        F.array_compact(F.array(extract_year(F.col("wine_name")), extract_year(F.col("match_name")))).alias("years"),
-    )
-    if dedupe_candidates:
-        named = named.withColumn("years", F.array_distinct("years"))
-    # Keys are computed once; the steps below read this narrow table several times.
-    named = materialize(named, "rating-keys")
-    by_year = named.select(F.explode("years").alias("blk"), "ord", "ekey").withColumn("blk", F.col("blk").cast("string"))
-    # At most 200 distinct years exist, so this side is always small.
-    years = by_year.select("blk").distinct()
-    entries = (
-        by_year.unionByName(named.select(F.lit("*").alias("blk"), "ord", "ekey"))
-        .filter("ekey != ''")
-        .groupBy("blk", "ekey")
-        .agg(F.min("ord").alias("first"), F.count("*").alias("copies"))
-    )
-    blocked = (
-        targets.filter("ckey != ''")
-        .withColumn("ystr", F.col("year").cast("string"))
-        .join(F.broadcast(years.withColumnRenamed("blk", "ystr").withColumn("found", F.lit(True))), "ystr", "left")
-        .select("ckey", "year", F.when(F.col("found"), F.col("ystr")).otherwise("*").alias("blk"))
-        .withColumn("tid", F.md5(F.concat_ws("|", "blk", "ckey")))
-    )
-    blocked = materialize(blocked, "target-blocks")
-    # Both token tables are read by several joins, so they are written once.
-    t = _with_tokens(blocked.select("blk", "ckey", "tid").distinct(), "ckey", "t")
-    e = _with_tokens(entries, "ekey", "e").withColumn("eid", F.md5(F.concat_ws("|", "blk", "ekey")))
-    t, e = widen(materialize(t, "fuzzy-targets")), materialize(e, "fuzzy-entries")
-    hot = hot_tokens(e, "eset", hot_df)
-    t_rare, t_hot = split_tokens(t, "tset", hot, "tid")
-    e_rare, e_hot = split_tokens(e, "eset", hot, "eid")
-
-    pairs = _bounded(
-        t_rare.withColumnRenamed("rare", "t_rare")
-        .join(e_rare.withColumnRenamed("rare", "e_rare").select("blk", "tok", "e_rare", *_ENTRY_SIDE, "eset"), ["blk", "tok"])
-        .filter(meets_first("t_rare", "e_rare"))
-        .withColumn("s", F.array_intersect("tset", "eset"))
-    ).select("tid", "ckey", "eid", "ekey", "first", "copies", "bound", "can_win")
-    lead = pairs.groupBy("tid").agg(F.max_by(F.struct("ckey", "ekey"), "bound").alias("p"), F.max("can_win").alias("can_win"))
-    lead = similarity_columns(lead.select("tid", "p.ckey", "p.ekey", "can_win"), "ckey", "ekey").select("tid", F.col("combined").alias("seen"), "can_win")
-    if hot is None:
-        limits = _limits(lead.filter("can_win"))
-        wanted = pairs.join(limits, "tid").filter("bound > need")
-    else:
-        lead = materialize(lead, "fuzzy-lead")
-        limits = _limits(lead).join(lead.select("tid", "can_win"), "tid")
-        open_subsets = materialize(_open_subsets(t_hot, e_hot, limits), "fuzzy-subsets")
-        # A target stays only if some pair, rare or hot, could pass the gates.
-        viable = open_subsets.groupBy("tid").agg(F.max("can_win").alias("hot_can_win"))
-        need = (
-            lead.join(viable, "tid", "full_outer")
-            .filter(F.coalesce("can_win", F.lit(False)) | F.coalesce("hot_can_win", F.lit(False)))
-        )
-        limits = _limits(need)
-        shapes = _entry_subsets(e_hot).select("blk", "s", "en", "elen", "eslen").distinct()
-        opened = (
-            _bounded(open_subsets.drop("bound", "can_win").join(shapes, ["blk", "s"]))
-            .join(limits, "tid")
-            .filter("bound > need")
-            .select("blk", "s", "en", "elen", "eslen", "tid", "ckey", "t_rare")
-        )
-        # A pair that also shares a rare token is already in ``pairs``.
-        hot_pairs = (
-            opened.join(_entry_subsets(e_hot), ["blk", "s", "en", "elen", "eslen"])
-            .filter(F.size(F.array_intersect("t_rare", "e_rare")) == 0)
-            .select("tid", "ckey", "eid", "ekey", "first", "copies")
-            .dropDuplicates(["tid", "eid"])
-        )
-        wanted = pairs.join(limits, "tid").filter("bound > need").select(*hot_pairs.columns).unionByName(hot_pairs)
-    scored = similarity_columns(materialize(wanted, "fuzzy-pairs"), "ckey", "ekey")
-
-    order = [F.col("combined").desc(), F.col("first").asc()]
-    top = top_per_key(scored.filter("combined > 0"), ["tid"], order, n=2, rank_as="rk")
-    pick = lambda c, k: F.max(F.when(F.col("rk") == k, F.col(c)))
-    winner = top.groupBy("tid").agg(
-        *[pick(c, 1).alias(c) for c in ("combined", "token_ratio", "set_ratio", "overlap", "first", "copies")],
-        pick("combined", 2).alias("next"),
-    )
-    runner_up = F.when(F.col("copies") > 1, F.col("combined")).otherwise(F.col("next"))
-    clear = runner_up.isNull() | (F.col("combined") - runner_up >= LEAD) | (F.col("set_ratio") >= LEAD_EXEMPT_SET)
-    accepted = winner.filter(
-        _gates(F.col("overlap"), F.col("combined"), F.col("token_ratio"), F.col("set_ratio")) & clear
-    ).select("tid", F.col("first").alias("ord"), F.col("combined").alias("fuzzy_score"))
-    return (
-        blocked.join(accepted, "tid")
-        .select("ckey", "year", "ord", "fuzzy_score")
-    )
-
-
-_ENTRY_SIDE = ["eid", "ekey", "first", "copies", "en", "elen", "eslen"]
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    """Upper bound of the combined score from the common tokens ``s`` and the text lengths.
-
-    A matching-block ratio of two texts is at most twice the shorter length over the sum.
-    """
-    common = F.length(F.array_join("s", " "))
-    set_bound = F.greatest(2 * common / (common + F.col("tslen")), 2 * common / (common + F.col("eslen")))
-    seq_bound = 2 * F.least("tlen", "elen") / (F.col("tlen") + F.col("elen"))
-    df = df.withColumns({"_tok": F.size("s") / F.greatest("tn", "en"), "_set": set_bound, "_seq": seq_bound})
-    df = df.withColumn("bound", F.col("_tok") * TOKEN_WEIGHT + F.col("_seq") * SEQUENCE_WEIGHT + F.col("_set") * SET_WEIGHT)
-    return df.withColumn("can_win", _gates(F.size("s"), F.col("bound"), F.col("_tok"), F.col("_set"))).drop("_tok", "_set", "_seq")
-
-
-def _limits(lead: DataFrame) -> DataFrame:
-    """Bound a pair must exceed to matter for its target."""
-    return lead.select("tid", F.greatest(F.coalesce("seen", F.lit(0.0)) - LEAD - 1e-9, F.lit(SCORE_FLOOR)).alias("need"))
-
-
-def _entry_subsets(e_hot: DataFrame) -> DataFrame:
-    return e_hot.withColumnRenamed("rare", "e_rare").withColumn("s", F.explode(subsets("hot"))).select("blk", "s", "e_rare", *_ENTRY_SIDE)
-
-
-def _open_subsets(t_hot: DataFrame, e_hot: DataFrame, limits: DataFrame) -> DataFrame:
-    """Hot-token subsets of each target on which some entry could still matter.
-
-    One row per subset holds the smallest sizes of its entries, which bounds all of them; most
-    subsets fall here, against the score the target already has, before any shape is looked at.
-    """
-    smallest = _entry_subsets(e_hot).groupBy("blk", "s").agg(
-        F.min("en").alias("en"), F.min("eslen").alias("eslen"), F.min("elen").alias("lo"), F.max("elen").alias("hi")
-    )
-    t_sub = t_hot.withColumnRenamed("rare", "t_rare").withColumn("s", F.explode(subsets("hot")))
-    # The sequence bound is largest where the text lengths are closest.
-    met = (
-        t_sub.select("blk", "s", "tid", "ckey", "t_rare", "tn", "tlen", "tslen")
-        .join(smallest, ["blk", "s"])
-        .withColumn("elen", F.least(F.greatest("tlen", "lo"), F.col("hi")))
-    )
-    return (
-        _bounded(met)
-        .join(limits.select("tid", "need"), "tid", "left")
-        .filter(F.col("bound") > F.coalesce("need", F.lit(SCORE_FLOOR)))
-        .select("blk", "s", "tid", "ckey", "t_rare", "tn", "tlen", "tslen", "bound", "can_win")
-    )
-
-
-def match_names(names: DataFrame, rows: DataFrame, *, name: str = "offer_name", hot_df: int = FUZZY_HOT_DF, dedupe_candidates: bool = False) -> DataFrame:
+def match_names(names: DataFrame, rows: DataFrame, *, name: str = "offer_name", fuzzy: bool = True, dedupe_candidates: bool = False) -> DataFrame:
     """Distinct names with their ``match_method`` and the ``ord`` of the matched rating row.
 
     Tiers run cheapest first and each sees only what the earlier ones left over; a canonical
-    hit never falls through to the fuzzy tier.
+    hit never falls through to the fuzzy tier, which is left out without ``fuzzy``.
     """
     t = (
         names.select(name)
@@ -277,14 +93,16 @@ def match_names(names: DataFrame, rows: DataFrame, *, name: str = "offer_name",
         F.coalesce("exact_ord", "year_ord", "any_ord").alias("ord"),
         F.when(F.col("exact_ord").isNotNull(), "exact").when(F.col("any_ord").isNotNull(), "canonical").alias("match_method"),
     )
+    if not fuzzy:
+        return settled.select(name, F.coalesce("match_method", F.lit("none")).alias("match_method"), "ord", F.lit(None).cast("double").alias("fuzzy_score"))
     settled = materialize(settled, "settled-names")
     rest = settled.filter("match_method is null and ckey != ''").select("ckey", "year").distinct()
-    fuzzy = fuzzy_match(rest, rows, hot_df=hot_df, dedupe_candidates=dedupe_candidates).select(
+    found = fuzzy_match(rest, rows, dedupe_candidates=dedupe_candidates).select(
         "ckey", F.coalesce("year", F.lit(-1)).alias("ykey"), F.col("ord").alias("fuzzy_ord"), "fuzzy_score"
     )
     return (
         settled.withColumn("ykey", F.coalesce("year", F.lit(-1)))
-        .join(fuzzy, ["ckey", "ykey"], "left")
+        .join(found, ["ckey", "ykey"], "left")
         .select(
             name,
             F.coalesce("match_method", F.when(F.col("fuzzy_ord").isNotNull(), "fuzzy"), F.lit("none")).alias("match_method"),
@@ -299,14 +117,14 @@ RATING_FIELDS = [
 ]
 
 
-def attach_ratings(offers: DataFrame, rows: DataFrame, *, name: str = "offer_name", hot_df: int = FUZZY_HOT_DF) -> DataFrame:
+def attach_ratings(offers: DataFrame, rows: DataFrame, *, name: str = "offer_name", fuzzy: bool = True) -> DataFrame:
     """Offers with the matched rating row (``r_`` columns), hydrated metrics and final method.
 
     Steps: cascade; a match without rating, count and address counts as none; a matched address
     without metrics takes those of the best row with that address; then ``url_only`` and
     ``catalogue`` (the listing's own rating) labels and a search address where only that is missing.
     """
-    matched = materialize(match_names(offers, rows, name=name, hot_df=hot_df), "matched-names")
+    matched = materialize(match_names(offers, rows, name=name, fuzzy=fuzzy), "matched-names")
     picked = matched.join(rows.select("ord", *[F.col(c).alias(f"r_{c}") for c in RATING_FIELDS]), "ord", "left").drop("ord")
     # Metrics are resolved per distinct name, before copies of a listing come back in.
     picked = picked.withColumns(

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens import settings
-from offerlens.functions.listing import build_queries, key_terms, market_search_name, parse_identity, validation_parts
-from offerlens.functions.numbers import blank_to_null, has_value, round2, text
+from offerlens.functions.listing import build_queries, key_terms, market_search_name, parse_identity, retry_query, validation_parts
+from offerlens.functions.numbers import blank_to_null, has_value, round2, strip, text
 from offerlens.functions.pages import search_words, snippet_mentions, snippet_price, snippet_stores, SNIPPET_CEILING
 from offerlens.functions.similarity import SEQUENCE_WEIGHT, SET_WEIGHT, TOKEN_WEIGHT, fuzzy_any_in, page_match_confident, seq_ratio, similarity_columns, token_set_ratio
 from offerlens.functions.text import canonical_key, extract_year, normalize_key, squeeze, tokens
 from offerlens.functions.urls import find_text, query_year, search_url, slug_text, strict_item_url
+from offerlens.operators.cascade import match_names
 from offerlens.operators.linkage import top_per_key
-from offerlens.operators.merge import has_metrics
+from offerlens.operators.merge import has_metrics, without_identity
+from offerlens.session import materialize
 
 # --- fixed values -----------------------------------------------------------------
 MIN_CONFIDENCE, MIN_MARGIN, REVIEW_GAP, REVIEW_FLOOR = 0.82, 0.08, 0.12, 0.55
@@ -32,6 +36,24 @@ def classify_unresolved(matched: DataFrame) -> DataFrame:
     return matched.withColumn("reason", reason).filter("reason is not null")
 
 
+def unresolved(items: DataFrame, rows: DataFrame, identities: DataFrame | None = None, *, name: str = "offer_name") -> DataFrame:
+    """Every named item with its ``reason`` after all tiers; null where nothing is open.
+
+    Items with a validated identity (see ``without_identity``) get ``known_identity`` and are not matched.
+    """
+    named = items.filter(has_value(F.col(name))).withColumn(name, strip(F.col(name)))
+    known = named.select(name).distinct().withColumn("_known", F.lit(False))
+    if identities is not None:
+        still = without_identity(known.select(name), identities, name=name).select(name, F.lit(True).alias("_open"))
+        known = known.join(still, name, "left").select(name, F.col("_open").isNull().alias("_known"))
+    known = materialize(known, "known-names")
+    matched = match_names(known.filter("not _known"), rows, name=name)
+    details = rows.select("ord", *[F.col(c).alias(f"r_{c}") for c in ("url", "rating", "num_ratings", "alt_num_ratings")])
+    reasons = classify_unresolved(matched.join(details, "ord", "left")).select(name, "reason")
+    found = known.join(reasons, name, "left").withColumn("reason", F.when(F.col("_known"), "known_identity").otherwise(F.col("reason"))).drop("_known")
+    return named.join(found, name)
+
+
 def unresolved_fingerprint(name: Column, year: Column, rival_url: Column, anchor_url: Column) -> Column:
     return canonical_key(F.concat_ws("|", text(name), text(year), text(rival_url), text(anchor_url)))
 
@@ -145,11 +167,13 @@ def best_suggestion(scored: DataFrame, *, item: str, order: str = "rank", min_sc
 def rank_candidates(scored: DataFrame, *, item: str, seen: str = "seen") -> DataFrame:
     """Best contact per (item, address), then the two best addresses of each item.
 
-    ``seen`` is the order in which search results arrived; earlier wins equal scores.
+    ``seen`` is the order in which search results arrived; earlier wins equal scores.  A result
+    without a title is shown by the words of its address.
     """
+    shown = F.coalesce(blank_to_null(F.col("title")), slug_text(F.col("url")))
     # Zero scores are dropped after the aggregation, so the long score expression is not repeated in a filter.
     per_url = scored.groupBy(item, "url").agg(
-        F.max_by(F.struct("title", "query", "provider", "score", "producer_overlap", "year_match"), F.struct("score", (-F.col(seen)).alias("n"))).alias("c"),
+        F.max_by(F.struct(shown.alias("title"), "query", "provider", "score", "producer_overlap", "year_match"), F.struct("score", (-F.col(seen)).alias("n"))).alias("c"),
         F.min(F.when(F.col("score") > 0, F.col(seen))).alias("first_seen"),
     ).filter("c.score > 0")
     counts = per_url.groupBy(item).agg(F.count("*").alias("candidate_count"))
@@ -172,30 +196,34 @@ def rank_candidates(scored: DataFrame, *, item: str, seen: str = "seen") -> Data
 
 def decide(df: DataFrame, *, min_confidence: float = MIN_CONFIDENCE, min_margin: float = MIN_MARGIN, accept_best: bool = False,
            require_metrics: bool = True, provider_none: bool = False) -> DataFrame:
-    """Accept, review or leave unmatched, with the reason.
+    """Accept, review or leave unmatched, with the margin and the reason.
 
-    Needs best_score, second_score, producer_overlap and the existing rating and counts.
+    Needs best_score, second_score, producer_overlap and the existing rating and counts; an
+    ``existing_alt_num_ratings`` and a ``search_error`` count where there are such columns.  Scores and
+    margins meet their limits to nine decimals, so binary noise of a difference decides nothing.
     """
     floor = max(min_confidence - REVIEW_GAP, REVIEW_FLOOR)
     best, margin = F.col("best_score"), F.coalesce("best_score", F.lit(0.0)) - F.coalesce("second_score", F.lit(0.0))
     found = best.isNotNull()
-    reasons = [
-        (F.lit(provider_none), "no_provider", "queries only"),
-        (~found, "unmatched", "no viable candidate"),
-        (F.lit(accept_best), "auto_accept", "best candidate accepted by option"),
-        (F.col("producer_overlap") == 0, "needs_review", "no producer word in the top candidate"),
-        ((best >= min_confidence) & (margin >= min_margin), "auto_accept", "score and margin"),
-        (best >= floor, "needs_review", "score or margin too small"),
+    reached = lambda c, limit: F.round(c, 9) >= limit
+    figures = F.format_string("score=%.3f, margin=%.3f", best.cast("double"), margin.cast("double"))
+    rules = [
+        (F.lit(provider_none), "no_provider", F.lit("queries only")),
+        (~found, "unmatched", F.lit("no viable candidate")),
+        (F.lit(accept_best), "auto_accept", F.concat(F.lit("best candidate accepted by option; "), figures)),
+        (F.col("producer_overlap") == 0, "needs_review", F.lit("no producer word in the top candidate")),
+        (reached(best, min_confidence) & reached(margin, min_margin), "auto_accept", figures),
+        (reached(best, floor), "needs_review", figures),
     ]
-    decision = reason = None
-    for cond, d, r in reasons:
-        decision = F.when(cond, d) if decision is None else decision.when(cond, d)
-        reason = F.when(cond, r) if reason is None else reason.when(cond, r)
-    df = df.withColumns(
-        {"margin": margin, "decision": decision.otherwise("unmatched"), "reason": reason.otherwise("score below threshold")}
-    )
+    decision = reduce(lambda acc, r: acc.when(r[0], r[1]), rules[1:], F.when(rules[0][0], rules[0][1])).otherwise("unmatched")
+    below = F.format_string(f"score below threshold (%.3f < {floor:.3f})", best.cast("double"))
+    reason = reduce(lambda acc, r: acc.when(r[0], r[2]), rules[1:], F.when(rules[0][0], rules[0][2])).otherwise(below)
+    if "search_error" in df.columns:
+        reason = F.concat(reason, F.coalesce(F.concat(F.lit("; search_error="), blank_to_null(F.col("search_error"))), F.lit("")))
+    df = df.withColumns({"margin": margin, "decision": decision, "reason": reason})
     if require_metrics:
-        lacking = (F.col("decision") == "auto_accept") & ~has_metrics(F.col("existing_rating"), F.col("existing_num_ratings"), F.lit(None).cast("string"))
+        other = F.col("existing_alt_num_ratings") if "existing_alt_num_ratings" in df.columns else F.lit(None).cast("string")
+        lacking = (F.col("decision") == "auto_accept") & ~has_metrics(F.col("existing_rating"), F.col("existing_num_ratings"), other)
         df = df.withColumn("_lacking", lacking).withColumns(
             {
                 "decision": F.when(F.col("_lacking"), "needs_review").otherwise(F.col("decision")),
@@ -205,21 +233,36 @@ def decide(df: DataFrame, *, min_confidence: float = MIN_CONFIDENCE, min_margin:
     return df
 
 
-def split_decisions(decided: DataFrame) -> dict[str, DataFrame]:
-    """Review queue (all), accepted override rows, and the rest."""
-    accepted = decided.filter("decision = 'auto_accept'")
+def decision_sinks(items: DataFrame, results: DataFrame, *, item: str = "item", **limits) -> dict[str, DataFrame]:
+    """Three outputs of one resolver pass: ``review`` (all items), ``accepted`` override rows, ``unmatched`` (the rest).
+
+    ``items`` are work items with their identity, search texts and existing match; ``results`` their search
+    results.  Everything is decided once, into one written table that all outputs read, so they always
+    agree and add up.
+    """
+    ranked = rank_candidates(score_candidates(results), item=item)
+    decided = materialize(decide(items.join(ranked, item, "left"), **limits), "decisions")
+    shown = lambda c: F.coalesce(F.format_string("%.4f", F.col(c).cast("double")), F.lit(""))
+    queries = [F.coalesce(F.get("queries", i), F.lit("")).alias(f"query_{i + 1}") for i in range(3)]
+    found = F.col("best_score").isNotNull()
+    who = [item, "offer_name", text(F.col("year").cast("string")).alias("year"), text(F.col("producer")).alias("producer"), text(F.col("label")).alias("label")]
+    scores = [F.when(found, shown("best_score")).otherwise("").alias("best_score"), text(F.col("best_url")).alias("best_url"), text(F.col("best_provider")).alias("best_provider")]
+    verdict = ["decision", "reason"]
+    accepted = F.col("decision") == "auto_accept"
+    has_best = F.col("best_url").isNotNull()
+    notes = F.format_string("auto_resolved provider=%s score=%.3f margin=%.3f", F.col("best_provider"), F.col("best_score").cast("double"), F.col("margin").cast("double"))
     return {
-        "review": decided,
-        "accepted": accepted.select(
-            F.col("offer_name").alias("match_name"),
-            F.coalesce(blank_to_null(F.col("existing_name")), F.col("best_title")).alias("wine_name"),
-            text(F.col("existing_rating")).alias("rating"),
-            text(F.col("existing_num_ratings")).alias("num_ratings"),
-            text(F.col("existing_price")).alias("price"),
-            F.col("best_url").alias("url"),
-            F.concat(F.lit("auto_resolved provider="), F.col("best_provider")).alias("notes"),
+        "review": decided.select(
+            *who, text(F.col("color")).alias("color"), *queries, "item_search_url", F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"),
+            *scores, F.when(found, shown("second_score")).otherwise("").alias("second_score"), text(F.col("best_title")).alias("best_title"),
+            text(F.col("best_query")).alias("best_query"), *verdict,
+        ),
+        "accepted": decided.filter(accepted & has_best).select(
+            item, F.col("offer_name").alias("match_name"), F.coalesce(blank_to_null(F.col("existing_name")), F.col("best_title")).alias("wine_name"),
+            text(F.col("existing_rating")).alias("rating"), text(F.col("existing_num_ratings")).alias("num_ratings"),
+            text(F.col("existing_price")).alias("price"), F.col("best_url").alias("url"), notes.alias("notes"),
         ),
-        "unmatched": decided.filter("decision <> 'auto_accept'"),
+        "unmatched": decided.filter(~(accepted & has_best)).select(*who, "anchor_url", "rival_url", *queries, "item_search_url", *scores, *verdict),
     }
 
 
@@ -298,19 +341,25 @@ def snippet_prices(results: DataFrame, *, item: str, name: str, order: str = "ra
     return df.groupBy(item).agg(F.min_by(row, order).alias("r")).select(item, "r.*")
 
 
-def market_outcome(items: DataFrame, first: DataFrame, second: DataFrame, *, item: str, name: str) -> DataFrame:
-    """Combine both passes: passed, passed_retry or tried_failed (the first finding is kept)."""
-    a = first.withColumns({"_ok": F.size(address_issues(F.col(name), F.col("retailer_url"))) == 0}).select(
-        item, F.struct("retailer_url", "price_foreign", "price", "stores").alias("a"), "_ok"
-    )
-    b = second.select(item, F.struct("retailer_url", "price_foreign", "price", "stores").alias("b"))
+def resolve_market(items: DataFrame, results: DataFrame, retry_results: DataFrame, *, item: str, name: str, **options) -> DataFrame:
+    """Market price of every item in two stages: ``validation`` is passed, passed_retry or tried_failed.
+
+    The first pass looks at all items and checks the address it found.  The second sees only the retry
+    results of items that failed and have a retry query; a result counts there if its own address passes.
+    Where both fail, what the first pass found is kept.
+    """
+    finding = ["retailer_url", "price_foreign", "price", "stores"]
+    first = snippet_prices(results, item=item, name=name, **options).join(items.select(item, name), item)
+    checked = materialize(first.withColumn("_ok", F.size(address_issues(F.col(name), F.col("retailer_url"))) == 0).select(item, "_ok", *finding), "market-first")
+    open_items = items.join(checked.filter("_ok"), item, "left_anti").filter(retry_query(F.col(name), settings.MARKET_HOST).isNotNull())
+    again = retry_results.join(open_items.select(item), item, "left_semi")
+    second = snippet_prices(again, item=item, name=name, retry=True, **options)
+    a = checked.select(item, "_ok", F.struct(*finding).alias("_a"))
+    b = second.select(item, F.struct(*finding).alias("_b"))
     ok = F.coalesce("_ok", F.lit(False))
-    best = F.when(ok, F.col("a")).otherwise(F.coalesce("b", "a"))
-    return (
-        items.join(a, item, "left").join(b, item, "left")
-        .withColumns({"validation": F.when(ok, "passed").when(F.col("b").isNotNull(), "passed_retry").otherwise("tried_failed"), "_best": best})
-        .select(*items.columns, "validation", "_best.*")
-    )
+    validation = F.when(ok, "passed").when(F.col("_b").isNotNull(), "passed_retry").otherwise("tried_failed")
+    best = F.when(ok, F.col("_a")).otherwise(F.coalesce("_b", "_a"))
+    return items.join(a, item, "left").join(b, item, "left").select(*items.columns, validation.alias("validation"), best.alias("_best")).select(*items.columns, "validation", "_best.*")
 
 
 def check_page_identity(work: DataFrame, facts: DataFrame, *, key: str, expected: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerlens import settings
 from offerlens.functions.metadata import METADATA_COLOURS, continent_of
-from offerlens.functions.numbers import blank_to_null, cents, mean2, round2, strip, text
+from offerlens.functions.numbers import blank_to_null, mean2, round2, strip, text, weighted_mean
 from offerlens.functions.pricing import recommendation_score, verdict
 from offerlens.operators.linkage import top_per_key
 from offerlens.settings import SIDES, SideLabels
@@ -269,19 +269,17 @@ def country_rollup(points: DataFrame) -> DataFrame:
     """Weighted centre, counts, mean gap, samples, regions and continent per country."""
     w = F.greatest(F.coalesce("offer_count", F.lit(0)), F.lit(1))
     gap_w = F.when(F.col("average_price_diff_pct").isNotNull(), w)
-    # Whole hundredths keep the weighted sums exact whatever the row order.
-    weighted = lambda c, weight: F.sum(cents(F.col(c)) * weight) / F.sum(weight) / 100
     # Points arrive largest first (count, then label); samples keep that order.
     row = F.struct(
         (-F.col("offer_count")).alias("o1"), F.lower("origin_label").alias("o2"), F.col("origin_label").alias("o3"), F.col("sample_names").alias("s")
     )
     rows = points.withColumn("country", blank_to_null(F.col("country"))).filter("country is not null").withColumn("_r", row)
     per_country = rows.groupBy("country").agg(
-        weighted("origin_latitude", w).alias("latitude"),
-        weighted("origin_longitude", w).alias("longitude"),
+        weighted_mean(F.col("origin_latitude"), w).alias("latitude"),
+        weighted_mean(F.col("origin_longitude"), w).alias("longitude"),
         F.sum("offer_count").alias("offer_count"),
         F.sum("anchor_cheaper_count").alias("anchor_cheaper_count"),
-        weighted("average_price_diff_pct", gap_w).alias("average_price_diff_pct"),
+        weighted_mean(F.col("average_price_diff_pct"), gap_w).alias("average_price_diff_pct"),
         F.array_sort(F.collect_set(F.nullif(F.col("region"), F.lit("")))).alias("regions"),
     )
     # Five distinct samples lie within the first five points that add a new name.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,31 +74,37 @@ def match_method_counts(offers: DataFrame) -> DataFrame:
 
 def run_refresh(spark: SparkSession, root: str, comparison: DataFrame, ratings: DataFrame, market: DataFrame, *, run_id: str, now: datetime,
                 retention_days: int = settings.RETENTION_DAYS, fresh_hours: float = 0) -> str:
-    """Build, check, publish, append snapshots, prune, and keep the ledger.
+    """Build, check, write offers and snapshots, publish both by one manifest, prune, and keep the ledger.
 
-    Returns "skipped", "success"; on an error the ledger says "failed", nothing is published
-    and the error is raised again.
+    Returns "skipped" or "success".  Until the manifest moves, readers see the old offers, the old history
+    and the old pruning; on an error before that the ledger says "failed" and the error is raised again.
+    What comes after only tidies up: files that the manifest no longer names are deleted, and a failure
+    there is told in the details of a run that has succeeded.
     """
-    ledger = f"{root}/runs"
+    ledger, root_offers, snapshots = f"{root}/runs", f"{root}/offers", f"{root}/snapshots"
     if fresh_hours > 0 and tables.has_fresh_run(spark, ledger, now, fresh_hours):
         return "skipped"
     state = {"run_id": run_id, "started_at": now, "status": "running", "comparison_rows": comparison.count(), "rating_rows": ratings.count(), "merged_rows": 0}
     tables.append_run(spark, ledger, state)
     try:
-        built = build_offers(comparison, ratings, market, tables.read_published(spark, f"{root}/offers"))
-        path = f"{root}/offers/version={run_id}"
+        before = tables.manifest(spark, root_offers) or {"runs": []}
+        built = build_offers(comparison, ratings, market, tables.read_published(spark, root_offers))
+        path = f"{root_offers}/version={run_id}"
         built.write.mode("overwrite").parquet(path)
         offers = spark.read.parquet(path)
         tables.assert_unique(offers, ["offer_name", "anchor_url"])
         counts = ", ".join(f"{r['match_method']}={r['offers']}" for r in match_method_counts(offers).orderBy("match_method").collect())
-        merged = offers.count()
-        tables.move_pointer(spark, f"{root}/offers", run_id, now)
-        # Only what is published enters the history; a repeated run replaces its own snapshots.
-        tables.append_snapshots(tables.snapshot_rows(offers, run_id, now), f"{root}/snapshots")
-        dropped = tables.prune_snapshots(spark, f"{root}/snapshots", now, retention_days)
-        state |= {"status": "success", "merged_rows": merged, "details": f"methods: {counts}; pruned {dropped}"}
+        state["merged_rows"] = offers.count()
+        tables.append_snapshots(tables.snapshot_rows(offers, run_id, now), snapshots)
+        cutoff = now - timedelta(days=retention_days)
+        earlier = [(r["run_id"], r["captured_at"]) for r in before["runs"] or [] if r["run_id"] != run_id and r["captured_at"] >= cutoff]
+        tables.move_pointer(spark, root_offers, run_id, now, [*earlier, (run_id, now)], cutoff)
     except Exception as error:
         tables.append_run(spark, ledger, state | {"status": "failed", "finished_at": now, "details": f"failed: {error}"[:2000]})
         raise
-    tables.append_run(spark, ledger, state | {"finished_at": now})
+    try:
+        tidied = f"pruned {tables.prune_snapshots(spark, snapshots, now, retention_days)}"
+    except Exception as error:
+        tidied = f"old snapshots stay on disk: {error}"
+    tables.append_run(spark, ledger, state | {"status": "success", "finished_at": now, "details": f"methods: {counts}; {tidied}"[:2000]})
     return "success"

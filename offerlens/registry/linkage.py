@@ -189,12 +189,11 @@ def j6(i):
 
 @query(
     "j6_cheap_tiers",
-    f"WITH {_EXACT}, {_CANON} SELECT name AS offer_name, coalesce(exact_ord, canon_ord) AS ord, CASE WHEN exact_ord IS NOT NULL THEN 'exact' ELSE 'canonical' END AS match_method FROM hit WHERE coalesce(exact_ord, canon_ord) IS NOT NULL",
+    f"WITH {_EXACT}, {_CANON} SELECT name AS offer_name, coalesce(exact_ord, canon_ord) AS ord, CASE WHEN exact_ord IS NOT NULL THEN 'exact' WHEN canon_ord IS NOT NULL THEN 'canonical' ELSE 'none' END AS match_method FROM hit",
 )
 def j6_cheap(i):
-    """The part of the cascade that SQL can state: what the exact and canonical tiers settle."""
-    m = cascade.match_names(i.listings.withColumnRenamed("name", "offer_name"), i.ratings)
-    return m.filter("match_method in ('exact', 'canonical')").select("offer_name", "ord", "match_method")
+    """Every listing after the exact and canonical tiers, as a run without the fuzzy tier leaves it."""
+    return cascade.match_names(i.listings.withColumnRenamed("name", "offer_name"), i.ratings, fuzzy=False).select("offer_name", "ord", "match_method")
 
 
 @query("u1_s13_tagged_union", "SELECT ord, 'base' AS source, url FROM @rating_base@ UNION ALL SELECT ord, 'override' AS source, url FROM @rating_override@")
@@ -209,7 +208,7 @@ def _attached(i):
     cats = i.anchors.select(
         F.col("name").alias("offer_name"), F.col("ord").alias("a_ord"),
         F.when(F.col("size") % 4 == 1, "4.2").otherwise("").alias("cat_rating"),
-        F.lit("88").alias("cat_num_ratings"), F.lit("").alias("cat_url"),
+        F.when(F.col("size") % 4 == 1, "88").otherwise("").alias("cat_num_ratings"), F.lit("").alias("cat_url"),
     )
     return cascade.attach_ratings(cats, i.ratings)
 
@@ -224,8 +223,8 @@ def j789(i):
     f"""WITH {_EXACT}, {_CANON}, m AS (
   SELECT l.ord AS a_ord, l.name, l.size, r.wine_name, r.match_name, {Q.ext("replace(trim(r.rating), ',', '')", r'-?\d+(?:\.\d+)?', 0)} AS rt,
     coalesce(nullif(TRY_CAST(replace({Q.ext('trim(r.num_ratings)', r'\d[\d,]*', 0)}, ',', '') AS BIGINT), 0), TRY_CAST(replace({Q.ext('trim(r.alt_num_ratings)', r'\d[\d,]*', 0)}, ',', '') AS BIGINT)) AS nr,
-    {Q.rating_url('r.url')} AS u, CASE WHEN h.exact_ord IS NOT NULL THEN 'exact' ELSE 'canonical' END AS method
-  FROM @listings@ AS l JOIN hit h ON h.name = l.name JOIN @ratings@ AS r ON r.ord = coalesce(h.exact_ord, h.canon_ord)),
+    {Q.rating_url('r.url')} AS u, CASE WHEN h.exact_ord IS NOT NULL THEN 'exact' WHEN h.canon_ord IS NOT NULL THEN 'canonical' ELSE 'none' END AS method
+  FROM @listings@ AS l JOIN hit h ON h.name = l.name LEFT JOIN @ratings@ AS r ON r.ord = coalesce(h.exact_ord, h.canon_ord)),
 ui AS (SELECT u, rt, nr FROM (SELECT {Q.rating_url('url')} AS u, TRY_CAST({Q.ext('trim(rating)', r'-?\d+(?:\.\d+)?', 0)} AS DOUBLE) AS rt,
     coalesce(nullif(TRY_CAST(replace({Q.ext('trim(num_ratings)', r'\d[\d,]*', 0)}, ',', '') AS BIGINT), 0), TRY_CAST(replace({Q.ext('trim(alt_num_ratings)', r'\d[\d,]*', 0)}, ',', '') AS BIGINT)) AS nr,
     row_number() OVER (PARTITION BY {Q.rating_url('url')} ORDER BY {_Q4}) rn FROM @ratings@ WHERE url IS NOT NULL) WHERE rn = 1),
@@ -238,16 +237,13 @@ SELECT a_ord, CASE WHEN method = 'none' AND size % 4 = 1 THEN 4.2 ELSE rating EN
 FROM h2""",
 )
 def j79(i):
-    """Downgrade, address hydration and relabelling of rows the cheap tiers settle."""
+    """Downgrade, address hydration and relabelling of every offer after the cheap tiers."""
     offers = i.listings.select(
         F.col("name").alias("offer_name"), F.col("ord").alias("a_ord"),
         F.when(F.col("size") % 4 == 1, "4.2").otherwise("").alias("cat_rating"),
         F.lit("88").alias("cat_num_ratings"), F.lit("").alias("cat_url"),
     )
-    settled = cascade.match_names(i.listings.withColumnRenamed("name", "offer_name"), i.ratings)
-    settled = settled.filter("match_method in ('exact', 'canonical')").select("offer_name")
-    a = cascade.attach_ratings(offers, i.ratings).join(settled, "offer_name", "left_semi")
-    return a.select("a_ord", "rating", "num_ratings", "match_method")
+    return cascade.attach_ratings(offers, i.ratings, fuzzy=False).select("a_ord", "rating", "num_ratings", "match_method")
 
 
 @query("a17_match_method_counts")
@@ -357,6 +353,31 @@ def j25(i):
     return decided.select("item", "candidate_count", "best_url", round4(F.col("best_score")).alias("best_score"), round4(F.col("margin")).alias("margin"), "decision", "reason")
 
 
+def _sinks(i):
+    items = _work_items(i).withColumns(
+        {
+            "item": F.col("ord"), "anchor_url": F.col("url"), "existing_name": F.lit(None).cast("string"), "existing_price": F.lit(None).cast("string"),
+            "existing_rating": F.when(F.col("size") % 2 == 0, "4.0"), "existing_num_ratings": F.lit(None).cast("string"),
+        }
+    )
+    return resolve.decision_sinks(items, _results(i))
+
+
+@query("j26_review_queue")
+def j26_review(i):
+    return _sinks(i)["review"]
+
+
+@query("j26_accepted_rows")
+def j26_accepted(i):
+    return _sinks(i)["accepted"]
+
+
+@query("j26_unmatched_rows")
+def j26_unmatched(i):
+    return _sinks(i)["unmatched"]
+
+
 @query(
     "j25_decision_rules",
     f"""SELECT k, CASE WHEN best IS NULL THEN 'unmatched' WHEN po = 0 THEN 'needs_review'
@@ -375,24 +396,22 @@ def j25_rules(i):
         F.when(F.col("l_returnflag") == "A", "").otherwise("4.0").alias("existing_rating"),
         F.lit("").alias("existing_num_ratings"),
     )
-    return resolve.decide(k, min_margin=0.08 - 1e-9).select("k", "decision")
+    return resolve.decide(k).select("k", "decision")
 
 
-@query("j15_unresolved_reasons", f"""WITH {_EXACT}, {_CANON}
-SELECT CASE WHEN r.ord IS NULL THEN 'no_match' WHEN coalesce(r.url, '') = '' THEN 'no_url' ELSE 'no_metrics' END AS reason, count(*) AS offers
-FROM target t JOIN hit h ON h.name = t.name LEFT JOIN @ratings@ AS r ON r.ord = coalesce(h.exact_ord, h.canon_ord)
-WHERE r.ord IS NULL OR coalesce(r.url, '') = '' OR coalesce(nullif(trim(r.rating), ''), nullif(trim(r.num_ratings), ''), nullif(trim(r.alt_num_ratings), ''), '') = '' GROUP BY 1""")
-def j15(i):
-    """Open listings by reason, over the two tiers SQL can state."""
-    any_year, by_year = cascade.canonical_index(i.ratings)
-    t = i.listings.select("name").distinct().withColumns({"key": normalize_key(F.col("name")), "ckey": canonical_key(F.col("name")), "cyear": extract_year(F.col("name"))})
-    hit = (
-        t.join(cascade.exact_index(i.ratings), "key", "left").join(any_year, "ckey", "left").join(by_year, ["ckey", "cyear"], "left")
-        .select("name", F.coalesce("ord", "year_ord", "any_ord").alias("ord"))
+def _identity_store(i):
+    return i.listings.select(
+        canonical_key(F.col("name")).alias("ikey"), (F.col("size") % 3 != 0).alias("validated"),
+        F.when(F.col("size") % 5 == 0, F.array(F.lit("stale"))).otherwise(F.array().cast("array<string>")).alias("flags"),
     )
-    rows = i.ratings.select("ord", *[F.col(c).alias(f"r_{c}") for c in ("url", "rating", "num_ratings", "alt_num_ratings")])
-    m = hit.join(rows, "ord", "left").withColumn("match_method", F.when(F.col("ord").isNull(), "none").otherwise("found"))
-    return resolve.classify_unresolved(m).groupBy("reason").agg(F.count("*").alias("offers"))
+
+
+@query("j15_unresolved_reasons")
+def j15(i):
+    """Listings by reason after all three tiers; those with a validated identity are skipped first."""
+    items = i.listings.select("ord", F.col("name").alias("offer_name"))
+    found = resolve.unresolved(items, i.ratings, _identity_store(i).filter("ikey < '1999'"))
+    return found.groupBy(F.coalesce("reason", F.lit("settled")).alias("reason")).agg(F.count("*").alias("offers"))
 
 
 @query("j14_never_seen", f"""WITH f AS (SELECT ord, size, {Q.ckey("name || '|' || CAST(size AS STRING) || '||' || url")} AS fingerprint FROM @listings@)
@@ -406,11 +425,7 @@ def j14(i):
 def j13(i):
     from offerlens.operators.merge import without_identity
 
-    store = i.listings.select(
-        canonical_key(F.col("name")).alias("ikey"), (F.col("size") % 3 != 0).alias("validated"),
-        F.when(F.col("size") % 5 == 0, F.array(F.lit("stale"))).otherwise(F.array().cast("array<string>")).alias("flags"),
-    )
-    return without_identity(i.listings, store, name="name").select("ord")
+    return without_identity(i.listings, _identity_store(i), name="name").select("ord")
 
 
 @query("j27_cache_hits", """SELECT e.event_id, coalesce(c.hits > 1 AND 400000 - c.stamp <= 300 * 3600 , false) AS cache_hit

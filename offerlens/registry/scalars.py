@@ -390,6 +390,34 @@ def x43(i):
     return found.select("item", "price_foreign", "price", "stores")
 
 
+_FOUND_PRICE = "floor((5 + size * 2.5) * 100 + 0.5) / 100"
+
+
+@query(
+    "x43_market_outcome",
+    f"""SELECT offer_id, CASE WHEN size % 3 = 0 AND size * 2.5 <= 495 THEN 'passed' WHEN size % 3 < 2 THEN 'passed_retry' ELSE 'tried_failed' END AS validation,
+  CASE WHEN size % 3 = 0 AND size * 2.5 <= 495 THEN size WHEN size % 3 < 2 THEN size + 1 WHEN size * 2.5 <= 495 THEN size END AS stores,
+  CASE WHEN size % 3 = 1 OR (size % 3 = 0 AND size * 2.5 > 495) THEN floor((7 + size * 2.5) * 100 + 0.5) / 100 WHEN size * 2.5 <= 495 THEN {_FOUND_PRICE} END AS price_foreign
+FROM @offers@""",
+)
+def x43_outcome(i):
+    """A first search whose address fits every third offer, and a retry whose address fits another third."""
+    from offerlens.operators.resolve import resolve_market
+
+    fits = F.concat(F.lit("https://www.wine-searcher.com/find/"), F.replace(F.lower("offer_name"), F.lit(" "), F.lit("+")))
+    other = F.lit("https://www.wine-searcher.com/find/qqq+zzz")
+
+    def found(address, more: int, stores):
+        price = (c("size") * 2.5 + more).cast("decimal(8,2)").cast("string")
+        text = F.concat(c("offer_name"), F.lit(" Avg Price (ex-tax) $ "), price, F.lit(" from "), stores.cast("string"), F.lit(" stores"))
+        return i.offers.select(c("offer_id").alias("item"), "offer_name", F.lit(1).alias("rank"), address.alias("url"), F.lit("page").alias("title"), text.alias("description"))
+
+    first = found(F.when(c("size") % 3 == 0, fits).otherwise(other), 5, c("size"))
+    retry = found(F.when(c("size") % 3 < 2, fits).otherwise(other), 7, c("size") + 1)
+    out = resolve_market(i.offers.select(c("offer_id").alias("item"), "offer_name"), first, retry, item="item", name="offer_name")
+    return out.select(c("item").alias("offer_id"), "validation", "stores", "price_foreign")
+
+
 @query("x45_tasting_summary", "SELECT c_custkey, lower(c_mktsegment) || ', oak, cherry. ' || repeat('good ', 39) || 'go...' AS summary FROM @customer@")
 def x45(i):
     tastes = F.concat(F.lit('{"tastes":{"flavor":[{"primary_keywords":[{"name":"'), F.lower("c_mktsegment"), F.lit('"},{"name":"oak"},{"name":"third"}]},{"primary_keywords":[{"name":"oak"},{"name":"cherry"}]},{},{"primary_keywords":[]},{"primary_keywords":[{"name":"late"}]}]}}'))

@@ -217,9 +217,9 @@ def a7(i):
     f"""WITH p AS ({_POINTS}), q AS (SELECT *, row_number() OVER (ORDER BY offer_count DESC, lower(origin_label), origin_label) AS o FROM p),
 s AS (SELECT country, name, min(o * 10 + pos) AS place FROM (SELECT country, o, unnest(sample_names) AS name, generate_subscripts(sample_names, 1) AS pos FROM q) GROUP BY 1, 2),
 s5 AS (SELECT country, (list(name ORDER BY place))[1:5] AS sample_names FROM s GROUP BY 1),
-w AS (SELECT country, CAST(sum(CAST(floor(origin_latitude * 100 + 0.5) AS BIGINT) * offer_count) AS DOUBLE) / sum(offer_count) / 100 AS latitude,
-  CAST(sum(CAST(floor(origin_longitude * 100 + 0.5) AS BIGINT) * offer_count) AS DOUBLE) / sum(offer_count) / 100 AS longitude, CAST(sum(offer_count) AS BIGINT) AS offer_count, CAST(sum(anchor_cheaper_count) AS BIGINT) AS anchor_cheaper_count,
-  CAST(sum(CAST(floor(average_price_diff_pct * 100 + 0.5) AS BIGINT) * offer_count) AS DOUBLE) / sum(CASE WHEN average_price_diff_pct IS NOT NULL THEN offer_count END) / 100 AS average_price_diff_pct,
+w AS (SELECT country, CAST(sum(CAST(origin_latitude * 100 AS DECIMAL(26, 8)) * CAST(offer_count AS DECIMAL(12, 0))) AS DOUBLE) / sum(offer_count) / 100 AS latitude,
+  CAST(sum(CAST(origin_longitude * 100 AS DECIMAL(26, 8)) * CAST(offer_count AS DECIMAL(12, 0))) AS DOUBLE) / sum(offer_count) / 100 AS longitude, CAST(sum(offer_count) AS BIGINT) AS offer_count, CAST(sum(anchor_cheaper_count) AS BIGINT) AS anchor_cheaper_count,
+  CAST(sum(CAST(average_price_diff_pct * 100 AS DECIMAL(26, 8)) * CAST(offer_count AS DECIMAL(12, 0))) AS DOUBLE) / sum(CASE WHEN average_price_diff_pct IS NOT NULL THEN offer_count END) / 100 AS average_price_diff_pct,
   list_sort(list_distinct(list(region) FILTER (WHERE region IS NOT NULL))) AS regions FROM q GROUP BY country)
 SELECT w.country, latitude, longitude, offer_count, anchor_cheaper_count, average_price_diff_pct, regions, sample_names,
  CASE w.country WHEN 'New Zealand' THEN 'Oceania' WHEN 'Chile' THEN 'South America' WHEN 'South Africa' THEN 'Africa' ELSE 'Europe' END AS continent FROM w JOIN s5 ON s5.country = w.country""",

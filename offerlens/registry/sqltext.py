@@ -64,7 +64,7 @@ def r4(x: str) -> str:
 
 
 def mean2(x: str, where: str = "") -> str:
-    return f"(floor(CAST(sum(CAST(floor({x} * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count({x}) + 0.5) / 100)"
+    return f"(floor(CAST(sum(CAST({x} * 100 AS DECIMAL(26, 8))) AS DOUBLE) / count({x}) + 0.5) / 100)"
 
 
 QTY = (

@@ -3,6 +3,11 @@
 A table is a folder of versions.  A run writes its version beside the old one and then moves
 a small pointer row, so readers see either the old or the new state and a failed run leaves
 nothing behind that anyone reads.
+
+The pointer row is a manifest of the whole state: the version of the offers, the runs whose
+snapshots belong to the history, and the time before which the history is pruned.  One append
+moves all three.  Snapshot files of a run count only once a manifest names it; pruned ones are
+deleted afterwards, which nobody sees.  The list of runs is as long as the retention has runs.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ LEDGER_SCHEMA = (
     "run_id string, started_at timestamp, finished_at timestamp, status string, comparison_rows long, "
     "rating_rows long, merged_rows long, details string"
 )
-POINTER_SCHEMA = "version string, published_at timestamp"
+POINTER_SCHEMA = "version string, published_at timestamp, runs array<struct<run_id: string, captured_at: timestamp>>, cutoff timestamp"
 
 
 def offer_key(name, url):
@@ -39,12 +44,19 @@ def assert_unique(df: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"duplicate key: {clash[0].asDict()}")
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
+def manifest(spark: SparkSession, root: str) -> dict | None:
+    """The state that the latest pointer row names."""
     pointer = f"{root}/_pointer"
     if not path_exists(spark, pointer):
         return None
-    row = spark.read.schema(POINTER_SCHEMA).json(pointer).agg(F.max_by("version", "published_at").alias("v")).first()
-    return row["v"]
+    rows = spark.read.schema(POINTER_SCHEMA).json(pointer)
+    row = rows.agg(F.max_by(F.struct(*rows.columns), F.struct("published_at", "version")).alias("m")).first()["m"]
+    return row.asDict(recursive=True) if row else None
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    state = manifest(spark, root)
+    return state["version"] if state else None
 
 
 def publish(df: DataFrame, root: str, version: str, published_at: datetime) -> str:
@@ -55,8 +67,11 @@ def publish(df: DataFrame, root: str, version: str, published_at: datetime) -> s
     return path
 
 
-def move_pointer(spark: SparkSession, root: str, version: str, published_at: datetime) -> None:
-    spark.createDataFrame([(version, published_at)], POINTER_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/_pointer")
+def move_pointer(
+    spark: SparkSession, root: str, version: str, published_at: datetime, runs: list[tuple[str, datetime]] = (), cutoff: datetime | None = None
+) -> None:
+    """The single step that changes what readers see."""
+    spark.createDataFrame([(version, published_at, list(runs), cutoff)], POINTER_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/_pointer")
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame | None:
@@ -64,6 +79,15 @@ def read_published(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/version={version}") if version else None
 
 
+def read_history(spark: SparkSession, root: str, snapshots: str) -> DataFrame | None:
+    """Snapshots of the runs that the manifest below ``root`` names, not older than its cut-off."""
+    state = manifest(spark, root)
+    if not state or not state["runs"]:
+        return None
+    rows = spark.read.parquet(snapshots).filter(F.col("run_id").isin([r["run_id"] for r in state["runs"]]))
+    return rows.filter(F.col("captured_at") >= F.lit(state["cutoff"])) if state["cutoff"] else rows
+
+
 def snapshot_rows(df: DataFrame, run_id: str, captured_at: datetime) -> DataFrame:
     """Snapshot projection stamped with the run and one capture time."""
     return df.select(

@@ -2,21 +2,30 @@
 
 A request is admitted while fewer than ``limit`` admitted requests lie in the window before
 it; rejected requests do not occupy the window.  Each decision depends on the earlier ones
-of its key, so one key is a sequence.  The batch form cuts a key's sequence wherever a gap
-longer than the window clears its state: the pieces are independent, so a hot key spreads
-over many groups and only one unbroken busy period stays together.
+of its key, so one key is a sequence.
+
+The batch form sorts all requests by key and time over range partitions, so a hot key spans
+many of them.  A partition is one slice: it is walked in its own task, holding one window,
+and starts with a *carry*, the admitted times that the slice before left for the same key.
+The first pass guesses empty carries.  Only a slice that lies wholly in one key can pass a
+carry on, and only slices whose carry turned out different are walked again, until none is.
+The driver holds one row per slice: its first and last key and at most ``limit`` times.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from offerlens.session import materialize
+
 MICROS = 1_000_000
 
 
@@ -35,60 +44,107 @@ def admit(times: list[int], window: int, limit: int, stored: list[int] | None =
     return out, list(bucket)
 
 
-def busy_periods(df: DataFrame, key: str, ts: str, order: str, window_seconds: int) -> DataFrame:
-    """Number the runs of requests with no gap beyond the window.
-
-    Within a key a request starts a new run when the previous one is older than the window.
-    Times are compared inside fixed slices of the time line first, so the sort that finds the
-    gaps is keyed by (key, slice) and a hot key is not one task.
+class Walk:
+    """Walks sorted requests slice by slice; holds the window of the current key."""
+
+    def __init__(self, window: int, limit: int, carries: dict[int, list[int]]):
+        self.window, self.limit, self.carries = window, limit, carries
+        self.slice: int | None = None
+        self.key: str | None = None
+        self.first: tuple[str, int] = ("", 0)
+        self.bucket: list[int] = []
+
+    def end(self) -> dict:
+        """Where the slice that has just been walked began and what it leaves."""
+        return {"slice": self.slice, "first_key": self.first[0], "first_time": self.first[1], "last_key": self.key, "bucket": self.bucket}
+
+    def pieces(self, batch: pa.RecordBatch) -> Iterator[tuple[bool, list[tuple[bool, int, int]]]]:
+        """Per run of one slice and key: whether a new slice begins, and the decisions."""
+        slices, keys, times = (batch.column(c).to_pylist() for c in ("_slice", "_key", "_t"))
+        at = 0
+        while at < len(times):
+            upto = at + 1
+            while upto < len(times) and slices[upto] == slices[at] and keys[upto] == keys[at]:
+                upto += 1
+            opens = slices[at] != self.slice
+            if opens:
+                yield True, []
+                self.slice, self.key, self.first = slices[at], keys[at], (keys[at], times[at])
+                self.bucket = list(self.carries.get(slices[at], ()))
+            elif keys[at] != self.key:
+                self.key, self.bucket = keys[at], []
+            decisions, self.bucket = admit(times[at:upto], self.window, self.limit, self.bucket)
+            yield False, decisions
+            at = upto
+
+
+ENDS = pa.schema([("slice", pa.int32()), ("first_key", pa.string()), ("first_time", pa.int64()), ("last_key", pa.string()), ("bucket", pa.list_(pa.int64()))])
+
+
+def _ends(batches: Iterator[pa.RecordBatch], window: int, limit: int, carries: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
+    walk = Walk(window, limit, carries)
+    for batch in batches:
+        for opens, _ in walk.pieces(batch):
+            if opens and walk.slice is not None:
+                yield pa.RecordBatch.from_pylist([walk.end()], schema=ENDS)
+    if walk.slice is not None:
+        yield pa.RecordBatch.from_pylist([walk.end()], schema=ENDS)
+
+
+def _decisions(batches: Iterator[pa.RecordBatch], window: int, limit: int, carries: dict[int, list[int]], kept: list[str]) -> Iterator[pa.RecordBatch]:
+    walk = Walk(window, limit, carries)
+    for batch in batches:
+        rows = [d for _, decisions in walk.pieces(batch) for d in decisions]
+        columns = list(zip(*rows)) or [(), (), ()]
+        made = [pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int32(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "allowed", "remaining", "reset_seconds"])
+
+
+def settled_carries(walked, window: int) -> dict[int, list[int]]:
+    """Carry of every slice; ``walked(carries, slices)`` gives the ends of the slices asked for (None: all)."""
+    ends = {r["slice"]: r for r in walked({}, None)}
+    order = sorted(ends)
+    used: dict[int, list[int]] = {n: [] for n in order}
+    while True:
+        wanted = {}
+        for before, n in zip(order, order[1:]):
+            if ends[before]["last_key"] == ends[n]["first_key"]:
+                wanted[n] = [t for t in ends[before]["bucket"] if t >= ends[n]["first_time"] - window]
+        changed = {n: c for n, c in wanted.items() if c != used[n]}
+        if not changed:
+            return {n: c for n, c in used.items() if c}
+        used |= changed
+        # A slice in which another key begins leaves the same whatever it was given.
+        again = [n for n in changed if ends[n]["first_key"] == ends[n]["last_key"]]
+        if again:
+            ends |= {r["slice"]: r for r in walked({n: used[n] for n in again}, again)}
+
+
+def admission_batch(df: DataFrame, *, key: str, ts: str, order: str, limit: int, window_seconds: int = 60, slices: int | None = None) -> DataFrame:
+    """(key, order, allowed, remaining, reset_seconds) for every request of a table.
+
+    Requests of equal time stand by ``order``.  ``slices`` sets their number, else the shuffle does.
+    Null keys are one key; requests without a time are left out.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    slice_size = window_seconds * MICROS * 64
-    cut = df.withColumns({"_t": micros, "_slice": F.floor(micros / slice_size)})
-    in_slice = Window.partitionBy(key, "_slice").orderBy("_t", order)
-    cut = cut.withColumn("_prev", F.lag("_t").over(in_slice))
-    # The last time of each slice is the predecessor of the next non-empty slice's first row.
-    ends = cut.groupBy(key, "_slice").agg(F.max("_t").alias("_end"))
-    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(key).orderBy("_slice"))).drop("_end")
-    cut = cut.join(ends, [key, "_slice"]).withColumn("_prev", F.coalesce("_prev", "_before")).drop("_before")
-    opens = (F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > window_seconds * MICROS)).cast("long")
-    cut = cut.withColumn("_opens", opens)
-    # Running count of openings: inside the slice, plus the total of the slices before.
-    totals = cut.groupBy(key, "_slice").agg(F.sum("_opens").alias("_sum"))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    return (
-        cut.join(totals, [key, "_slice"])
-        .withColumn("run", F.col("_base") + F.sum("_opens").over(in_slice.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_slice", "_prev", "_opens", "_base")
-    )
-
-
-def admission_batch(df: DataFrame, *, key: str, ts: str, order: str, limit: int, window_seconds: int = 60) -> DataFrame:
-    """(key, order, allowed, remaining, reset_seconds) for every request of a table."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    runs = busy_periods(df.select(key, ts, order), key, ts, order, window_seconds)
-    window = window_seconds * MICROS
-    types = dict(df.dtypes)
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows arrive sorted by key, run and time; only the open window of the current run is held.
-        current, bucket = None, []
-        for pdf in batches:
-            decisions = []
-            for at, part in pdf.groupby([key, "run"], sort=False):
-                if at != current:
-                    current, bucket = at, []
-                rows, bucket = admit(part["_t"].tolist(), window, limit, bucket)
-                decisions += rows
-            out = pdf[[key, order]].reset_index(drop=True)
-            out[["allowed", "remaining", "reset_seconds"]] = pd.DataFrame(decisions, columns=["a", "b", "c"])
-            yield out
-
+    window, types = window_seconds * MICROS, dict(df.dtypes)
+    named = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    rows = df.select(key, order, named.alias("_key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).filter("_t is not null")
+    by = ["_key", "_t", order]
+    dealt = rows.repartitionByRange(slices, *by) if slices else rows.repartitionByRange(*by)
+    rows = materialize(dealt.withColumn("_slice", F.spark_partition_id()), "admission-slices")
+    sorted_rows = lambda part: part.repartition(F.col("_slice")).sortWithinPartitions("_slice", *by)
+
+    def walked(carries: dict[int, list[int]], some: list[int] | None) -> list:
+        part = rows if some is None else rows.filter(F.col("_slice").isin(some))
+        run = partial(_ends, window=window, limit=limit, carries=carries)
+        found = sorted_rows(part.select("_slice", "_key", "_t", order)).mapInArrow(run, "slice int, first_key string, first_time long, last_key string, bucket array<long>")
+        return [r.asDict() for r in found.collect()]  # one row for each slice
+
+    run = partial(_decisions, window=window, limit=limit, carries=settled_carries(walked, window), kept=[key, order])
     schema = f"{key} {types[key]}, {order} {types[order]}, allowed boolean, remaining int, reset_seconds int"
-    ordered = runs.repartition(key, "run").sortWithinPartitions(key, "run", "_t", order)
-    return ordered.select(key, order, "run", "_t").mapInPandas(decide, schema)
+    return sorted_rows(rows).mapInArrow(run, schema)
 
 
 class SlidingAdmission(StatefulProcessor):

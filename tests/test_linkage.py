@@ -1,17 +1,26 @@
 """Similarity joins against brute force, and the published linkage cases."""
 
 import random
+import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from offerlens.functions.listing import package_type
-from offerlens.functions.text import canonical_key, extract_year
-from offerlens.operators.cascade import fuzzy_match, match_names, attach_ratings
+from offerlens.functions.text import canonical_key, extract_year, normalize_key
+from offerlens.functions.urls import normalize_item_url, query_year, slug_text, strict_item_url
+from offerlens.operators import fuzzy, resolve
+from offerlens.operators.cascade import attach_ratings, match_names
+from offerlens.operators.fuzzy import UPPER, fuzzy_match
 from offerlens.operators.linkage import match_listings
 from offerlens.plans.compare import compare_catalogues
+from offerlens.registry import load_all
+from offerlens.registry.base import QUERIES
+from offerlens.session import materialize
 
+load_all()
 WORDS = "alpha beta gamma delta estate cuvee brut blanc reserve noir grand old vine hill rock".split()
 
 
@@ -96,8 +105,8 @@ def _brute_fuzzy(target, year, entries):
     return ordinal
 
 
-@pytest.mark.parametrize("hot_df", [1, 3, 1000])
-def test_fuzzy_match_equals_brute_force(spark, hot_df):
+@pytest.mark.parametrize("upper", [UPPER, ()])
+def test_fuzzy_match_equals_brute_force(spark, upper):
     wine, match = _names(3, 60), _names(4, 60)
     rows = [(i, w, m if i % 3 == 0 else None) for i, (w, m) in enumerate(zip(wine, match))]
     rows += [(100 + i, f"2004 {w}", f"2004 {w}") for i, w in enumerate(_names(5, 6, ("",)))]
@@ -110,10 +119,213 @@ def test_fuzzy_match_equals_brute_force(spark, hot_df):
         hit = _brute_fuzzy(t["ckey"], t["year"], entries)
         if t["ckey"] and hit is not None:
             want[(t["ckey"], t["year"])] = hit
-    got = {(r["ckey"], r["year"]): r["ord"] for r in fuzzy_match(targets, df, hot_df=hot_df).collect()}
+    got = {(r["ckey"], r["year"]): r["ord"] for r in fuzzy_match(targets, df, upper=upper).collect()}
     assert want and got == want
 
 
+def _contacts(spark, folder):
+    """Contacts of all rounds and the pairs inside the blocks, for every listing against every rating row."""
+    from offerlens.registry.base import Inputs
+
+    i = Inputs(spark, folder)
+    targets = i.listings.select(canonical_key(F.col("name")).alias("ckey"), extract_year(F.col("name")).alias("year")).distinct()
+    blocked, entries = fuzzy._blocks(targets, i.ratings, False)
+    t, e = fuzzy.token_tables(blocked, entries)
+    inside = t.groupBy("blk").agg(F.count("*").alias("n")).join(e.groupBy("blk").agg(F.count("*").alias("m")), "blk").agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    met = 0
+    for bound in fuzzy.UPPER:
+        met += fuzzy.round_contacts(t, fuzzy.within(e, t), bound).count()
+        best = fuzzy.best_two(fuzzy.candidates(t, fuzzy.within(e, t), bound)).filter(F.col("combined") >= bound + fuzzy.LEAD)
+        t = materialize(t.join(best.select("tid"), "tid", "left_anti"), "left")
+    return met, inside
+
+
+def test_fuzzy_tier_meets_few_pairs(spark):
+    """All names share words with most others; only a few hundredths of the pairs meet."""
+    met, inside = _contacts(spark, "/root/testdata/sf0.01")
+    assert met < 0.1 * inside
+
+
+def _replayed(spark, data):
+    """Every listing against every rating row in plain Python: (name, method, row, score)."""
+    from offerlens.registry.base import Inputs
+
+    i = Inputs(spark, data)
+    name = F.coalesce(F.nullif("match_name", F.lit("")), F.col("wine_name"))
+    keys = lambda c, p: {f"{p}n": normalize_key(F.col(c)), f"{p}c": canonical_key(F.col(c)), f"{p}y": extract_year(F.col(c))}
+    rows = i.ratings.withColumns({**keys("wine_name", "w"), **keys("match_name", "m"), "k": canonical_key(name), "y": extract_year(name)}).orderBy("ord").collect()
+    filled = lambda *xs: next((True for x in xs if x is not None and x.strip()), False)
+    quality = lambda r: (filled(r.rating), filled(r.num_ratings, r.alt_num_ratings), filled(r.url), filled(r.price), r.ord)
+    exact, canonical = {}, {}
+    for r in rows:
+        for k in {r.wn, r.mn} - {""}:
+            if k not in exact or quality(r) > quality(exact[k]):
+                exact[k] = r
+        for k in {r.wc, r.mc} - {""}:
+            canonical.setdefault(k, []).append(r)
+    entries = [(r.ord, r.k, [y for y in (r.wy, r.my) if y is not None]) for r in rows]
+    by_year = {}
+    for e in entries:
+        for y in e[2]:
+            by_year.setdefault(y, []).append(e)
+    out = {}
+    for t in i.listings.select("name", normalize_key(F.col("name")).alias("n"), canonical_key(F.col("name")).alias("c"), extract_year(F.col("name")).alias("y")).distinct().collect():
+        if t.n in exact:
+            out[t.name] = ("exact", exact[t.n].ord)
+        elif t.c in canonical:
+            dated = [r for r in canonical[t.c] if t.y is not None and r.y == t.y]
+            out[t.name] = ("canonical", (dated or canonical[t.c])[0].ord)
+        else:
+            hit = _brute_fuzzy(t.c, None, by_year.get(t.y) or entries) if t.c else None
+            out[t.name] = ("fuzzy", hit) if hit is not None else ("none", None)
+    return out, {r.ord: r for r in rows}
+
+
+@pytest.fixture(scope="module")
+def replayed(spark, data):
+    return _replayed(spark, data)
+
+
+def test_cascade_equals_replay(spark, data, replayed):
+    """All three tiers over every row of the tables, and the counts of their methods."""
+    want, _ = replayed
+    got = {r["offer_name"]: (r["match_method"], r["ord"]) for r in QUERIES["j6_match_cascade"](spark, data).collect()}
+    assert got == want and {m for m, _ in want.values()} == {"exact", "canonical", "fuzzy", "none"}
+    counts = {r["match_method"]: r["offers"] for r in QUERIES["a17_match_method_counts"](spark, data).collect()}
+    assert counts == Counter(m for m, _ in want.values())
+
+
+def _number(text, pattern):
+    found = re.search(pattern, (text or "").strip())
+    return found.group(0).replace(",", "") if found else None
+
+
+def _metrics(row):
+    rating, count, other = _number((row.rating or "").replace(",", ""), r"-?\d+(?:\.\d+)?"), _number(row.num_ratings, r"\d[\d,]*"), _number(row.alt_num_ratings, r"\d[\d,]*")
+    n = int(count) if count and int(count) else (int(other) if other else None)
+    return float(rating) if rating else None, n
+
+
+def test_attached_ratings_equal_replay(spark, data, replayed):
+    """Downgrade, address hydration, labels and fallback of every offer, and the coverage over them."""
+    want, rows = replayed
+    address = {r["ord"]: r["u"] for r in spark.createDataFrame([(r.ord, r.url) for r in rows.values()], "ord long, url string").select("ord", normalize_item_url(F.col("url")).alias("u")).collect()}
+    filled = lambda x: x is not None and bool(x.strip())
+    best = {}
+    for o, r in rows.items():
+        rank = (filled(r.rating), filled(r.num_ratings) or filled(r.alt_num_ratings), filled(r.url), filled(r.price), o)
+        if address[o] and (address[o] not in best or rank > best[address[o]][0]):
+            best[address[o]] = (rank, o)
+    expected, rated = {}, 0
+    from offerlens.registry.base import Inputs
+
+    for a in Inputs(spark, data).anchors.select("ord", "name", "size").collect():
+        method, o = want[a["name"]]
+        rating, n, url = (*_metrics(rows[o]), address[o]) if o is not None else (None, None, None)
+        if rating is None and n is None and url is None:
+            method = "none"
+        if rating is None and n is None and url is not None:
+            rating, n = _metrics(rows[best[url][1]])
+        if method != "none" and url is not None and rating is None and n is None:
+            method = "url_only"
+        if method == "none" and a["size"] % 4 == 1:
+            method, rating, n, url = "catalogue", 4.2, 88, None
+        expected[a["ord"]] = (method, rating, n, url)
+        rated += rating is not None or n is not None or a["size"] % 4 == 1
+    got = {r["a_ord"]: (r["match_method"], r["rating"], r["num_ratings"], r["rating_url"]) for r in QUERIES["j7_j8_j9_attach_ratings"](spark, data).collect()}
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in expected.items()}
+    for k, (method, rating, _, url) in expected.items():
+        assert got[k][3] == url or (url is None and rating is not None and "/search/" in got[k][3])
+    coverage = QUERIES["a15_raw_coverage"](spark, data).first()
+    assert (coverage["total"], coverage["rated"]) == (len(expected), rated)
+
+
+def test_unresolved_reasons_equal_replay(spark, data, replayed):
+    """Every listing's reason after all tiers; validated identities are skipped before."""
+    from offerlens.registry.base import Inputs
+
+    want, rows = replayed
+    url = {r["ord"]: r["u"] for r in spark.createDataFrame([(r.ord, r.url) for r in rows.values()], "ord long, url string").select("ord", strict_item_url(F.col("url")).alias("u")).collect()}
+    listings = Inputs(spark, data).listings.select("name", "size", canonical_key(F.col("name")).alias("k")).collect()
+    known = {r["k"] for r in listings if r["k"] < "1999" and r["size"] % 3 and r["size"] % 5}
+    filled = lambda x: x is not None and bool(x.strip())
+
+    def reason(r):
+        if r["k"] in known:
+            return "known_identity"
+        o = want[r["name"]][1]
+        if o is None:
+            return "no_match"
+        has = filled(rows[o].rating) or filled(rows[o].num_ratings) or filled(rows[o].alt_num_ratings)
+        return "no_url" if not url[o] else ("settled" if has else "no_metrics")
+
+    got = {r["reason"]: r["offers"] for r in QUERIES["j15_unresolved_reasons"](spark, data).collect()}
+    assert got == Counter(map(reason, listings)) and len(got) == 5
+
+
+def _candidate_score(r):
+    """The score of one search result in plain Python."""
+    target, cand = set(r.target_tokens), set(r.cand.split())
+    if not target & cand:
+        return 0.0, 0
+    shared, joined = " ".join(sorted(target & cand)), [" ".join(sorted(x)) for x in (target, cand)]
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    score = len(target & cand) / max(len(target), len(cand)) * 0.45 + ratio(*joined) * 0.20 + max(ratio(shared, x) for x in joined) * 0.35
+    po = len(set(r.producer_tokens) & cand)
+    score += (-0.25 if r.producer_tokens and not po else 0.0) + (min(0.08, po * 0.03) if po else 0.0)
+    found = int(r.url_year) if r.url_year and r.url_year.isdigit() else r.text_year
+    if r.year is not None and found is not None:
+        score += 0.10 if found == r.year else -0.10
+    score += 0.03 if r.color and r.color in r.raw.split() else 0.0
+    return max(0.0, min(1.0, score)), po
+
+
+def test_resolver_outputs_equal_replay(spark, data):
+    """Scores, decisions and the three outputs of every work item."""
+    from offerlens.registry.base import Inputs
+    from offerlens.registry.linkage import _results
+
+    i = Inputs(spark, data)
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), slug_text(F.col("url")))
+    rows = _results(i).withColumns({"cand": canonical_key(text), "raw": normalize_key(text), "text_year": extract_year(text), "url_year": query_year(F.col("url"))}).collect()
+    scores, by_item = {}, {}
+    for r in rows:
+        score, po = _candidate_score(r)
+        scores[(r.item, r.seen)] = (round(score, 3), po)
+        if score > 0:
+            by_item.setdefault(r.item, []).append((-score, r.seen, r.url, po))
+    got = {(r["item"], r["seen"]): (round(r["score"], 3), r["producer_overlap"]) for r in QUERIES["j23_candidate_scores"](spark, data).collect()}
+    assert got.keys() == scores.keys() and all(got[k] == pytest.approx(scores[k], abs=1.1e-3) for k in got)
+    review, accepted, unmatched = ([r.asDict() for r in QUERIES[q](spark, data).collect()] for q in ("j26_review_queue", "j26_accepted_rows", "j26_unmatched_rows"))
+    assert len(accepted) + len(unmatched) == len(review) == i.anchors.count() and accepted and unmatched
+    assert {r["item"] for r in accepted} == {r["item"] for r in review if r["decision"] == "auto_accept"}
+    assert sorted((r["item"], r["reason"]) for r in unmatched) == sorted((r["item"], r["reason"]) for r in review if r["decision"] != "auto_accept")
+    sizes = {r["ord"]: r["size"] for r in i.anchors.select("ord", "size").collect()}
+    for r in review:
+        ranked = sorted(by_item.get(r["item"], []))
+        if not ranked:
+            assert (r["decision"], r["reason"], r["best_url"], r["candidate_count"]) == ("unmatched", "no viable candidate", "", 0)
+            continue
+        best, second = -ranked[0][0], -ranked[1][0] if len(ranked) > 1 else 0.0
+        figures = f"score={best:.3f}, margin={best - second:.3f}"
+        if ranked[0][3] == 0:
+            want = ("needs_review", "no producer word in the top candidate")
+        elif round(best, 9) >= 0.82 and round(best - second, 9) >= 0.08:
+            want = ("auto_accept", figures) if sizes[r["item"]] % 2 == 0 else ("needs_review", figures + "; no rating to apply")
+        else:
+            want = ("needs_review", figures) if round(best, 9) >= 0.70 else ("unmatched", f"score below threshold ({best:.3f} < 0.700)")
+        assert (r["decision"], r["reason"], r["best_url"], r["candidate_count"]) == (*want, ranked[0][2], len(ranked))
+
+
+def test_blank_titles_and_errors(spark):
+    """A result without a title is shown by its address; errors and option names reach the reason."""
+    results = spark.createDataFrame([(1, " ", "https://www.vivino.com/en/house-clos/w/7", 0.9, 1, 1)], "item long, title string, url string, score double, producer_overlap int, seen int")
+    ranked = resolve.rank_candidates(results.withColumns({"query": F.lit("q"), "provider": F.lit("p"), "year_match": F.lit(True)}), item="item")
+    row = resolve.decide(ranked.withColumns({"existing_rating": F.lit(""), "existing_num_ratings": F.lit(None).cast("string"), "existing_alt_num_ratings": F.lit("12"), "search_error": F.lit("timeout")})).first()
+    assert "house clos" in row["best_title"].lower() and row["decision"] == "auto_accept" and row["reason"] == "score=0.900, margin=0.900; search_error=timeout"
+    assert resolve.decide(ranked.withColumns({"existing_rating": F.lit(""), "existing_num_ratings": F.lit("")}), accept_best=True, require_metrics=False).first()["reason"].startswith("best candidate accepted")
+
+
 def test_cascade_prefers_cheap_tiers(spark):
     rows = spark.createDataFrame(
         [

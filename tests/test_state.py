@@ -1,7 +1,9 @@
 """Merges with locks, refresh runs and admission against a plain replay."""
 
+import importlib
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from offerlens.operators.history import as_of_prices
 from offerlens.plans.refresh import run_refresh
 from offerlens.session import scratch_path
 from offerlens.sources import tables
-from offerlens.streaming.admission import MICROS, admission_batch, admit
+from offerlens.streaming.admission import MICROS, Walk, admission_batch, admit, settled_carries
 
 
 def _override(spark, rows):
@@ -87,6 +89,51 @@ def test_failed_refresh_leaves_the_old_table(spark):
     assert {r["run_id"]: r["status"] for r in tables.run_ledger(spark, f"{root}/runs").collect()}["r2"] == "failed"
 
 
+def _state(spark, root):
+    """What readers see: offers, history, and the oldest snapshot time."""
+    history = tables.read_history(spark, f"{root}/offers", f"{root}/snapshots")
+    offers = [(r["offer_name"], r["anchor_price"]) for r in tables.read_published(spark, f"{root}/offers").collect()]
+    return sorted(offers), sorted((r["run_id"], r["captured_at"], r["offer_name"]) for r in history.collect())
+
+
+BROKEN = [
+    ("offerlens.sources.tables.assert_unique", True), ("offerlens.sources.tables.append_snapshots", True),
+    ("offerlens.sources.tables.move_pointer", True), ("offerlens.sources.tables.prune_snapshots", False),
+]
+
+
+def test_refresh_is_all_or_nothing(spark, monkeypatch):
+    """A run that breaks at any step leaves offers, history and pruning as they were; tidying up may fail unseen."""
+    root, late = scratch_path(spark, "refresh"), datetime(2024, 6, 1)
+    other = [("2021 House - Clos - Red - 750 ml", "2021", "1", "750ml", "70.00", "90.00", "", "", "Anchor Cheaper", "https://a/2", "https://b/2", "", "", "")]
+    _refresh(spark, root, "x", "r1", datetime(2024, 1, 1))
+    _refresh(spark, root, "x", "r2", datetime(2024, 3, 15))
+    old = _state(spark, root)
+    assert [r[0] for r in old[1]] == ["r1", "r2"]
+    for n, (step, undone) in enumerate(BROKEN):
+        with monkeypatch.context() as patched:
+            # The step does its work and then breaks, as a lost driver would.
+            module, name = step.rsplit(".", 1)
+            real = getattr(importlib.import_module(module), name)
+
+            def broken(*args, real=real, undone=undone, name=name, **kwargs):
+                if name != "move_pointer":
+                    real(*args, **kwargs)
+                raise RuntimeError("lost")
+
+            patched.setattr(step, broken)
+            if undone:
+                with pytest.raises(RuntimeError):
+                    _refresh(spark, root, "x", f"bad{n}", late, other)
+                assert _state(spark, root) == old
+            else:
+                assert _refresh(spark, root, "x", f"bad{n}", late, other) == "success"
+    offers, history = _state(spark, root)
+    assert offers == [("2021 House - Clos - Red - 750 ml", 70.0)] and {r[0] for r in history} == {"r2", f"bad{len(BROKEN) - 1}"}
+    status = {r["run_id"]: r["status"] for r in tables.run_ledger(spark, f"{root}/runs").collect()}
+    assert list(status.values()).count("failed") == len(BROKEN) - 1 and status[f"bad{len(BROKEN) - 1}"] == "success"
+
+
 def test_admission_window_edges():
     # Exactly one window old still counts; rejected requests do not occupy the window.
     rows, _ = admit([0, 10 * MICROS, 20 * MICROS, 60 * MICROS, 60 * MICROS + 1], 60 * MICROS, 2)
@@ -109,6 +156,37 @@ def test_admission_batch_equals_replay(spark, data):
         assert got == want
 
 
+def test_hot_key_spreads_over_slices(spark):
+    """One key whose requests never pause, another that ends inside a slice, a null key and null ids."""
+    span = spark.range(60_000).select(F.lit("hot").alias("k"), "id", F.timestamp_micros(F.col("id") * 700_000 + F.pmod(F.xxhash64("id"), F.lit(600_000))).alias("ts"))
+    some = spark.range(3_000).select(F.when(F.col("id") % 3 > 0, "b").alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") + (1 << 60)).alias("id"), F.timestamp_micros(F.col("id") * 1_000_000).alias("ts"))
+    df = span.union(some)
+    got = admission_batch(df, key="k", ts="ts", order="id", limit=3, window_seconds=60, slices=24)
+    want, by_key = [], {}
+    for r in df.select("k", "id", F.unix_micros("ts").alias("t")).collect():
+        by_key.setdefault(r["k"], []).append((r["t"], r["id"]))
+    for k, rows in by_key.items():
+        rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+        want += [(k, i, *d) for (_, i), d in zip(rows, admit([t for t, _ in rows], 60 * MICROS, 3)[0])]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_carries_settle():
+    """Every slice depends on the one before; a slice that holds another key passes nothing on."""
+    times = [list(range(s * 100, s * 100 + 100)) for s in range(8)]
+
+    def walked(carries, some):
+        for s in some if some is not None else range(8):
+            walk = Walk(70, 1, carries)
+            list(walk.pieces(pa.RecordBatch.from_pydict({"_slice": [s] * 100, "_key": ["a"] * 100, "_t": times[s]})))
+            yield walk.end()
+
+    carries, bucket = settled_carries(walked, 70), []
+    for s in range(8):
+        assert carries.get(s, []) == [t for t in bucket if t >= times[s][0] - 70]
+        _, bucket = admit(times[s], 70, 1, bucket)
+
+
 def test_stream_equals_batch(spark, data):
     from offerlens.registry import load_all
     from offerlens.registry.base import QUERIES
