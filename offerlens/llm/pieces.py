@@ -272,7 +272,9 @@ def _encoded(batches: Iterator[pd.DataFrame], model: PieceModel, ids_too: bool,
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_crc32, n_byte_ids, round_trip and, if asked for, ids and the decoded text."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, n_byte_ids long, round_trip boolean"
+    # Ids travel as text: beside a null, pandas would read long ones as floats.
+    own = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = "doc_id string, n_tokens long, ids_crc32 long, n_byte_ids long, round_trip boolean"
     schema += (", ids array<int>" if ids else "") + (", decoded string" if decoded else "")
-    return own.mapInPandas(partial(_encoded, model=model, ids_too=ids, decoded=decoded), schema)
+    found = own.mapInPandas(partial(_encoded, model=model, ids_too=ids, decoded=decoded), schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

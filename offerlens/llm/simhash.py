@@ -30,6 +30,7 @@ gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from functools import partial
@@ -149,6 +150,9 @@ def parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+PROFILE = "doc_id string, th long, content binary, fps array<long>, size int, bits array<long>, rare array<long>"
+
+
 def _profile(
     batches: Iterator[pd.DataFrame], seeds: tuple[int, ...], least_chars: int, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]
 ) -> Iterator[pd.DataFrame]:
@@ -182,10 +186,28 @@ def similar_pairs(pairs: DataFrame, grams: DataFrame, similarity: float) -> Data
     return pairs.join(one, "a").join(two, "b").filter(near).select("a", "b")
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs.
+
+    Spark deletes a shuffle once the driver's garbage collector has found it unused; without a hint that
+    may be long after the disks are full.
+    """
+    spark = tables[0].sparkSession
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _shared(entries: DataFrame, name: str) -> DataFrame:
     """``entries`` of keys with several nodes, with the number ``n`` and the ``least`` of them."""
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    return materialize(entries.join(shared, "key"), name)
+    shared = materialize(shared, "shared-keys")
+    found = materialize(entries.join(shared, "key"), name)
+    release(shared)
+    return found
 
 
 def _spokes(entries: DataFrame) -> DataFrame:
@@ -220,7 +242,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFra
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43), least_chars: int = 5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42,), least_chars: int = 5
 ) -> DataFrame:
     """Groups of near-duplicates: ``doc_id, th, first, n``.
 
@@ -228,10 +250,11 @@ def near_duplicates(
     whether it is the ``first`` of its group, the smallest doc_id (nulls last) with the smallest hash.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    id_type = own.schema["doc_id"].dataType.simpleString()
+    id_type = own.schema["doc_id"].dataType
     profile = partial(_profile, seeds=seeds, least_chars=least_chars, size=size, similarity=similarity, common=common_shingles(own, size))
-    prints = own.mapInPandas(profile, f"doc_id {id_type}, th long, content binary, fps array<long>, size int, bits array<long>, rare array<long>")
-    prints = materialize(prints, "profiles")
+    # Ids travel as text: beside a null, pandas would read long ones as floats.
+    prints = own.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(profile, PROFILE)
+    prints = materialize(prints.withColumn("doc_id", F.col("doc_id").cast(id_type)), "profiles")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     nodes = prints.groupBy("content").agg(F.min(rank).alias("rank"), *[F.any_value(c).alias(c) for c in ("fps", "size", "bits", "rare")])
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -251,13 +274,17 @@ def near_duplicates(
         texts = own.join(needed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "text")
         grams = texts.mapInPandas(partial(_shingle_sets, size=size), "node long, grams array<long>")
         grams = materialize(grams.dropDuplicates(["node"]), "grams")
-        return materialize(similar_pairs(pairs, grams, similarity), "similar")
+        found = materialize(similar_pairs(pairs, grams, similarity), "similar")
+        release(pairs, grams)
+        return found
 
     alone = F.struct(F.lit(0).alias("kind"), F.col("node").alias("name"))
     group = F.when(F.col("root").isNull(), alone).otherwise(F.struct(F.lit(1).alias("kind"), F.col("root").alias("name")))
     near = links(_spokes(by_print).union(_spokes(by_gram)))
+    release(by_print)
     rest = by_gram.join(components(near), "node", "left").withColumn("group", group)
     found = components(near.union(links(_across(rest, similarity))))
+    release(by_gram)
 
     placed = nodes.join(found, "node", "left").withColumn("group", group)
     first = placed.groupBy("group").agg(F.min("rank").alias("first"))

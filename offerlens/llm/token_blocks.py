@@ -178,10 +178,10 @@ def _pages(batches: Iterator[pd.DataFrame], path: str, end_id: int, percentile:
 
     held = 0
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"]):
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
             own = encode(text)
             ids += [own, end]
-            docs.append(None if pd.isna(doc_id) else int(doc_id))
+            docs.append(None if doc_id is None else int(doc_id))
             lengths.append(len(own) + 1)
             held += len(own) + 1
             if held >= PAGE_IDS:
@@ -199,7 +199,8 @@ def write_tokens(
 ) -> None:
     """Encode all texts and write the pages in ascending order of the id below ``out``."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = own.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = own.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # beside a null, pandas would read long ids as floats
     ordered.mapInPandas(partial(_pages, path=tokenizer, end_id=end_id, percentile=percentile), PAGE_SCHEMA).write.parquet(out)
 
 
@@ -211,7 +212,7 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts = ends - np.asarray(row.lengths, dtype=np.int64)
             raw = memoryview(ids).cast("B")
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            doc_ids = pd.array([None if x is None or x != x else int(x) for x in row.doc_ids], dtype="Int64")
+            doc_ids = pd.array([None if x is None else int(x) for x in row.doc_ids], dtype="Int64")
             yield pd.DataFrame({"doc_id": doc_ids, "start": starts + row.before + row.ahead, "n_tokens": ends - starts, "ids_crc32": sums})
 
 
@@ -220,5 +221,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     pages = spark.read.schema(PAGE_SCHEMA).parquet(path)
     totals = pages.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each partition written
     ahead = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    rows = pages.join(F.broadcast(ahead), "part").select("before", "ahead", "doc_ids", "lengths", "data")
+    rows = pages.join(F.broadcast(ahead), "part").select("before", "ahead", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "lengths", "data")
     return rows.mapInPandas(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")

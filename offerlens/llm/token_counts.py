@@ -89,7 +89,8 @@ def _sections(batches: Iterator[pd.DataFrame], path: str, pattern: str, rule: st
 
 def count_by_section(docs: DataFrame, ranks: str, pattern: str, rule: str = "majority", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per line of each text: doc_id, section, start and end (characters), n_tokens."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = own.schema["doc_id"].dataType.simpleString()
+    # Ids travel as text: beside a null, pandas would read long ones as floats.
+    own = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     run = partial(_sections, path=ranks, pattern=pattern, rule=rule)
-    return own.mapInPandas(run, f'doc_id {id_type}, section int, start long, end long, n_tokens long')
+    found = own.mapInPandas(run, "doc_id string, section int, start long, end long, n_tokens long")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

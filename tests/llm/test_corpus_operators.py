@@ -232,6 +232,25 @@ def test_quotations(spark):
     assert quotes.conversations(msgs.limit(0)).count() == 0
 
 
+BIG = (1 << 60) + 1
+
+
+def test_large_ids_beside_nulls(spark, tmp_path, prose):
+    """A long id above 2 ** 53 keeps all its digits in a batch that also holds a null id, and no row is lost."""
+    docs = spark.createDataFrame(with_columns([(BIG, prose(80, 1) + " password=abcdefgh12"), (None, prose(80, 2)), (BIG + 1, prose(80, 3))]), SCHEMA).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b1", prose(20, 9))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(BIG, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {BIG, BIG + 1, None}
+    for name in ("op1_token_blocks", "op2_toxicity", "op4_quality_rules", "op6_section_tokens", "op7_simhash", "op8_decontamination", "op9_secret_scan", "op10_pieces"):
+        assert {r["doc_id"] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()} == want, name
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        assert {r["doc_id"] for r in kept.collect()} == want, name
+
+
 def test_registered(spark, data):
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in queries.QUERIES) == 1
