@@ -186,13 +186,12 @@ def similar_pairs(pairs: DataFrame, grams: DataFrame, similarity: float) -> Data
     return pairs.join(one, "a").join(two, "b").filter(near).select("a", "b")
 
 
-def release(*tables: DataFrame) -> None:
+def release(spark, *tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs.
 
     Spark deletes a shuffle once the driver's garbage collector has found it unused; without a hint that
     may be long after the disks are full.
     """
-    spark = tables[0].sparkSession
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -203,10 +202,12 @@ def release(*tables: DataFrame) -> None:
 
 def _shared(entries: DataFrame, name: str) -> DataFrame:
     """``entries`` of keys with several nodes, with the number ``n`` and the ``least`` of them."""
+    spark = entries.sparkSession
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
     shared = materialize(shared, "shared-keys")
+    release(spark)  # the shuffle of all keys goes before the next one comes
     found = materialize(entries.join(shared, "key"), name)
-    release(shared)
+    release(spark, shared)
     return found
 
 
@@ -258,6 +259,9 @@ def near_duplicates(
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     nodes = prints.groupBy("content").agg(F.min(rank).alias("rank"), *[F.any_value(c).alias(c) for c in ("fps", "size", "bits", "rare")])
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = materialize(prints.select("content", "doc_id", "th"), "members")
+    spark = docs.sparkSession
+    release(spark, prints)
 
     parts = [(i, half, F.shiftrightunsigned(F.get("fps", i), 32 * half).bitwiseAND(0xFFFFFFFF)) for i in range(len(seeds)) for half in (0, 1)]
     keys = []
@@ -275,21 +279,21 @@ def near_duplicates(
         grams = texts.mapInPandas(partial(_shingle_sets, size=size), "node long, grams array<long>")
         grams = materialize(grams.dropDuplicates(["node"]), "grams")
         found = materialize(similar_pairs(pairs, grams, similarity), "similar")
-        release(pairs, grams)
+        release(spark, pairs, grams)
         return found
 
     alone = F.struct(F.lit(0).alias("kind"), F.col("node").alias("name"))
     group = F.when(F.col("root").isNull(), alone).otherwise(F.struct(F.lit(1).alias("kind"), F.col("root").alias("name")))
     near = links(_spokes(by_print).union(_spokes(by_gram)))
-    release(by_print)
+    release(spark, by_print)
     rest = by_gram.join(components(near), "node", "left").withColumn("group", group)
     found = components(near.union(links(_across(rest, similarity))))
-    release(by_gram)
+    release(spark, by_gram)
 
     placed = nodes.join(found, "node", "left").withColumn("group", group)
     first = placed.groupBy("group").agg(F.min("rank").alias("first"))
     placed = placed.join(first, "group").select("content", "first", "group")
-    rows = prints.groupBy("content", "doc_id", "th").agg(F.count("*").alias("n")).join(placed, "content")
+    rows = members.groupBy("content", "doc_id", "th").agg(F.count("*").alias("n")).join(placed, "content")
     mine = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
     return rows.select("doc_id", "th", mine.alias("first"), "n", F.col("first.doc_id").alias("first_id"))
 
