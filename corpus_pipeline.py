@@ -6,7 +6,8 @@ last return the columns of ``documents``.
 
 Each stage handles nulls, empty and very long texts, repeated rows, empty tables and further columns as
 its operator's docstring says; further columns pass through.  SQL cannot express the learned stages, so
-there is no oracle; tests compare the stages with brute force.
+there is no oracle; tests compare near-duplicate groups with all pairs, and follow long ids, edge rows and
+kept rows through all stages.
 """
 
 from __future__ import annotations
