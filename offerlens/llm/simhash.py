@@ -47,6 +47,8 @@ from offerlens.operators.prefixjoin import EPS, close_sizes
 from offerlens.session import materialize
 
 CHUNK = 1 << 15
+#: Texts whose shingle arrays a Python worker holds at once.
+TEXTS_AT_ONCE = 500
 #: Longs in the bitmap of shingle parities.
 PARITY = 8
 
@@ -150,13 +152,19 @@ def parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _portions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for lo in range(0, len(batch), TEXTS_AT_ONCE):
+            yield batch.iloc[lo : lo + TEXTS_AT_ONCE]
+
+
 PROFILE = "doc_id string, th long, content binary, fps array<long>, size int, bits array<long>, rare array<long>"
 
 
 def _profile(
     batches: Iterator[pd.DataFrame], seeds: tuple[int, ...], least_chars: int, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]
 ) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _portions(batches):
         content, prints, sizes, bits, rare = [], [], [], [], []
         for t in batch["text"]:
             ws = (t or "").encode("utf-8", "surrogatepass").lower().split()
@@ -172,7 +180,7 @@ def _profile(
 
 
 def _shingle_sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _portions(batches):
         sets = [np.unique(hashes(shingles(t, size))).view(np.int64) for t in batch["text"]]
         yield pd.DataFrame({"node": batch["node"], "grams": sets})
 
