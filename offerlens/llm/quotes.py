@@ -1,10 +1,12 @@
 """Quotation linking: quote levels, links to the quoted messages, conversations in reply order.
 
-A line's level is the number of leading ``>``.  Quoted lines are normalised (white space, case) and
-hashed; each meets, inside its conversation, the earliest message that has it as its own line, so a
-phrase that everybody repeats leads to one message and never to all pairs.  A message replies to the
-earlier message that most of its first-level quoted words come from.  Parents precede their replies,
-so turns order a conversation; depth and root follow by pointer doubling over linked messages only.
+A line's level is the number of leading ``>``.  Lines, passages (lines of one level joined) and their
+sentences are normalised (white space, case) and hashed; each quoted one of level k meets, inside its
+conversation, the earliest message that has it at level k - 1, or as its own text, so a phrase that
+everybody repeats leads to one message and never to all pairs.  A message replies to the earlier message
+that most of its quoted words come from; first-level quotes decide before deeper ones, and quotes of
+under three words only where nothing longer leads anywhere.  Parents precede their replies, so turns
+order a conversation; depth and root follow by pointer doubling over linked messages only.
 
 All steps are column functions, aggregations with partial sums, and equality joins.
 
@@ -43,17 +45,45 @@ def own_text(text: Column) -> Column:
     return F.when(text.contains(">"), clean).otherwise(text)
 
 
+def units(text: Column) -> Column:
+    """Distinct ``(level, body)`` of a text: its lines, its passages and the sentences of those, all normalised.
+
+    A passage is a stretch of lines of one level without an empty line, joined by blanks, so it stays the
+    same however a quotation was wrapped again.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(level(x).cast("int").alias("level"), normal(x).alias("body")))
+
+    def joined(all_lines: Column) -> Column:
+        before = lambda i: F.get(all_lines, i - 1)
+        goes_on = lambda x, i: (i > 0) & (before(i)["level"] == x["level"]) & (before(i)["body"] != "") & (x["body"] != "")
+        piece = lambda x, i: F.when(goes_on(x, i), F.concat(F.lit(" "), x["body"])).otherwise(F.concat(F.lit("\n"), x["level"].cast("string"), F.lit("\t"), x["body"]))
+        told = F.filter(F.split(F.array_join(F.transform(all_lines, piece), ""), "\n"), lambda p: p != "")
+        passage = lambda p: F.struct(F.substring_index(p, "\t", 1).cast("int").alias("level"), F.substring_index(p, "\t", -1).alias("body"))
+        passages = F.transform(told, passage)
+        sentences = F.flatten(F.transform(passages, lambda p: F.transform(F.split(p["body"], "(?<=[.!?]) "), lambda b: F.struct(p["level"].alias("level"), b.alias("body")))))
+        return F.array_distinct(F.filter(F.concat(all_lines, passages, sentences), lambda u: u["body"] != ""))
+
+    return F.get(F.transform(F.array(lines), joined), 0)
+
+
 def link(messages: DataFrame, least_words: int = 3) -> DataFrame:
-    """Per message with a parent: conv_id, turn, parent_turn, n_linked (quoted lines that lead there)."""
+    """Per message with a parent: conv_id, turn, parent_turn, n_linked (quoted lines, sentences and passages that lead there).
+
+    A unit of level k meets the earliest message of its conversation that has it at level k - 1, and,
+    for k > 1, the earliest that has it as its own.  First-level units decide before deeper ones, those
+    before deeper ones found in an original, and units under ``least_words`` only where no longer one
+    leads anywhere.  Then most words win, then the earliest message.
+    """
     placed = messages.filter("conv_id is not null and turn is not null and text is not null")
-    lines = placed.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select("conv_id", "turn", level(F.col("line")).alias("level"), normal(F.col("line")).alias("body"))
-    lines = lines.filter(F.size(F.split("body", " ")) >= least_words).withColumn("h", F.xxhash64("body"))
-    first = lines.filter("level = 0").groupBy("conv_id", "h", "body").agg(F.min("turn").alias("parent_turn"))
-    quoted = lines.filter("level = 1")
-    met = quoted.join(first, ["conv_id", "h", "body"]).filter("parent_turn < turn")
-    votes = met.groupBy("conv_id", "turn", "parent_turn").agg(F.count("*").alias("n"), F.sum(F.size(F.split("body", " "))).alias("words"))
-    best = F.max_by(F.struct("parent_turn", "n"), F.struct("words", -F.col("parent_turn")))
+    rows = placed.select("conv_id", "turn", F.explode(units(F.col("text"))).alias("u"))
+    body = F.col("u.body")
+    rows = rows.select("conv_id", "turn", F.col("u.level").alias("level"), F.md5(body.cast("binary")).alias("h"), F.size(F.split(body, " ")).alias("words"))
+    first = rows.groupBy("conv_id", F.col("level").alias("at"), "h").agg(F.min("turn").alias("parent_turn"))
+    quoted = rows.filter("level > 0").withColumn("at", F.explode(F.array_distinct(F.array(F.col("level") - 1, F.lit(0)))))
+    rank = F.when(F.col("level") == 1, 0).when(F.col("at") == F.col("level") - 1, 1).otherwise(2) + F.when(F.col("words") < least_words, 3).otherwise(0)
+    met = quoted.withColumn("rank", rank).join(first, ["conv_id", "at", "h"]).filter("parent_turn < turn")
+    votes = met.groupBy("conv_id", "turn", "rank", "parent_turn").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+    best = F.max_by(F.struct("parent_turn", "n"), F.struct(-F.col("rank"), "words", -F.col("parent_turn")))
     return votes.groupBy("conv_id", "turn").agg(best.alias("b")).select("conv_id", "turn", F.col("b.parent_turn").alias("parent_turn"), F.col("b.n").alias("n_linked"))
 
 

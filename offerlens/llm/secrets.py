@@ -6,9 +6,12 @@ on base spans of a bounded sample of texts: each training sequence comes again w
 around hidden and with its secrets in other cases, so that shape alone must do, which lets it find
 secrets without a keyword.
 
-A sequence is a maximal run of tokens of one line within ``REACH`` tokens of one that has a digit or
-``LONG`` characters; all other tokens are outside.  Only such lines are tokenised, so most text costs
-two pattern searches.  Each row is scanned on its own, without a shuffle.
+A sequence is a maximal run of tokens of one line within ``REACH`` tokens of one that is no plain word: it
+has a digit, a capital after its first character, or ``LONG`` characters.  Plain lower-case or capitalised
+words below that length, with none of these near, are outside by definition.  Only such lines are
+tokenised, so most text costs three pattern searches.  Each row is scanned on its own, without a shuffle.
+
+Where a find of the field overlaps a base span, the part outside the base span is added.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned alike; a sample without
 any base span trains a field that tags nothing; an empty table gives an empty result; other columns
@@ -39,6 +42,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 DIGITS = re.compile(r"\b[^\W\d]*\d\w*")
 LONG = 20
 LONG_WORD = re.compile(r"\b\w{20,}")
+INNER_CAPITAL = re.compile(r"\w[A-Z]")
 REACH = 3
 #: Most tokens of a training sequence; decoding works on whole sequences.
 WINDOW = 64
@@ -90,7 +94,7 @@ def token_features(words: list[str], i: int, file: list[str]) -> tuple[list[str]
 
 def sequences(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[str]], list[list[str]]]]:
     """Spans, own features and features around, for each sequence of a text."""
-    places = sorted({m.start() for p in (DIGITS, LONG_WORD) for m in p.finditer(text)})
+    places = sorted({m.start() for p in (DIGITS, LONG_WORD, INNER_CAPITAL) for m in p.finditer(text)})
     if not places:
         return
     share = sum(map(text.count, "0123456789")) / len(text)
@@ -106,7 +110,7 @@ def sequences(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[str]
         words = [text[a:b] for a, b in spans]
         near = np.zeros(len(words), dtype=bool)
         for i, w in enumerate(words):
-            if len(w) >= LONG or any(c.isdigit() for c in w):
+            if len(w) >= LONG or any(c.isdigit() for c in w) or INNER_CAPITAL.search(w):
                 near[max(0, i - REACH) : i + REACH + 1] = True
         edges = np.flatnonzero(np.diff(np.concatenate(([0], near.view(np.int8), [0])))).reshape(-1, 2)
         for a, b in edges.tolist():
@@ -198,8 +202,33 @@ def fit(samples: list[tuple[list[list[str]], list[int]]], rounds: int = 80, rate
     return Field(index, emit, move, start)
 
 
-#: Training also sees the secrets in capitals and in mixed case, which the patterns alone would miss.
-RECASTS = (str, str.upper, lambda w: "".join(c.upper() if i % 3 else c for i, c in enumerate(w)))
+def mixed(word: str) -> str:
+    return "".join(c.upper() if i % 3 else c for i, c in enumerate(word))
+
+
+BASE_62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def drawn_anew(word: str, first: int = 0, again: int = 0) -> str:
+    """A key of 10 to 64 of the characters from ``first`` on, more often a short one, that depends on the word and ``again`` only."""
+    draw = lambda i: xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 1000 * again + i)
+    return "".join(BASE_62[first + draw(i) % (62 - first)] for i in range(1, 11 + (draw(0) % 55) * (draw(100) % 55) // 54))
+
+
+#: Training also sees the secrets in capitals, in mixed case, without digits, and of other lengths, which the patterns alone would miss.
+RECASTS = (str, str.upper, mixed, *(partial(drawn_anew, first=first, again=again) for first in (0, 10) for again in range(4)))
+
+
+def recast_text(text: str, secrets: list[tuple[int, int]], recast) -> tuple[str, list[tuple[int, int]]]:
+    """The text with its secrets (sorted, apart) recast, and where they then are."""
+    parts, moved, size, end = [], [], 0, 0
+    for s, e in secrets:
+        new = recast(text[s:e])
+        size += s - end
+        parts += [text[end:s], new]
+        moved.append((size, size + len(new)))
+        size, end = size + len(new), e
+    return "".join([*parts, text[end:]]), moved
 
 
 def windows(tags: list[int]) -> Iterator[tuple[int, int]]:
@@ -217,11 +246,14 @@ def _training(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFra
     for batch in batches:
         rows = []
         for text in batch["text"]:
-            secrets = [(s, e) for *_, s, e in base_spans(text)]
-            for recast in RECASTS if secrets else RECASTS[:1]:
-                told = text
-                for s, e in secrets:
-                    told = told[:s] + recast(text[s:e]) + told[e:]
+            found: list[tuple[int, int]] = []
+            for s, e in sorted((s, e) for *_, s, e in base_spans(text)):
+                if found and s < found[-1][1]:  # two patterns, one secret
+                    found[-1] = found[-1][0], max(e, found[-1][1])
+                else:
+                    found.append((s, e))
+            for recast in RECASTS if found else RECASTS[:1]:
+                told, secrets = recast_text(text, found, recast)
                 drawn = []
                 for spans, own, near in sequences(told):
                     tags, held = [], None
@@ -233,6 +265,8 @@ def _training(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFra
                         part = [BEGIN if i == a and tags[i] == INSIDE else tags[i] for i in range(a, b)]
                         h = xxhash.xxh64_intdigest(told[spans[a][0] : spans[b - 1][1]].encode("utf-8", "surrogatepass"))
                         drawn.append((not any(part), h, len(drawn), own[a:b], near[a:b], part))
+                if recast is not RECASTS[0]:  # what holds no secret is the same again
+                    drawn = [x for x in drawn if not x[0]]
                 for *_, own, near, tags in sorted(drawn, key=lambda x: x[:3])[:most]:
                     for hidden in (False, True):
                         rows.append(([o if hidden else o + x for o, x in zip(own, near)], tags))
@@ -240,7 +274,7 @@ def _training(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFra
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = 600, per_text: int = 12) -> Field:
-    """Fit the field on a sample bounded by ``sample`` distinct texts with base spans and as many without, ``per_text`` windows of sequences of each: at most ``WINDOW`` tokens, those with secrets first, then by hash.
+    """Fit the field on a sample bounded by ``sample`` distinct texts with base spans and as many without, ``per_text`` windows of sequences of each (and as many with recast secrets per recast): at most ``WINDOW`` tokens, those with secrets first, then by hash.
 
     The sample are the texts with the smallest hashes among those with digits; the driver receives
     their sequences only.
@@ -259,6 +293,16 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = 600, per_text:
     return fit([([list(f) for f in r["features"]], list(r["tags"])) for r in rows])
 
 
+def without(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of a stretch outside the ``taken`` ones (sorted by start) that hold a letter or digit, trimmed of white space."""
+    for a, b in [*((s, e) for s, e in taken if s < end and start < e), (end, end)]:
+        part = text[start:a]
+        if any(c.isalnum() for c in part):
+            lead = len(part) - len(part.lstrip())
+            yield start + lead, start + len(part.rstrip())
+        start = max(start, b)
+
+
 def field_spans(text: str, field: Field, taken: list[tuple[int, int]]) -> list[Span]:
     """Spans that the field adds to those already ``taken`` (sorted)."""
     found: list[Span] = []
@@ -272,9 +316,7 @@ def field_spans(text: str, field: Field, taken: list[tuple[int, int]]) -> list[S
             j = i + 1
             while j < len(tags) and tags[j] == INSIDE:
                 j += 1
-            a, b = spans[i][0], spans[j - 1][1]
-            if not any(a < e and s < b for s, e in taken):
-                found.append(("crf", a, b))
+            found += [("crf", a, b) for a, b in without(text, spans[i][0], spans[j - 1][1], taken)]
             i = j
     return found
 

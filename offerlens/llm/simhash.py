@@ -5,10 +5,10 @@ fingerprints before anything is linked.  For linking, a small Hamming ball is en
 segment of a fingerprint and every element becomes a key of the table of that segment; rows that meet
 in a table are verified over their complete distance.
 
-``fingerprint_components`` links whole 64-bit fingerprints at distance two exactly: two fingerprints
-at distance two or less always meet in an element one bit from both.  Whichever segments the bits
-fall in, that element lies in the ball of one segment while the rest of the key is exact, so at most
-65 distinct fingerprints can share a key and no group can grow hot.
+``fingerprint_components`` links whole 64-bit fingerprints at distance two exactly: one of their two
+32-bit segments differs in one bit at most, so its table finds the pair.  Families of near copies crowd
+single buckets; their fingerprints meet in whole elements one bit from both instead, which at most 65
+distinct fingerprints share, so no group can grow hot and no pair is lost.
 
 ``near_duplicates`` finds all groups of texts whose word shingles overlap by a given similarity, in two
 passes.  Both verify candidates by the exact similarity of their shingle sets.
@@ -47,6 +47,8 @@ from offerlens.operators.prefixjoin import EPS, close_sizes
 from offerlens.session import materialize
 
 CHUNK = 1 << 15
+#: Copies of a component's smallest id when it is joined back.
+SALTS = 16
 #: Texts whose shingle arrays a Python worker holds at once.
 TEXTS_AT_ONCE = 500
 #: Longs in the bitmap of shingle parities.
@@ -96,15 +98,44 @@ def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def fingerprint_links(prints: DataFrame, segments: tuple[int, ...] = (32, 32)) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints (column ``fp``) that connect all pairs at distance two or less."""
-    balls, at = [F.col("fp")], 0
-    for width in segments:
-        balls += [F.col("fp").bitwiseXOR(F.lit(signed(at + bit)).cast("long")) for bit in range(width)]
-        at += width
-    met = prints.select("fp", F.explode(F.array(*balls)).alias("key")).groupBy("key").agg(F.collect_set("fp").alias("fps"))
-    first = met.filter(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
-    return first.filter((F.col("a") != F.col("b")) & (distance("a", "b") <= 2)).distinct()
+def _segments(fp: Column, widths: tuple[int, ...]) -> list[tuple[Column, int, int]]:
+    """Value, first bit and width of each segment of a fingerprint."""
+    starts = [sum(widths[:i]) for i in range(len(widths))]
+    return [(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << w) - 1).cast("long")), at, w) for at, w in zip(starts, widths)]
+
+
+def _elements(prints: DataFrame) -> DataFrame:
+    """Links that connect all pairs at distance two or less: they meet in an element one bit from both, which at most 65 share."""
+    ball = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(signed(bit)).cast("long")) for bit in range(64)]
+    met = prints.select("fp", F.explode(F.array(*ball)).alias("key")).groupBy("key").agg(F.collect_set("fp").alias("fps"))
+    return met.filter(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
+
+
+def fingerprint_links(prints: DataFrame, segments: tuple[int, ...] = (32, 32), bucket: int = 64) -> DataFrame:
+    """Links ``a, b`` between distinct fingerprints (column ``fp``) that connect all pairs at distance two or less.
+
+    Of two such fingerprints, some segment differs in one bit at most: of two segments, one does; of three
+    or more, one is equal.  Each segment has a table of its values.  A fingerprint asks every table for its
+    own value and, with two segments, for those with one more bit set (the other side of a pair asks where
+    a bit is less).  All matches are verified over the whole distance.  Fingerprints that are in a bucket
+    of more than ``bucket``, or ask for one, are linked through whole elements instead.
+    """
+    if sum(segments) != 64 or len(segments) < 2 or max(segments) > 56:
+        raise ValueError("segments must be at least two, of at most 56 bits, and 64 bits together")
+    tag = lambda value, i: F.struct(F.lit(i).alias("segment"), value.alias("value"))
+    parts = _segments(F.col("fp"), segments)
+    stored = prints.select("fp", F.explode(F.array(*[tag(v, i) for i, (v, *_) in enumerate(parts)])).alias("key"))
+    asked = [tag(v, i) for i, (v, *_) in enumerate(parts)]
+    if len(segments) == 2:
+        asked += [F.when(v.bitwiseAND(F.lit(1 << b)) == 0, tag(v.bitwiseOR(F.lit(1 << b)), i)) for i, (v, _, w) in enumerate(parts) for b in range(w)]
+    asked = prints.select("fp", F.explode(F.array_compact(F.array(*asked))).alias("key"))
+    crowded = materialize(stored.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("key"), "crowded")
+    small = stored.join(crowded, "key", "left_anti").withColumnRenamed("fp", "b")
+    met = asked.withColumnRenamed("fp", "a").join(small, "key").select("a", "b")
+    links = met.filter((F.col("a") != F.col("b")) & (distance("a", "b") <= 2)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if not crowded.isEmpty():
+        links = links.union(_elements(asked.join(crowded, "key", "left_semi").select("fp").distinct()))
+    return links.filter((F.col("a") != F.col("b")) & (distance("a", "b") <= 2)).distinct()
 
 
 def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -113,13 +144,22 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprints")
     found = components(fingerprint_links(distinct))
     own = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.col("root").isNull().alias("alone"), "root")
+    # A component may hold a third of all fingerprints: its smallest id is given out in salted copies.
+    own = own.withColumn("salt", F.pmod("fp", F.lit(SALTS)).cast("int"))
     smallest = own.filter("not alone").groupBy("root").agg(F.min("id").alias("least"))
-    named = own.join(smallest, "root", "left").select("fp", F.when(F.col("alone"), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    smallest = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = own.join(smallest, ["root", "salt"], "left").select("fp", F.when(F.col("alone"), F.col("id")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sampled_shingles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+def _portions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        for lo in range(0, len(batch), TEXTS_AT_ONCE):
+            yield batch.iloc[lo : lo + TEXTS_AT_ONCE]
+
+
+def _sampled_shingles(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    for batch in _portions(batches):
         sets = [np.unique(hashes(shingles(t, size))) for t in batch["text"]]
         yield pd.DataFrame({"gram": np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64)})
 
@@ -152,12 +192,6 @@ def parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _portions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for lo in range(0, len(batch), TEXTS_AT_ONCE):
-            yield batch.iloc[lo : lo + TEXTS_AT_ONCE]
-
-
 PROFILE = "doc_id string, th long, content binary, fps array<long>, size int, bits array<long>, rare array<long>"
 
 

@@ -7,7 +7,8 @@ host passes if the lower bound of its posterior reaches the threshold.
 
 Everything is column functions, aggregations with map-side partial sums (a host that holds a third of
 all pages combines before the shuffle) and equality joins on the host, which AQE splits when skewed.
-The driver sees one row of sums per level, never hosts or pages.
+Counts per host are written once and all levels come from that table, so pages are scanned twice: for
+the counts and for the verdicts.  The driver sees one row of sums per level, never hosts or pages.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and the
 verdict of the empty host; ids without a label add no outcome; several labels of an id count one by
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerlens.session import materialize
+
 #: The rules of the registered query, (verdict, host and path prefix).
 RULES = (
     ("allow", "org/"),
@@ -108,7 +111,7 @@ def judge(
     counts = p.select("page_id", "host").join(seen, "page_id", "left").groupBy("host").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")
     )
-    bound = reputation(counts, z).select("host", "bound")
+    bound = reputation(materialize(counts, "host-counts"), z).select("host", "bound")  # all levels read one small table
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bound") >= threshold, "allow").otherwise("block")
     return p.join(bound, "host", "left").select(

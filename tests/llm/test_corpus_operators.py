@@ -1,6 +1,7 @@
 """Operators that look across rows: url reputation, toxicity, quotations, SimHash, and the pipeline."""
 
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -40,10 +41,13 @@ def test_fingerprint_links(spark, empty):
     base = [rng.getrandbits(64) for _ in range(6)]
     prints = {b ^ sum(1 << i for i in rng.sample(range(64), k)) for b in base for k in (0, 1, 2, 3, 4) for _ in range(12)} | {0, 3, 1 << 63}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
-    assert all(((r.a ^ r.b) % (1 << 64)).bit_count() <= 2 for r in links)
-    want = groups(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 2])
-    assert groups(signed, [(r.a, r.b) for r in links]) == want
+    table = spark.createDataFrame([(p,) for p in signed], "fp long")
+    near = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 2}
+    want = groups(signed, near)
+    for segments, bucket in (((32, 32), 64), ((32, 32), 10_000), ((20, 22, 22), 10_000), ((24, 40), 1)):
+        links = {(r.a, r.b) for r in simhash.fingerprint_links(table, segments, bucket).collect()}
+        assert links <= near and groups(signed, links) == want
+        assert bucket < 10_000 or links == near  # the tables alone find every pair
     assert simhash.fingerprint_components(empty).count() == 0
 
 
@@ -232,6 +236,81 @@ def test_quotations(spark):
     assert quotes.conversations(msgs.limit(0)).count() == 0
 
 
+def test_quotations_of_every_kind(spark):
+    """Deeper levels, short lines, passages wrapped again, and a phrase of many messages."""
+    rows = [
+        (1, 0, "The plan for the spring is ready. Please read the second\npart with care before we meet on Friday."),
+        (1, 1, ">> unknown to all of us here\nyes please"),
+        (1, 2, "> The plan for the\n> spring is ready. Please read\n> the second part with care\n> before we meet on Friday.\nI did read it"),
+        (1, 3, ">>> nothing at all there\n>> please read the second part with care before\n>> we meet on friday.\nA late answer"),
+        (1, 4, "> yes please\nThanks"),
+        (1, 5, "> yes please\n> I did read it\nBoth of you"),
+        (1, 6, ">> yes please\nShort and deep"),
+        (2, 0, "> yes please\nno one said that here"),
+        (2, 1, "same words for all\nfirst"), (2, 2, "same words for all\nsecond"), (2, 3, "> same words for all\nok"),
+    ]
+    msgs = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(msgs).collect()}
+    parents = {k: r.parent_turn for k, r in got.items()}
+    assert parents == {
+        (1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 2, (1, 4): 1, (1, 5): 2, (1, 6): 4,
+        (2, 0): None, (2, 1): None, (2, 2): None, (2, 3): 1,
+    }
+    assert (got[1, 3].root_turn, got[1, 3].depth, got[1, 6].depth) == (0, 2, 2) and got[1, 2].text == "I did read it"
+
+
+def links_by_hand(rows, least=3):
+    """Parent of each message by comparing every unit with every message."""
+    def told(text):
+        lines = []
+        for x in text.split("\n"):
+            mark = re.match(r"(?:[ \t]*>)+[ \t]?", x)
+            lines.append((mark[0].count(">") if mark else 0, " ".join(x[mark.end() if mark else 0 :].split()).lower()))
+        passages = []
+        for i, (k, b) in enumerate(lines):
+            if i and lines[i - 1][0] == k and lines[i - 1][1] and b:
+                passages[-1] = (k, passages[-1][1] + " " + b)
+            else:
+                passages.append((k, b))
+        return {u for u in lines + passages + [(k, s) for k, b in passages for s in re.split(r"(?<=[.!?]) ", b)] if u[1]}
+
+    sets, out = {(c, t): told(x) for c, t, x in rows}, {}
+    for (c, t), own in sets.items():
+        votes = {}
+        for k, b in own:
+            for at in {k - 1, 0} if k else ():
+                holders = [t2 for (c2, t2), theirs in sets.items() if c2 == c and (at, b) in theirs]
+                if holders and min(holders) < t:
+                    n = len(b.split(" "))
+                    rank = (0 if k == 1 else 1 if at == k - 1 else 2) + (3 if n < least else 0)
+                    votes[rank, min(holders)] = votes.get((rank, min(holders)), 0) + n
+        if votes:
+            out[c, t] = max(votes, key=lambda v: (-v[0], votes[v], -v[1]))[1]
+    return out
+
+
+def test_quotations_by_hand(spark):
+    """Random conversations whose messages quote, nest, shorten and wrap earlier ones again."""
+    rng, rows = random.Random(31), []
+    words = ["red", "tree", "lake", "stone", "wind", "late"]
+    for c in range(12):
+        texts = []
+        for t in range(14):
+            own = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) + rng.choice(["", ".", "!"]) for _ in range(rng.randint(1, 3)))
+            if texts and rng.random() < 0.8:
+                old = rng.choice(texts).split("\n")[: rng.randint(1, 6)]
+                if rng.random() < 0.4 and not any(x.startswith(">") for x in old):
+                    ws = " ".join(old).split()
+                    cut = rng.randint(1, 5)
+                    old = [" ".join(ws[i : i + cut]) for i in range(0, len(ws), cut)]
+                own = "\n".join(">" * rng.choice([1, 1, 1, 2]) + rng.choice(["", " "]) + x for x in old) + "\n" + own
+            texts.append(own)
+        rows += [(c, t, x) for t, x in enumerate(texts)]
+    want = links_by_hand(rows)
+    got = {(r.conv_id, r.turn): r.parent_turn for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert got == want and len(want) > 60
+
+
 BIG = (1 << 60) + 1
 
 

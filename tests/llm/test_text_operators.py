@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from cases import EDGE, SCHEMA, with_columns
 
-from offerlens.llm import decontaminate, pieces, quality_rules, secrets, token_blocks, token_counts
+from offerlens.llm import decontaminate, pieces, quality_rules, queries, secrets, token_blocks, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -105,6 +105,33 @@ def test_secret_field(spark, edge, empty, prose):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
+def test_field_keeps_what_base_spans_leave(spark, prose):
+    """The rest of a secret whose head a pattern takes is found too, and so is one of letters alone."""
+    key = lambda n: hashlib.sha1(str(n).encode()).hexdigest()
+    rows = [(n, f'{prose(40, n)} token = "{key(n)[:24]}" {prose(20, n + 500)} on 2024-01-{n % 28 + 1:02d} at 10.0.0.{n}') for n in range(120)]
+    field = secrets.train(spark.createDataFrame(with_columns(rows), SCHEMA), sample=80)
+    covered = lambda text: "".join("*" if any(a <= i < b for _, a, b in secrets.find(text, field)) else c for i, c in enumerate(text))
+    assert "Zx9Qw77Kp2" not in covered("so password=abcdefgh1!Zx9Qw77Kp2 it is")
+    assert "ABCDEF99887766Zq" not in covered("so " + "0123456789abcdef" * 2 + "ABCDEF99887766Zq it is")
+    assert covered("login pw aGhtYzzKqLpWsX here") == "login pw " + "*" * 14 + " here"
+    assert list(secrets.without("ab cd ef gh", 0, 11, [(3, 5), (4, 8)])) == [(0, 2), (9, 11)] and list(secrets.without('ab"', 0, 3, [(0, 2)])) == []
+
+
+def test_secret_query_columns(spark, edge, tmp_path, prose):
+    """All columns of the registered query against the patterns, and added spans that leave base ones."""
+    rows = [(200 + n, f"{prose(30, n)} api_key: {hashlib.md5(str(n).encode()).hexdigest()} AKIAABCDEFGHIJ{n:04d} {prose(9, n)}") for n in range(40)]
+    spark.createDataFrame(with_columns([*EDGE, *rows]), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r for r in queries.QUERIES["op9_secret_scan"](spark, str(tmp_path)).collect() if r.doc_id is not None]
+    assert len(got) == len(EDGE) - 1 + 40
+    texts = dict([*EDGE, *rows])
+    for r in got:
+        base = [x[:3] for x in secrets.base_spans(texts[r.doc_id] or "")]
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, *_ in base) for kind in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("crf")] == [s for s in told.split(",") if s]
+
+
 def test_viterbi_is_the_best_path(prose):
     rng = np.random.default_rng(3)
     field = secrets.Field({"a": 0, "b": 1, "c": 2}, rng.normal(size=(4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
@@ -200,9 +227,10 @@ def test_training_sequences_are_bounded():
     numbers = " ".join(str(i) for i in range(5000))
     text = f"{numbers} password=abcd.efgh.1234.zz99 {numbers}"
     (out,) = secrets._training(iter([pd.DataFrame({"text": [text]})]), most=12)
-    assert len(out) == 12 * 2 * len(secrets.RECASTS) and max(map(len, out["tags"])) <= secrets.WINDOW
+    assert len(out) == 2 * (12 + len(secrets.RECASTS) - 1) and max(map(len, out["tags"])) <= secrets.WINDOW
     with_secret = [t for t in out["tags"] if secrets.BEGIN in t]
-    assert len(with_secret) == 2 * len(secrets.RECASTS) and all(t.count(secrets.BEGIN) == 1 and t.count(secrets.INSIDE) == 6 for t in with_secret)
+    assert len(with_secret) == 2 * len(secrets.RECASTS) and all(t.count(secrets.BEGIN) == 1 for t in with_secret)
+    assert sorted(t.count(secrets.INSIDE) for t in with_secret) == [0] * 16 + [6] * 6  # drawn keys are one token
     tags = [0] * 60 + [1] + [2] * 9 + [0] * 100 + [1] + [2] * 99
     ranges = list(secrets.windows(tags))
     assert ranges[0] == (0, 60) and [i for a, b in ranges for i in range(a, b)] == list(range(len(tags))) and max(b - a for a, b in ranges) <= 64
