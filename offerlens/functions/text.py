@@ -86,7 +86,7 @@ def canonical_key(c: Column) -> Column:
 
 def description_key(c: Column) -> Column:
     """Canonical key, or the plain key where nothing is left of it."""
-    return F.coalesce(F.nullif(canonical_key(c), F.lit("")), normalize_key(c))
+    return let(normalize_key(c), lambda key: F.coalesce(F.nullif(drop_key_tokens(key), F.lit("")), key))
 
 
 def extract_year(c: Column) -> Column:

@@ -78,7 +78,8 @@ def x12(i):
 @query("x12_document_keys", f"SELECT doc_id, md5({Q.nkey('text')}) AS key_hash, len({Q.toks(Q.ckey('text'))}) AS words FROM @documents@")
 def x12_docs(i):
     """Keys over whole document texts in four languages."""
-    return i.documents.select("doc_id", F.md5(X.normalize_key(c("text"))).alias("key_hash"), F.size(X.tokens(X.canonical_key(c("text")))).cast("long").alias("words"))
+    keys = i.documents.select("doc_id", X.normalize_key(c("text")).alias("key"))  # each text is folded once
+    return keys.select("doc_id", F.md5("key").alias("key_hash"), F.size(X.tokens(X.drop_key_tokens(c("key")))).cast("long").alias("words"))
 
 
 _SPLIT = """(SELECT *, CASE WHEN pos > 0 THEN parts[:pos - 1] ELSE parts END AS body FROM (SELECT *, coalesce(list_position(list_transform(parts, lambda p: lower(strip_accents(p)) IN ('red', 'white', 'rose', 'orange')), true), 0) AS pos

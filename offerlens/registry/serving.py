@@ -32,7 +32,19 @@ _filter_query(
     "deal_score >= 0 AND (contains(lower(offer_name), 'réserve') OR contains(lower(coalesce(rating_description, '')), 'réserve') OR contains(lower(coalesce(grapes, '')), 'réserve') OR contains(lower(coalesce(region, '')), 'réserve') OR contains(lower(producer), 'réserve'))",
     search="  RÉSERVE ",
 )
-_filter_query("f4_search_escaped", "deal_score >= 0 AND contains(lower(offer_name), '50%_')", search="50%_")
+
+
+@query(
+    "f4_search_escaped",
+    f"""SELECT {_COLS} FROM (SELECT * REPLACE (offer_name || CASE WHEN anchor_price > 300 THEN ' 50%_ Off' ELSE ' 50 x Off' END AS offer_name) FROM @offers@)
+WHERE deal_score >= 0 AND contains(lower(offer_name), '50%_ off')""",
+)
+def f4_escaped(i):
+    """Search marks of LIKE are plain characters; names with and without them."""
+    told = F.when(F.col("anchor_price") > 300, " 50%_ Off").otherwise(" 50 x Off")
+    return S.filter_offers(i.offers.withColumn("offer_name", F.concat("offer_name", told)), OfferFilter(search="50%_ OFF")).select(*_VIEW)
+
+
 _filter_query("f5_ranges", "rating >= 2.5 AND num_ratings >= 500 AND anchor_price <= 950 AND deal_score >= 0", min_rating=2.5, min_num_ratings=500, max_anchor_price=950.0)
 _filter_query("f6_exact_any_of", "lower(country) IN ('france', 'new zealand') AND lower(wine_type) IN ('red', 'rose') AND deal_score >= 0", country="france, New Zealand,,", wine_type="RED,rose")
 _filter_query("f7_contains_any_of", "(contains(lower(grapes), 'pinot') OR contains(lower(grapes), 'syrah')) AND deal_score >= 0", grape=" Pinot , SYRAH")

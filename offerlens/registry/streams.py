@@ -44,10 +44,11 @@ def t1_stream(i):
     """The stateful form over the whole events table as one finished stream."""
     source = f"{scratch_path(i.spark, 'stream-in')}"
     i.events.select("event_id", "user_id", "ts").write.parquet(source)
-    stream = i.spark.readStream.schema("event_id long, user_id long, ts timestamp").parquet(source)
+    own = i.spark.newSession()  # the state store is set for this stream only
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = own.readStream.schema("event_id long, user_id long, ts timestamp").parquet(source)
     out, check = scratch_path(i.spark, "stream-out"), scratch_path(i.spark, "stream-check")
     decided = admission_stream(stream, key="user_id", ts="ts", id="event_id", limit=2, window_seconds=36000)
-    i.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     q = decided.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return i.spark.read.schema("key string, id long, allowed boolean, remaining int, reset_seconds int").parquet(out)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Files whose first line is fetched at the same time.
+HEADERS_AT_ONCE = 32
+
 CATALOGUE_FIELDS = ["name", "price", "url"]
 CATALOGUE_OPTIONAL = ["in_stock", "cat_rating", "cat_num_ratings", "cat_url"]
 
@@ -57,8 +61,9 @@ def read_csv(spark: SparkSession, path: str, fields: list[str], *, multi_line: b
     if not paths:
         return spark.createDataFrame([], text_schema(fields))
     groups: dict[str, list[str]] = {}
-    for file in paths:  # only the first line of each file is read here
-        groups.setdefault(_first_line(spark, file), []).append(file)
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:  # only the first line of each file is read here
+        for file, head in zip(paths, pool.map(partial(_first_line, spark), paths)):
+            groups.setdefault(head, []).append(file)
     parts = []
     for head in sorted(groups):
         raw = spark.read.options(**options).csv(sorted(groups[head]))
