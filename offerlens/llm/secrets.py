@@ -7,8 +7,8 @@ around hidden and with its secrets in other cases, so that shape alone must do,
 secrets without a keyword.
 
 A sequence is a maximal run of tokens of one line within ``REACH`` tokens of one that is no plain word: it
-has a digit, a capital after its first character, or ``LONG`` characters.  Plain lower-case or capitalised
-words below that length, with none of these near, are outside by definition.  Only such lines are
+has a digit, a capital after a small letter, or ``LONG`` characters.  Lower-case, capitalised and
+upper-case words of letters below that length, with none of these near, are outside by definition.  Only such lines are
 tokenised, so most text costs three pattern searches.  Each row is scanned on its own, without a shuffle.
 
 Where a find of the field overlaps a base span, the part outside the base span is added.
@@ -42,7 +42,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 DIGITS = re.compile(r"\b[^\W\d]*\d\w*")
 LONG = 20
 LONG_WORD = re.compile(r"\b\w{20,}")
-INNER_CAPITAL = re.compile(r"\w[A-Z]")
+INNER_CAPITAL = re.compile(r"[a-z][A-Z]")
 REACH = 3
 #: Most tokens of a training sequence; decoding works on whole sequences.
 WINDOW = 64
