@@ -36,12 +36,12 @@ _filter_query(
 
 @query(
     "f4_search_escaped",
-    f"""SELECT {_COLS} FROM (SELECT * REPLACE (offer_name || CASE WHEN anchor_price > 300 THEN ' 50%_ Off' ELSE ' 50 x Off' END AS offer_name) FROM @offers@)
+    f"""SELECT {_COLS} FROM (SELECT * REPLACE (offer_name || CASE WHEN anchor_price > 950 THEN ' 50%_ Off' ELSE ' 50 x Off' END AS offer_name) FROM @offers@)
 WHERE deal_score >= 0 AND contains(lower(offer_name), '50%_ off')""",
 )
 def f4_escaped(i):
     """Search marks of LIKE are plain characters; names with and without them."""
-    told = F.when(F.col("anchor_price") > 300, " 50%_ Off").otherwise(" 50 x Off")
+    told = F.when(F.col("anchor_price") > 950, " 50%_ Off").otherwise(" 50 x Off")
     return S.filter_offers(i.offers.withColumn("offer_name", F.concat("offer_name", told)), OfferFilter(search="50%_ OFF")).select(*_VIEW)
 
 
