@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offerlens.functions.numbers import let
 from offerlens.functions.text import canonical_key, squeeze, tokens
 
 # --- fixed values -----------------------------------------------------------------
@@ -34,27 +36,42 @@ def listing_similarity(name_a: Column, name_b: Column, label_a: Column, label_b:
     return F.when(both, F.least(full, jaccard(label_a, label_b))).otherwise(full)
 
 
+#: Results of distinct pairs that one task keeps.
+MEMO_SIZE = 200_000
+
+
 @F.pandas_udf(T.DoubleType())
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-matching-block ratio; each distinct pair of a batch is compared once."""
+def seq_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Longest-matching-block ratio; a task compares a distinct pair once, as far as it remembers it."""
     memo: dict[tuple[str, str], float] = {}
-    out = []
-    for left, right in zip(a, b):
+    # What the matcher learns of its second text is kept while that text stays the same.
+    matcher = SequenceMatcher(None)
+
+    def ratio(left, right):
         if left is None or right is None:
-            out.append(None)
-            continue
+            return None
+        if left == right:
+            return 1.0
         key = (left, right)
-        if key not in memo:
-            memo[key] = 1.0 if left == right else SequenceMatcher(None, left, right).ratio()
-        out.append(memo[key])
-    return pd.Series(out, dtype="float64")
+        found = memo.get(key)
+        if found is None:
+            if len(memo) >= MEMO_SIZE:
+                memo.clear()
+            if matcher.b != right:
+                matcher.set_seq2(right)
+            matcher.set_seq1(left)
+            found = memo[key] = matcher.ratio()
+        return found
+
+    for a, b in batches:
+        yield pd.Series([ratio(left, right) for left, right in zip(a, b)], dtype="float64")
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Best ratio of the sorted common tokens against either sorted token set."""
-    common = F.array_join(F.array_sort(F.array_intersect(a, b)), " ")
-    left = F.array_join(F.array_sort(a), " ")
-    right = F.array_join(F.array_sort(b), " ")
+    common = F.array_join(F.sort_array(F.array_intersect(a, b)), " ")
+    left = F.array_join(F.sort_array(a), " ")
+    right = F.array_join(F.sort_array(b), " ")
     return F.when(common == "", 0.0).otherwise(F.greatest(seq_ratio(common, left), seq_ratio(common, right)))
 
 
@@ -100,26 +117,39 @@ def _marker_keys() -> list[str]:
     return [k for k in keys if k]
 
 
-def signature_tokens(c: Column) -> Column:
-    norm = validation_name(c)
+def _markers_in(norm: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(k)), F.lit(k)) for k in dict.fromkeys(_marker_keys())]))
 
 
+def signature_tokens(c: Column) -> Column:
+    return let(validation_name(c), _markers_in)
+
+
 def page_match_confident(expected: Column, candidate: Column, context: Column) -> Column:
-    """Does a page name plausibly belong to the expected listing?  Blank sides pass."""
+    """Does a page name plausibly belong to the expected listing?  Blank sides pass.
+
+    The keys are costly, so they are bound once and everything else reads them.
+    """
     e, c = validation_name(expected), validation_name(candidate)
-    te, tc = tokens(e), tokens(c)
-    overlap = F.size(F.array_intersect(te, tc))
-    token_ratio = overlap / F.greatest(F.size(te), F.size(tc), F.lit(1))
-    se = signature_tokens(expected)
-    sc = signature_tokens(F.concat_ws(" ", F.nullif(candidate, F.lit("")), F.nullif(context, F.lit(""))))
-    clash = (F.size(se) > 0) & (F.size(sc) > 0) & ~F.arrays_overlap(se, sc)
-    return (
-        F.when((e == "") | (c == ""), True)
-        .when(overlap < 2, False)
-        .when((token_ratio < 0.70) & (seq_ratio(e, c) < 0.72), False)
-        .otherwise(~clash)
-    )
+    shown = validation_name(F.concat_ws(" ", F.nullif(candidate, F.lit("")), F.nullif(context, F.lit(""))))
+    keys = F.struct(e.alias("e"), c.alias("c"), shown.alias("shown"), seq_ratio(e, c).alias("seq"))
+
+    def judge(k: Column) -> Column:
+        sets = F.struct(
+            tokens(k["e"]).alias("te"), tokens(k["c"]).alias("tc"), _markers_in(k["e"]).alias("se"), _markers_in(k["shown"]).alias("sc")
+        )
+
+        def by_words(s: Column) -> Column:
+            clash = (F.size(s["se"]) > 0) & (F.size(s["sc"]) > 0) & ~F.arrays_overlap(s["se"], s["sc"])
+            size = F.greatest(F.size(s["te"]), F.size(s["tc"]), F.lit(1))
+            return let(
+                F.size(F.array_intersect(s["te"], s["tc"])),
+                lambda n: F.when(n < 2, False).when((n / size < 0.70) & (k["seq"] < 0.72), False).otherwise(~clash),
+            )
+
+        return F.when((k["e"] == "") | (k["c"] == ""), True).otherwise(let(sets, by_words))
+
+    return let(keys, judge)
 
 
 def core_name(c: Column) -> Column:
@@ -137,18 +167,31 @@ def page_name_similarity(expected: Column, found: Column) -> Column:
 
 
 @F.pandas_udf(T.BooleanType())
-def fuzzy_any_in(needles: pd.Series, haystack: pd.Series, threshold: pd.Series) -> pd.Series:
+def fuzzy_any_in(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """True where some needle is a substring of the text or close to one of its words."""
+    memo: dict[tuple[str, str, float], bool] = {}
+
+    def alike(needle, word, limit):
+        key = (needle, word, limit)
+        found = memo.get(key)
+        if found is None:
+            if len(memo) >= MEMO_SIZE:
+                memo.clear()
+            m = SequenceMatcher(None, needle, word)
+            # The first two are upper bounds of the ratio.
+            found = memo[key] = m.real_quick_ratio() >= limit and m.quick_ratio() >= limit and m.ratio() >= limit
+        return found
 
     def close(needle, text, limit):
-        return needle in text or any(SequenceMatcher(None, needle, w).ratio() >= limit for w in text.split())
-
-    return pd.Series(
-        [
-            None if terms is None or text is None else any(close(t, text, limit) for t in terms)
-            for terms, text, limit in zip(needles, haystack, threshold)
-        ]
-    )
+        return needle in text or any(alike(needle, w, limit) for w in text.split())
+
+    for needles, haystack, threshold in batches:
+        yield pd.Series(
+            [
+                None if terms is None or text is None else any(close(t, text, limit) for t in terms)
+                for terms, text, limit in zip(needles, haystack, threshold)
+            ]
+        )
 
 
 def fuzzy_in(needle: Column, haystack: Column, threshold: float = 0.75) -> Column:
