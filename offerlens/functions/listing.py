@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerlens.functions.numbers import first_group, strip, text, when_value
+from offerlens.functions.numbers import first_group, let, strip, text, when_value
 from offerlens.functions.text import canonical_key, normalize_key, squeeze, tokens
 
 # --- fixed values -----------------------------------------------------------------
@@ -234,33 +234,54 @@ def simplified_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"^\d{4}\s+", ""), r"^NV\s+", "")
 
 
-def validation_parts(name: Column) -> dict[str, Column]:
-    """Raw producer and label of a listing plus its classification flags."""
+def validation_struct(name: Column) -> Column:
+    """Raw producer and label of a listing plus its classification flags, with the parts bound once."""
     parts = F.transform(F.split(name, " - "), strip)
-    colour_at = _first_index(parts, lambda p: F.lower(p).isin(*LISTING_COLOURS))
-    second = F.try_element_at(parts, F.lit(2))
-    long_form = colour_at >= 3
-    producer = F.when(long_form, F.array_join(F.slice(parts, F.lit(1), F.greatest(colour_at - 2, F.lit(0)).cast("int")), " ")).otherwise(
-        F.try_element_at(parts, F.lit(1))
-    )
-    label = F.when(long_form, F.try_element_at(parts, (colour_at - 1).cast("int"))).when(
-        (F.size(parts) >= 2) & ~F.lower(second).isin(*LISTING_COLOURS), second
-    )
-    lower = F.lower(name)
-    return {
-        "producer_raw": producer,
-        "label_raw": label,
-        "n_parts": F.size(parts),
-        "producer": strip(F.lower(F.regexp_replace(producer, r"^(NV|\d{4})\s+", ""))),
-        "label": strip(F.lower(label)),
-        "has_premier_cru": F.contains(lower, F.lit("premier cru")) | F.contains(lower, F.lit("1er cru")),
-        "has_grand_cru": F.contains(lower, F.lit("grand cru")),
-    }
+    split = lambda p: F.struct(p.alias("parts"), _first_index(p, lambda x: F.lower(x).isin(*LISTING_COLOURS)).alias("at"))
+
+    def raw(s: Column) -> Column:
+        parts, colour_at = s["parts"], s["at"]
+        second = F.try_element_at(parts, F.lit(2))
+        long_form = colour_at >= 3
+        producer = F.when(long_form, F.array_join(F.slice(parts, F.lit(1), F.greatest(colour_at - 2, F.lit(0)).cast("int")), " ")).otherwise(
+            F.try_element_at(parts, F.lit(1))
+        )
+        label = F.when(long_form, F.try_element_at(parts, (colour_at - 1).cast("int"))).when(
+            (F.size(parts) >= 2) & ~F.lower(second).isin(*LISTING_COLOURS), second
+        )
+        return F.struct(producer.alias("producer"), label.alias("label"), F.size(parts).alias("n_parts"), F.lower(name).alias("lower"))
+
+    def named(r: Column) -> Column:
+        lower = r["lower"]
+        fields = {
+            "producer_raw": r["producer"],
+            "label_raw": r["label"],
+            "n_parts": r["n_parts"],
+            "producer": strip(F.lower(F.regexp_replace(r["producer"], r"^(NV|\d{4})\s+", ""))),
+            "label": strip(F.lower(r["label"])),
+            "has_premier_cru": F.contains(lower, F.lit("premier cru")) | F.contains(lower, F.lit("1er cru")),
+            "has_grand_cru": F.contains(lower, F.lit("grand cru")),
+        }
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    return let(let(let(parts, split), raw), named)
+
+
+VALIDATION_FIELDS = ("producer_raw", "label_raw", "n_parts", "producer", "label", "has_premier_cru", "has_grand_cru")
+
+
+def validation_parts(name: Column) -> dict[str, Column]:
+    """The fields of ``validation_struct`` by name."""
+    info = validation_struct(name)
+    return {k: info[k] for k in VALIDATION_FIELDS}
 
 
 def retry_query(name: Column, site: str) -> Column:
     """Tighter search text with excluded classifications; NULL for a one-part name."""
-    info = validation_parts(name)
+    return let(validation_struct(name), lambda info: _retry_query(info, site))
+
+
+def _retry_query(info: Column, site: str) -> Column:
     vintage_text = first_group(info["producer_raw"], r"^(NV|\d{4})\s+.+")
     producer = strip(F.regexp_replace(info["producer_raw"], r"^(NV|\d{4})\s+(?=.)", ""))
     core = F.concat_ws(

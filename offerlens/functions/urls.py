@@ -97,7 +97,7 @@ def slug_text(c: Column) -> Column:
 
 def find_text(c: Column) -> Column:
     """Search words of a ``/find/…`` address, percent-decoded and lower-case."""
-    path = F.lower(F.coalesce(F.try_url_decode(url_path(c)), url_path(c)))
+    path = F.lower(let(url_path(c), lambda p: F.coalesce(F.try_url_decode(p), p)))
     words = F.regexp_extract(path, r"/find/(.+?)(?:/\d{4})?$", 1)
     return F.translate(words, "+-", "  ")
 

@@ -52,7 +52,7 @@ def _with_tokens(df: DataFrame, key: str, prefix: str) -> DataFrame:
     """Token set, its size, the characters of its longest tokens, and the lengths of text and set."""
     own = F.col(f"{prefix}set")
     df = df.withColumn(f"{prefix}set", tokens(F.col(key)))
-    longest = F.reverse(F.array_sort(F.transform(own, F.length)))
+    longest = F.reverse(F.sort_array(F.transform(own, F.length)))
     grown = F.aggregate(longest, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + 1, F.lit(0)) + n))
     return df.withColumns({f"{prefix}chars": grown, f"{prefix}len": F.length(key), f"{prefix}slen": F.length(F.array_join(own, " "))})
 
