@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerlens.functions.listing import YEAR_PREFIX, _first_index, listing_parts
-from offerlens.functions.numbers import strip
+from offerlens.functions.numbers import let, strip
 from offerlens.functions.text import contains_any, normalize_text
 
 
@@ -179,23 +179,38 @@ def detect_grapes(c: Column) -> Column:
     return apply_rules(c, GRAPE_RULES, ("grapes", "source", "confidence"))
 
 
+def split_struct(name: Column) -> Column:
+    """Producer, label, colour, volume label and packaging of a listing name; parts and body are bound once."""
+    split = lambda p: F.struct(p.alias("parts"), _first_index(p, lambda x: normalize_text(x).isin(*METADATA_COLOURS)).alias("at"))
+
+    def with_body(s: Column) -> Column:
+        parts, colour_at = s["parts"], s["at"]
+        body = F.when(colour_at > 0, F.slice(parts, F.lit(1), F.greatest(colour_at - 1, F.lit(0)).cast("int"))).otherwise(parts)
+        body = F.transform(body, lambda p, i: F.when(i == 0, strip(F.regexp_replace(p, YEAR_PREFIX, ""))).otherwise(p))
+        return F.struct(parts.alias("parts"), colour_at.alias("at"), body.alias("body"))
+
+    def named(s: Column) -> Column:
+        parts, colour_at, body = s["parts"], s["at"], s["body"]
+        n = F.size(body)
+        lead = F.filter(F.slice(body, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda p: p != "")
+        producer = F.when(n >= 2, F.array_join(lead, " - ")).otherwise(F.try_element_at(body, F.lit(1)))
+        at = lambda shift: F.when(colour_at > 0, F.try_element_at(parts, (colour_at + shift).cast("int")))
+        fields = {
+            "producer": F.nullif(strip(producer), F.lit("")),
+            "label_name": F.when(n >= 2, F.nullif(strip(F.try_element_at(body, F.lit(-1))), F.lit(""))),
+            "color": at(0),
+            "volume_label": at(1),
+            "packaging": at(2),
+        }
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    return let(let(let(listing_parts(name), split), with_body), named)
+
+
 def split_listing(name: Column) -> dict[str, Column]:
-    """Producer, label, colour, volume label and packaging of a listing name."""
-    parts = listing_parts(name)
-    colour_at = _first_index(parts, lambda p: normalize_text(p).isin(*METADATA_COLOURS))
-    body = F.when(colour_at > 0, F.slice(parts, F.lit(1), F.greatest(colour_at - 1, F.lit(0)).cast("int"))).otherwise(parts)
-    body = F.transform(body, lambda p, i: F.when(i == 0, strip(F.regexp_replace(p, YEAR_PREFIX, ""))).otherwise(p))
-    n = F.size(body)
-    lead = F.filter(F.slice(body, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda p: p != "")
-    producer = F.when(n >= 2, F.array_join(lead, " - ")).otherwise(F.try_element_at(body, F.lit(1)))
-    at = lambda shift: F.when(colour_at > 0, F.try_element_at(parts, (colour_at + shift).cast("int")))
-    return {
-        "producer": F.nullif(strip(producer), F.lit("")),
-        "label_name": F.when(n >= 2, F.nullif(strip(F.try_element_at(body, F.lit(-1))), F.lit(""))),
-        "color": at(0),
-        "volume_label": at(1),
-        "packaging": at(2),
-    }
+    """The fields of ``split_struct`` by name."""
+    s = split_struct(name)
+    return {k: s[k] for k in ("producer", "label_name", "color", "volume_label", "packaging")}
 
 
 def volume_litres(volume: Column) -> Column:
@@ -209,8 +224,13 @@ def volume_litres(volume: Column) -> Column:
 
 def offering_type(quantity: Column, volume: Column, packaging: Column, name: Column) -> Column:
     blank = lambda c: F.nullif(c, F.lit(""))
-    norm = normalize_text(F.concat_ws(" ", blank(packaging), blank(volume), blank(name)))
-    litres = F.coalesce(volume_litres(volume), F.lit(-1.0))
+    seen = F.struct(
+        normalize_text(F.concat_ws(" ", blank(packaging), blank(volume), blank(name))).alias("norm"), F.coalesce(volume_litres(volume), F.lit(-1.0)).alias("litres")
+    )
+    return let(seen, lambda s: _offering_type(quantity, s["norm"], s["litres"]))
+
+
+def _offering_type(quantity: Column, norm: Column, litres: Column) -> Column:
     return (
         F.when(quantity >= 6, "Case")
         .when(quantity > 1, "Bundle")
@@ -247,8 +267,8 @@ def combine_confidence(a: Column, b: Column) -> Column:
 
 def derive_metadata(df, name: str = "offer_name", quantity: str = "quantity", volume: str = "volume"):
     """Append the seventeen derived attributes; narrow, one pass, no shuffle."""
-    parts = split_listing(F.col(name))
-    df = df.withColumns({f"_{k}": v for k, v in parts.items()})
+    parts = ("producer", "label_name", "color", "volume_label", "packaging")
+    df = df.withColumn("_split", split_struct(F.col(name))).withColumns({f"_{k}": F.col(f"_split.{k}") for k in parts}).drop("_split")
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     df = df.withColumn("_text", normalize_text(F.concat_ws(" ", blank("_producer"), blank("_label_name"), blank("_color"), blank(name))))
     t = F.col("_text")

@@ -92,7 +92,7 @@ _SPLIT = """(SELECT *, CASE WHEN pos > 0 THEN parts[:pos - 1] ELSE parts END AS
  CASE WHEN pos > 0 THEN parts[pos] END AS color, CASE WHEN pos > 0 THEN parts[pos + 1] END AS volume_label, CASE WHEN pos > 0 THEN parts[pos + 2] END AS packaging FROM {_SPLIT}""",
 )
 def x15(i):
-    return i.listings.select("ord", *[v.alias(k) for k, v in M.split_listing(c("name")).items()])
+    return i.listings.select("ord", M.split_struct(c("name")).alias("s")).select("ord", "s.*")
 
 
 _TEXT = Q.ntext("offer_name")
