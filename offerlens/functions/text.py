@@ -96,7 +96,7 @@ def extract_year(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Distinct sorted words; blank text gives an empty array."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(squeeze(F.coalesce(c, F.lit(""))), " "), lambda t: t != "")))
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(squeeze(F.coalesce(c, F.lit(""))), " "), "")))
 
 
 def words(c: Column) -> Column:

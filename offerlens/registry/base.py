@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from offerlens.session import widen
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -33,16 +36,29 @@ def expand(sql: str, table: Callable[[str], str]) -> str:
 
 
 class Inputs:
-    """Tables and stand-ins of one data folder."""
+    """Tables and stand-ins of one data folder.
+
+    A table of few files comes in few partitions, whatever its rows cost to work on, so such a table is
+    spread over all cores first.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return widen(self.spark.read.parquet(self._path(name)))
+
+    def _path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
+    def _source(self, name: str) -> str:
+        cores = self.spark.sparkContext.defaultParallelism
+        if self.spark.read.parquet(self._path(name)).rdd.getNumPartitions() >= cores:
+            return f"parquet.`{self._path(name)}`"
+        return f"(SELECT /*+ REPARTITION({cores}) */ * FROM parquet.`{self._path(name)}`)"
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(expand(text, lambda n: f"parquet.`{self.folder}/{n}.parquet`"))
+        return self.spark.sql(expand(text, lru_cache(maxsize=None)(self._source)))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
