@@ -96,7 +96,7 @@ def match_listings(
     a = _shapes(anchors, block, quantity, name, label)
     r = _shapes(rivals, block, quantity, name, label)
     # Distinct shapes are read by several joins, so they are written once, with their tokens in order.
-    a_sets = a.select("sig", "blk", "qty", "nset", "lset").distinct()
+    a_sets = materialize(a.select("sig", "blk", "qty", "nset", "lset").distinct(), "anchor-sets")
     r_sets = materialize(r.groupBy("blk", "qty", "nset", "lset").agg(F.min(order).alias("r_ord")), "rival-shapes")
     freq = frequencies((a_sets, "nset"), (r_sets, "nset"))
     a_sets = widen(materialize(with_ordered(a_sets, "sig", "nset", freq), "anchor-shapes"))
