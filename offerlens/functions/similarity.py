@@ -38,33 +38,76 @@ def listing_similarity(name_a: Column, name_b: Column, label_a: Column, label_b:
 
 #: Results of distinct pairs that one task keeps.
 MEMO_SIZE = 200_000
+#: From this length of the second text on, ``SequenceMatcher`` passes over its frequent characters.
+FREQUENT_FROM = 200
 
 
-@F.pandas_udf(T.DoubleType())
-def seq_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Longest-matching-block ratio; a task compares a distinct pair once, as far as it remembers it."""
-    memo: dict[tuple[str, str], float] = {}
-    # What the matcher learns of its second text is kept while that text stays the same.
-    matcher = SequenceMatcher(None)
-
-    def ratio(left, right):
-        if left is None or right is None:
-            return None
-        if left == right:
-            return 1.0
-        key = (left, right)
-        found = memo.get(key)
+def ratio_function():
+    """``SequenceMatcher(None, a, b).ratio()`` as a function that remembers; null if a side is.
+
+    Everything stands inside, so a task gets it whole and with an empty memory.
+    """
+    memo: dict[tuple[str, str], int] = {}
+
+    def longest_match(a: str, b: str) -> tuple[int, int, int]:
+        """Start in ``a``, start in ``b`` and length of the longest common run; the earliest in ``a``, then in ``b``.
+
+        All pairs of places stand in one number, a row of bytes for each place of ``a`` with a bit for each place
+        of ``b``.  Shifting it by a row and a bit follows all runs at once; doubled steps find the longest.
+        """
+        width = len(b) // 8 + 1
+        rows = {c: sum(1 << j for j, d in enumerate(b) if d == c).to_bytes(width, "little") for c in set(a)}
+        step = 8 * width + 1
+        runs = [int.from_bytes(b"".join([rows[c] for c in a]), "little")]
+        if not runs[0]:
+            return 0, 0, 0
+        while longer := runs[-1] & (runs[-1] >> (step << (len(runs) - 1))):
+            runs.append(longer)
+        best, size = runs[-1], 1 << (len(runs) - 1)
+        for k in range(len(runs) - 2, -1, -1):
+            if longer := best & (runs[k] >> (step * size)):
+                best, size = longer, size + (1 << k)
+        i, j = divmod((best & -best).bit_length() - 1, 8 * width)
+        return i, j, size
+
+    def matched(a: str, b: str) -> int:
+        """Characters in matching blocks.
+
+        What stands before and after the longest one are texts of their own, and names made of the same words
+        have many of them in common, so these are remembered too.
+        """
+        if not a or not b:
+            return 0
+        if a == b:
+            return len(a)
+        found = memo.get((a, b))
         if found is None:
+            i, j, size = longest_match(a, b)
+            found = size and size + matched(a[:i], b[:j]) + matched(a[i + size :], b[j + size :])
             if len(memo) >= MEMO_SIZE:
                 memo.clear()
-            if matcher.b != right:
-                matcher.set_seq2(right)
-            matcher.set_seq1(left)
-            found = memo[key] = matcher.ratio()
+            memo[(a, b)] = found
         return found
 
-    for a, b in batches:
-        yield pd.Series([ratio(left, right) for left, right in zip(a, b)], dtype="float64")
+    def ratio(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        if a == b:
+            return 1.0
+        if max(len(a), len(b)) >= FREQUENT_FROM:
+            return SequenceMatcher(None, a, b).ratio()
+        return 2.0 * matched(a, b) / (len(a) + len(b))
+
+    return ratio
+
+
+_ratio = ratio_function()
+
+
+@F.pandas_udf(T.DoubleType())
+def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest-matching-block ratio; several of one row are found in one pass through Python."""
+    return pd.Series([_ratio(left, right) for left, right in zip(a, b)], dtype="float64")
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
@@ -75,12 +118,13 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when(common == "", 0.0).otherwise(F.greatest(seq_ratio(common, left), seq_ratio(common, right)))
 
 
-def similarity_columns(df, a: str, b: str, prefix: str = "", ordered: bool = True):
+def similarity_columns(df, a: str, b: str, prefix: str = "", ordered: bool = True, sets: tuple[str, str] | None = None):
     """Add overlap, token, sequence, set and combined similarity of two key columns.
 
-    ``ordered`` compares the keys as written; otherwise their sorted token sets.
+    ``ordered`` compares the keys as written; otherwise their sorted token sets.  ``sets`` names columns that
+    already hold the tokens of the keys.
     """
-    ta, tb = tokens(F.col(a)), tokens(F.col(b))
+    ta, tb = map(F.col, sets) if sets else (tokens(F.col(a)), tokens(F.col(b)))
     df = df.withColumns({"_ta": ta, "_tb": tb})
     ta, tb = F.col("_ta"), F.col("_tb")
     left = F.col(a) if ordered else F.array_join(ta, " ")

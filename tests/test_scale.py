@@ -1,6 +1,7 @@
 """Work that must not grow: partitions of small files, repeated expressions, contacts of the prefix join."""
 
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -8,9 +9,9 @@ import __spark_entry__  # noqa: F401  (loads the stand-ins)
 from offerlens.functions.listing import validation_struct
 from offerlens.functions.metadata import split_struct
 from offerlens.functions.pages import html_to_text
-from offerlens.functions.similarity import page_match_confident
+from offerlens.functions.similarity import page_match_confident, ratio_function
 from offerlens.operators.prefixjoin import frequencies, similar_pairs, sized_combinations, with_ordered
-from offerlens.operators.resolve import address_issues
+from offerlens.operators.resolve import address_issues, candidate_words, score_candidates, suggest_scores, suggestion_keys
 from offerlens.registry.base import Inputs
 
 
@@ -69,3 +70,31 @@ def test_cut_entities_stay(spark):
     rows = [("a&amp;b&eacute;&#65;<p>cut&amp",), ("x&am",), ("&nosuch; &copyx; &amp;copy;",), (None,)]
     df = spark.createDataFrame(rows, "h string").select(html_to_text(F.col("h")))
     assert [r[0] for r in df.collect()] == ["a&bé" + "A\ncut&amp", "x&am", "&nosuch; &copyx; &copy;", None]
+
+
+def test_ratio_equals_the_matcher():
+    rng, ratio = random.Random(7), ratio_function()
+    words = "large hot blue cold ring bolt plate domaine cantina pinot noir brut réserve 1995 750 ml the".split()
+    for k in range(3000):
+        if k % 2:
+            a, b = ("".join(rng.choices("abc ", k=rng.randint(0, 25))) for _ in "ab")
+        else:
+            a, b = (" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in "ab")
+        b = b * 9 if k % 100 == 0 else b
+        assert ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+    assert ratio(None, "a") is None and ratio("a", None) is None
+
+
+def test_pairs_repeat_no_work_of_their_sides(spark):
+    """Scores of pairs read what was made per name and per page; they fold no text again."""
+    df = spark.createDataFrame(
+        [("1995 a b", "1995 A b", "https://x.example/w/1?year=1995", "q", ["a", "b"], ["a"], 1995, "")],
+        "offer_name string, title string, url string, query string, target_tokens array<string>, producer_tokens array<string>, year int, color string",
+    )
+    count = lambda d: d._jdf.queryExecution().analyzed().toString().count("translate(")
+    pages = candidate_words(df)
+    assert count(score_candidates(pages)) == count(pages)
+    assert score_candidates(pages).collect() == score_candidates(df).collect()
+    both = suggestion_keys(suggestion_keys(df, "a", "offer_name"), "b", "title")
+    assert count(suggest_scores(both, target="offer_name")) == count(both)
+    assert suggest_scores(both, target="offer_name").collect() == suggest_scores(df, target="offer_name").collect()
