@@ -44,11 +44,10 @@ def extract_quantity(c: Column) -> Column:
     return F.coalesce(*[first_group(lower, p).try_cast("int") for p in QUANTITY_PATTERNS])
 
 
-def pack_quantity(url: Column, name: Column) -> Column:
+def pack_quantity(url: Column, name: Column, in_name: Column | None = None) -> Column:
     """Quantity of the address unless it says nothing or one, then of the name, else 1."""
-    return F.coalesce(
-        when_value(extract_quantity(url), lambda q: q > 1), when_value(extract_quantity(name), lambda q: q != 0), F.lit(1)
-    )
+    in_name = extract_quantity(name) if in_name is None else in_name
+    return F.coalesce(when_value(extract_quantity(url), lambda q: q > 1), when_value(in_name, lambda q: q != 0), F.lit(1))
 
 
 def url_tail(url: Column) -> Column:
@@ -60,24 +59,34 @@ def url_tail(url: Column) -> Column:
     )
 
 
-def pack_volume(url: Column, name: Column, tail: Column | None = None) -> Column:
+def named_volume(name: Column) -> Column:
+    """Size text of a name, NULL if it says none."""
+    lower = F.lower(F.coalesce(name, F.lit("")))
+    return F.coalesce(
+        F.concat(first_group(lower, r"(\d+(?:\.\d+)?)\s*l\b"), F.lit("l")),
+        F.concat(first_group(lower, r"(\d+)\s*ml\b"), F.lit("ml")),
+    )
+
+
+def pack_volume(url: Column, name: Column, tail: Column | None = None, in_name: Column | None = None) -> Column:
     """Size text from the address tail, then from the name; 750ml if neither says."""
     tail = url_tail(url) if tail is None else tail
-    lower = F.lower(F.coalesce(name, F.lit("")))
     litres = first_group(tail, r"(\d+-\d+)-l")
     return F.coalesce(
         F.concat(F.replace(litres, F.lit("-"), F.lit(".")), F.lit("l")),
         F.concat(first_group(tail, r"(\d+)[-_]?ml"), F.lit("ml")),
-        F.concat(first_group(lower, r"(\d+(?:\.\d+)?)\s*l\b"), F.lit("l")),
-        F.concat(first_group(lower, r"(\d+)\s*ml\b"), F.lit("ml")),
+        named_volume(name) if in_name is None else in_name,
         F.when(F.contains(tail, F.lit("magnum")), F.lit("1.5l")),
         F.lit("750ml"),
     )
 
 
-def vintage(url: Column, name: Column) -> Column:
-    pattern = r"\b(19\d{2}|20[0-3]\d)\b"
-    return F.coalesce(first_group(F.lower(url), pattern), first_group(name, pattern)).cast("int")
+def _vintage_text(c: Column) -> Column:
+    return first_group(c, r"\b(19\d{2}|20[0-3]\d)\b")
+
+
+def vintage(url: Column, name: Column, in_name: Column | None = None) -> Column:
+    return F.coalesce(_vintage_text(F.lower(url)), _vintage_text(name) if in_name is None else in_name).cast("int")
 
 
 def package_type(c: Column) -> Column:
@@ -135,25 +144,40 @@ def label_name(c: Column) -> Column:
 
 
 def prepare_listings(df, name="name", price="price", url="url", stock="in_stock", only_in_stock=True):
-    """Typed listing columns for one catalogue; other columns pass through."""
+    """Typed listing columns for one catalogue; other columns pass through.
+
+    What follows from the name alone is made once per distinct name and joined back.
+    """
     if only_in_stock and stock in df.columns:
         df = df.filter(in_stock(F.col(stock)))
     n, u = text(F.col(name)), text(F.col(url))
     out = df.withColumns({name: n, url: u, price: text(F.col(price).cast("string"))})
     n, u = F.col(name), F.col(url)
     # Shared pieces first: each is computed once and later columns only refer to it.
-    out = out.withColumns({"_tail": url_tail(u), "_parts": listing_parts(n)}).withColumn("_at", label_position(F.col("_parts")))
-    out = out.withColumn("_label", label_text(n, _body(F.col("_parts"), F.col("_at"))))
-    return out.withColumns(
-        {
-            "quantity": pack_quantity(u, n),
-            "volume": pack_volume(u, n, F.col("_tail")),
-            "year": vintage(u, n),
-            "package_type": package_type(F.concat_ws(" ", n, u)),
-            "name_clean": normalize_name(n),
-            "label_clean": normalize_name(F.col("_label")),
-        }
-    ).drop("_tail", "_parts", "_at", "_label")
+    names = out.select(name).distinct().withColumn("_parts", listing_parts(n)).withColumn("_at", label_position(F.col("_parts")))
+    names = names.withColumn("_label", label_text(n, _body(F.col("_parts"), F.col("_at")))).select(
+        name,
+        extract_quantity(n).alias("_quantity"),
+        named_volume(n).alias("_volume"),
+        _vintage_text(n).alias("_year"),
+        normalize_name(n).alias("_name_clean"),
+        normalize_name(F.col("_label")).alias("_label_clean"),
+    )
+    return (
+        out.withColumn("_tail", url_tail(u))
+        .join(names, name, "left")
+        .withColumns(
+            {
+                "quantity": pack_quantity(u, n, F.col("_quantity")),
+                "volume": pack_volume(u, n, F.col("_tail"), F.col("_volume")),
+                "year": vintage(u, n, F.col("_year")),
+                "package_type": package_type(F.concat_ws(" ", n, u)),
+                "name_clean": F.col("_name_clean"),
+                "label_clean": F.col("_label_clean"),
+            }
+        )
+        .drop("_tail", "_quantity", "_volume", "_year", "_name_clean", "_label_clean")
+    )
 
 
 # ---- work-item identities and search text ------------------------------------------

@@ -93,11 +93,13 @@ def match_listings(
     ``payload`` rival columns come back with an ``m_`` prefix.  ``match_score`` of an
     unmatched row is the best score seen.  Copies of a listing are scored once.
     """
-    a = _shapes(anchors, block, quantity, name, label)
-    r = _shapes(rivals, block, quantity, name, label)
+    # Rows come down to distinct texts before these are cut into tokens.
+    raw = list(dict.fromkeys([*block, quantity, name, label]))
+    looks = materialize(_shapes(anchors.select(*raw).distinct(), block, quantity, name, label), "anchor-looks")
+    r = _shapes(rivals.groupBy(*raw).agg(F.min(order).alias("_first")), block, quantity, name, label)
     # Distinct shapes are read by several joins, so they are written once, with their tokens in order.
-    a_sets = materialize(a.select("sig", "blk", "qty", "nset", "lset").distinct(), "anchor-sets")
-    r_sets = materialize(r.groupBy("blk", "qty", "nset", "lset").agg(F.min(order).alias("r_ord")), "rival-shapes")
+    a_sets = materialize(looks.select("sig", "blk", "qty", "nset", "lset").dropDuplicates(["sig"]), "anchor-sets")
+    r_sets = materialize(r.groupBy("blk", "qty", "nset", "lset").agg(F.min("_first").alias("r_ord")), "rival-shapes")
     freq = frequencies((a_sets, "nset"), (r_sets, "nset"))
     a_sets = widen(materialize(with_ordered(a_sets, "sig", "nset", freq), "anchor-shapes"))
     r_sets = materialize(with_ordered(r_sets, "r_ord", "nset", freq), "rival-tokens")
@@ -110,11 +112,14 @@ def match_listings(
         .otherwise(F.greatest(F.col("same.score"), F.col("cross.score"))).alias("match_score"),
         F.when(same_ok, -F.col("same.neg")).when(cross_ok, -F.col("cross.neg")).alias("r_ord"),
     )
-    details = r.select(F.col(order).alias("r_ord"), *[F.col(c).alias(f"m_{c}") for c in payload])
-    chosen = chosen.join(details, "r_ord", "left").drop("r_ord")
+    details = rivals.select(F.col(order).alias("r_ord"), *[F.col(c).alias(f"m_{c}") for c in payload])
+    keys = [f"_raw{k}" for k in range(len(raw))]
+    chosen = looks.select("sig", *[F.col(c).alias(k) for c, k in zip(raw, keys)]).join(chosen, "sig").join(details, "r_ord", "left").drop("r_ord", "sig")
+    chosen = materialize(chosen, "choices")
+    same_look = reduce(Column.__and__, [anchors[c].eqNullSafe(chosen[k]) for c, k in zip(raw, keys)])
     return (
-        a.join(chosen, "sig", "left")
-        .drop("sig", "blk", "qty", "nset", "lset")
+        anchors.join(chosen, same_look, "left")
+        .drop(*keys)
         .withColumns(
             {
                 "match_method": F.coalesce("match_method", F.lit("no_match")),

@@ -6,10 +6,11 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (loads the stand-ins)
-from offerlens.functions.listing import validation_struct
+from offerlens.functions.listing import prepare_listings, validation_struct
 from offerlens.functions.metadata import split_struct
 from offerlens.functions.pages import html_to_text
 from offerlens.functions.similarity import page_match_confident, ratio_function
+from offerlens.operators.cascade import canonical_index, exact_index, url_index
 from offerlens.operators.prefixjoin import frequencies, similar_pairs, sized_combinations, with_ordered
 from offerlens.operators.resolve import address_issues, candidate_words, score_candidates, suggest_scores, suggestion_keys
 from offerlens.registry.base import Inputs
@@ -98,3 +99,29 @@ def test_pairs_repeat_no_work_of_their_sides(spark):
     both = suggestion_keys(suggestion_keys(df, "a", "offer_name"), "b", "title")
     assert count(suggest_scores(both, target="offer_name")) == count(both)
     assert suggest_scores(both, target="offer_name").collect() == suggest_scores(df, target="offer_name").collect()
+
+
+def _below_an_aggregation(df, word):
+    """Is an aggregation the source of the last expression of the plan that holds ``word``?"""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = lambda w: max(k for k, line in enumerate(lines) if w in line)
+    return last(word) < last("Aggregate [")
+
+
+def test_keys_are_made_once_per_distinct_name(spark, data):
+    i = Inputs(spark, data)
+    ratings = i.ratings
+    for df in canonical_index(ratings):
+        assert _below_an_aggregation(df, "translate(")
+    names = ratings.select(F.explode(F.array("wine_name", "match_name")).alias("t")).filter("t is not null")
+    for df, texts in ((exact_index(ratings), names), (url_index(ratings), ratings.selectExpr("url AS t").filter("t is not null"))):
+        read = spark.read.parquet(df.inputFiles()[0].rsplit("/", 1)[0])
+        assert texts.select("t").distinct().count() <= read.count() < texts.count()
+    assert _below_an_aggregation(prepare_listings(i.anchors), "standard bottle")
+
+
+def test_a_late_row_of_a_repeated_name_wins(spark):
+    """Rows come down to one per text and quality first: the best quality wins, then the last row."""
+    rows = [(1, "A b", None, "4", "", "", "", ""), (2, "a B", None, "", "7", "", "u", "9"), (3, "A b", None, "4", "", "", "", ""), (4, "A b", "a-b", "", "", "", "", "")]
+    df = spark.createDataFrame(rows, "ord long, wine_name string, match_name string, rating string, num_ratings string, alt_num_ratings string, url string, price string")
+    assert [tuple(r) for r in exact_index(df).collect()] == [("a b", 3)]
