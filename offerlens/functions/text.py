@@ -61,17 +61,22 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def _words_only(folded: Column) -> Column:
+    """Lower-case letters and digits with one blank for everything between; folded text is ASCII."""
+    return F.trim(F.regexp_replace(folded, r"[^a-z0-9]+", " "))
+
+
 def normalize_key(c: Column) -> Column:
     """Accent-free lower-case words and digits; apostrophes vanish, ``&`` reads "and"."""
     folded = F.lower(fold_ascii(F.coalesce(c, F.lit(""))))
     spelled = F.replace(F.replace(folded, F.lit("&"), F.lit(" and ")), F.lit("'"), F.lit(""))
-    return squeeze(F.regexp_replace(spelled, r"[^a-z0-9\s]", " "))
+    return _words_only(spelled)
 
 
 def normalize_text(c: Column) -> Column:
     """``normalize_key`` without the apostrophe rule ("d'Asti" gives "d asti")."""
     folded = F.lower(fold_ascii(F.coalesce(c, F.lit(""))))
-    return squeeze(F.regexp_replace(F.replace(folded, F.lit("&"), F.lit(" and ")), r"[^a-z0-9\s]", " "))
+    return _words_only(F.replace(folded, F.lit("&"), F.lit(" and ")))
 
 
 def drop_key_tokens(key: Column) -> Column:
