@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,23 @@ def row_quality(order: str = "ord") -> Column:
     )
 
 
-def best_row_per_key(rows: DataFrame, key: Column, order: str = "ord") -> DataFrame:
-    """(key, ord) of the best row per non-blank key; aggregates before it shuffles."""
+def best_row_per_key(rows: DataFrame, text: str, key: Callable[[Column], Column], order: str = "ord") -> DataFrame:
+    """(key, ord) of the best row per non-blank ``key`` of the column ``text``.
+
+    Keys are costly and rows repeat their texts, so rows come down to the last of each text and quality
+    first, by a hash aggregation that combines before it shuffles.
+    """
+    marks = ["q1", "q2", "q3", "q4"]
+    last = (
+        rows.filter(F.col(text).isNotNull())
+        .select(F.col(text).alias("_text"), row_quality(order).alias("_q"))
+        .groupBy("_text", *[F.col(f"_q.{m}").alias(m) for m in marks])
+        .agg(F.max("_q.q5").alias("_o"))
+    )
+    # Written, as the filter on the key would be taken below the aggregation and make it for every row again.
+    last = materialize(last, "texts")
     return (
-        rows.select(key.alias("key"), row_quality(order).alias("_q"), F.col(order).alias("_o"))
+        last.select(key(F.col("_text")).alias("key"), F.struct(*marks, "_o").alias("_q"), "_o")
         .filter(F.coalesce(F.col("key"), F.lit("")) != "")
         .groupBy("key")
         .agg(F.max_by("_o", "_q").alias("ord"))
@@ -41,16 +56,18 @@ def best_row_per_key(rows: DataFrame, key: Column, order: str = "ord") -> DataFr
 def exact_index(rows: DataFrame) -> DataFrame:
     """Best row per normalised name, keyed by both name columns."""
     both = rows.withColumn("_name", F.explode(F.array("wine_name", "match_name")))
-    return best_row_per_key(both, normalize_key(F.col("_name")))
+    return best_row_per_key(both, "_name", normalize_key)
 
 
 def url_index(rows: DataFrame) -> DataFrame:
-    return best_row_per_key(rows, normalize_item_url(F.col("url")))
+    return best_row_per_key(rows, "url", normalize_item_url)
 
 
 def canonical_index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Earliest row per canonical key, and per (canonical key, year)."""
-    keyed = rows.select(
+    # Rows with the same names share their keys and years.
+    names = rows.groupBy("wine_name", "match_name").agg(F.min("ord").alias("ord"))
+    keyed = names.select(
         "ord",
         extract_year(candidate_name()).alias("cyear"),
         F.explode(F.array("wine_name", "match_name")).alias("_name"),

@@ -174,23 +174,25 @@ def best_two(pairs: DataFrame) -> DataFrame:
 def _blocks(targets: DataFrame, rows: DataFrame, dedupe_candidates: bool) -> tuple[DataFrame, DataFrame]:
     """Targets with the block they look into, and distinct entries of all blocks."""
     # A row whose two names carry a year enters the block once per name.
-    named = rows.select(
+    # Rows with the same names share their keys and years, so these are made once.
+    named = rows.groupBy("wine_name", "match_name").agg(F.min("ord").alias("ord"), F.count("*").alias("rows")).select(
         "ord",
+        "rows",
         canonical_key(candidate_name()).alias("ekey"),
         F.array_compact(F.array(extract_year(F.col("wine_name")), extract_year(F.col("match_name")))).alias("years"),
     )
     if dedupe_candidates:
         named = named.withColumn("years", F.array_distinct("years"))
-    # Keys are computed once; the steps below read this narrow table several times.
+    # The steps below read this narrow table several times.
     named = materialize(named, "rating-keys")
-    by_year = named.select(F.explode("years").alias("blk"), "ord", "ekey").withColumn("blk", F.col("blk").cast("string"))
+    by_year = named.select(F.explode("years").alias("blk"), "ord", "rows", "ekey").withColumn("blk", F.col("blk").cast("string"))
     # At most 200 distinct years exist, so this side is always small.
     years = by_year.select("blk").distinct()
     entries = (
-        by_year.unionByName(named.select(F.lit("*").alias("blk"), "ord", "ekey"))
+        by_year.unionByName(named.select(F.lit("*").alias("blk"), "ord", "rows", "ekey"))
         .filter("ekey != ''")
         .groupBy("blk", "ekey")
-        .agg(F.min("ord").alias("first"), F.count("*").alias("copies"))
+        .agg(F.min("ord").alias("first"), F.sum("rows").alias("copies"))
     )
     blocked = (
         targets.filter("ckey != ''")
