@@ -261,17 +261,28 @@ def _spokes(entries: DataFrame) -> DataFrame:
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
-def _across(entries: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different groups that share a key and whose sizes and positions allow the similarity; repeats are left."""
+def _few_differ(a: str, b: str, na: str, nb: str, similarity: float) -> Column:
+    """Do the parities of two sets allow the similarity?  Sets that have it differ in few shingles."""
+    differ = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(PARITY)), F.lit(0))
+    return differ * (1 + similarity) <= (1 - similarity) * (F.col(na) + F.col(nb)) + EPS
+
+
+def _across(entries: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different groups that share a key and whose sizes, positions and parities allow the similarity; repeats are left.
+
+    Parities are part of the join, so that it makes no row for two texts that only share a key.
+    """
     sizes = entries.groupBy("key", "group").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
     mixed = entries.join(main, "key").select("key", "node", "size", "pos", "group", (F.col("group") == F.col("main")).alias("inner"))
+    # Both sides read it, and the prefixes it comes from can go.
+    mixed = materialize(mixed.join(nodes.select("node", "bits"), "node"), "mixed")
     one, two = mixed.filter("not inner").alias("one"), mixed.alias("two")
     once = F.col("two.inner") | (F.col("one.node") < F.col("two.node"))
     both = F.lit(1) + F.least(F.col("one.size") - F.col("one.pos"), F.col("two.size") - F.col("two.pos")) - 1
     enough = both * (1 + similarity) >= similarity * (F.col("one.size") + F.col("two.size")) - EPS
     met = one.join(two, F.col("one.key") == F.col("two.key")).filter(once & (F.col("one.group") != F.col("two.group")))
-    met = met.filter(close_sizes("one.size", "two.size", similarity) & enough)
+    met = met.filter(close_sizes("one.size", "two.size", similarity) & enough & _few_differ("one.bits", "two.bits", "one.size", "two.size", similarity))
     return met.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
 
 
@@ -279,8 +290,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFra
     """Pairs that sizes and parities leave: sets of this similarity differ in few shingles."""
     one = nodes.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
     two = nodes.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
-    differ = sum((F.bit_count(F.get("ba", i).bitwiseXOR(F.get("bb", i))) for i in range(PARITY)), F.lit(0))
-    few = differ * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + EPS
+    few = _few_differ("ba", "bb", "na", "nb", similarity)
     return pairs.join(one, "a").join(two, "b").filter(close_sizes("na", "nb", similarity) & few).select("a", "b")
 
 
@@ -318,8 +328,10 @@ def near_duplicates(
         needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
         needed = needed.select("node", F.col("rank.doc_id").alias("id"), F.col("rank.th").alias("h"))
         texts = own.join(needed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "text")
-        grams = texts.mapInPandas(partial(_shingle_sets, size=size), "node long, grams array<long>")
-        grams = materialize(grams.dropDuplicates(["node"]), "grams")
+        # Repeated rows go as texts, which are smaller than their shingles and compress.
+        grams = texts.dropDuplicates(["node"]).mapInPandas(partial(_shingle_sets, size=size), "node long, grams array<long>")
+        grams = materialize(grams, "grams")
+        release(spark)  # the shuffles of the texts go before those of the shingles come
         found = materialize(similar_pairs(pairs, grams, similarity), "similar")
         release(spark, pairs, grams)
         return found
@@ -329,8 +341,9 @@ def near_duplicates(
     near = links(_spokes(by_print).union(_spokes(by_gram)))
     release(spark, by_print)
     rest = by_gram.join(components(near), "node", "left").withColumn("group", group)
-    found = components(near.union(links(_across(rest, similarity))))
+    across = _across(rest, nodes, similarity)
     release(spark, by_gram)
+    found = components(near.union(links(across)))
 
     placed = nodes.join(found, "node", "left").withColumn("group", group)
     first = placed.groupBy("group").agg(F.min("rank").alias("first"))

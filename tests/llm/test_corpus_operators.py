@@ -351,3 +351,11 @@ def test_stages_on_edges(spark, data, edge, empty):
             out = stage(spark, table, data)
             assert name == "pieces" or out.columns == table.columns
             out.collect()
+
+
+def test_texts_that_only_share_a_key_make_no_pair(spark):
+    """Parities are looked at before a pair is made: of 20 texts with one shingle in common, only the like ones meet."""
+    bits = lambda k: [0] * simhash.PARITY if k < 2 else [(0x5DEECE66D * (k + 1) * (i + 3)) & (2**62 - 1) for i in range(simhash.PARITY)]
+    nodes = spark.createDataFrame([(k, bits(k)) for k in range(20)], "node long, bits array<long>")
+    entries = spark.createDataFrame([(7, k, 100, 0, (0, k)) for k in range(20)], "key long, node long, size int, pos int, group struct<kind int, name long>")
+    assert [tuple(r) for r in simhash._across(entries, nodes, 0.8).collect()] == [(0, 1)]
