@@ -21,11 +21,13 @@ of the input pass through ``redact`` and are not read by ``scan``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +48,8 @@ INNER_CAPITAL = re.compile(r"[a-z][A-Z]")
 REACH = 3
 #: Most tokens of a training sequence; decoding works on whole sequences.
 WINDOW = 64
+#: Features of training sequences that a step holds as floating-point numbers at once.
+CELLS = 1 << 17
 OUT, BEGIN, INSIDE = 0, 1, 2
 
 Span = tuple[str, int, int]
@@ -138,28 +142,41 @@ class Field:
         return path[::-1]
 
 
-def fit(samples: list[tuple[list[list[str]], list[int]]], rounds: int = 80, rate: float = 0.3, keep: float = 1e-3) -> Field:
-    """Maximum likelihood with forward and backward sums, by Adagrad; sequences are padded with others of about their length."""
+def fit(samples: Iterable[tuple[list[list[str]], list[int]]], rounds: int = 80, rate: float = 0.3, keep: float = 1e-3) -> Field:
+    """Maximum likelihood with forward and backward sums, by Adagrad; sequences are padded with others of about their length.
+
+    ``samples`` are read once and kept as numbers, equal ones together with their count; a step looks at
+    ``CELLS`` features at a time.  So what it holds is small beside the sample as text.
+    """
     index: dict[str, int] = {}
-    for features, _ in samples:
-        for fs in features:
-            for f in fs:
-                index.setdefault(f, len(index))
-    n, pad = len(samples), len(index)
-    wide = max([1, *(len(fs) for features, _ in samples for fs in features)])
+    counts: dict[tuple[bytes, bytes], int] = {}
+    wide = 1
+    for features, tags in samples:
+        wide = max([wide, *map(len, features)])
+        coded = array("i", [x for fs in features for x in (len(fs), *(index.setdefault(f, len(index)) for f in fs))]).tobytes()
+        counts[coded, bytes(tags)] = counts.get((coded, bytes(tags)), 0) + 1
+    n, pad = sum(counts.values()), len(index)
     by_length: dict[int, list] = {}
-    for sample in samples:
+    for sample in counts:
         by_length.setdefault(len(sample[1]).bit_length(), []).append(sample)
     batches = []
     for _, part in sorted(by_length.items()):
-        shape = len(part), max(1, max(len(t) for _, t in part))
-        at = np.full((*shape, wide), pad, dtype=np.int64)
-        gold, mask = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=bool)
-        for i, (features, tags) in enumerate(part):
-            for t, fs in enumerate(features):
-                at[i, t, : len(fs)] = [index[f] for f in fs]
-            gold[i, : len(tags)], mask[i, : len(tags)] = tags, True
-        batches.append((at, mask, np.eye(3)[gold] * mask[:, :, None]))
+        most = max(1, max(len(t) for _, t in part))
+        step = max(1, CELLS // (most * wide))
+        for lo in range(0, len(part), step):
+            some = part[lo : lo + step]
+            at = np.full((len(some), most, wide), pad, dtype=np.int32)
+            gold, mask = np.zeros((len(some), most), dtype=np.int8), np.zeros((len(some), most), dtype=bool)
+            for i, (coded, tags) in enumerate(some):
+                flat, place = array("i", coded), 0
+                for t in range(len(tags)):
+                    size = flat[place]
+                    at[i, t, :size] = flat[place + 1 : place + 1 + size]
+                    place += 1 + size
+                gold[i, : len(tags)], mask[i, : len(tags)] = list(tags), True
+            batches.append((at, mask, gold, np.array([counts[x] for x in some], dtype=np.float64)))
+    counts.clear()
+    by_length.clear()
     never = -1e4
     emit = np.zeros((pad + 1, 3))
     move, start = np.zeros((3, 3)), np.array([0.0, 0.0, never])
@@ -171,7 +188,8 @@ def fit(samples: list[tuple[list[list[str]], list[int]]], rounds: int = 80, rate
         top = x.max(axis=axis, keepdims=True)
         return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
-    def gradient(at, mask, one):
+    def gradient(at, mask, gold, times):
+        one = np.eye(3)[gold] * mask[:, :, None]
         score = emit[at].sum(axis=2)
         most = at.shape[1]
         fore, back = np.zeros(score.shape), np.zeros(score.shape)
@@ -185,8 +203,8 @@ def fit(samples: list[tuple[list[list[str]], list[int]]], rounds: int = 80, rate
             new = log_sum(move + (score[:, t] + back[:, t])[:, None, :], 2)
             back[:, t - 1] = np.where(mask[:, t, None], new, 0.0)
             pair = np.exp(fore[:, t - 1, :, None] + move + (score[:, t] + back[:, t])[:, None, :] - whole[:, None, None])
-            g_move += np.einsum("na,nb->ab", one[:, t - 1], one[:, t]) - (pair * mask[:, t, None, None]).sum(axis=0)
-        rest = one - np.exp(fore + back - whole[:, None, None]) * mask[:, :, None]
+            g_move += np.einsum("n,na,nb->ab", times, one[:, t - 1], one[:, t]) - (pair * (times[:, None] * mask[:, t, None])[:, :, None]).sum(axis=0)
+        rest = (one - np.exp(fore + back - whole[:, None, None]) * mask[:, :, None]) * times[:, None, None]
         flat = at.reshape(-1)
         spread = np.repeat(rest.reshape(-1, 3), wide, axis=0)
         g_emit = np.stack([np.bincount(flat, weights=spread[:, k], minlength=pad + 1) for k in range(3)], axis=1)
@@ -273,6 +291,18 @@ def _training(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFra
         yield pd.DataFrame(rows, columns=["features", "tags"])
 
 
+def _packed(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Training sequences as one text each, which is far smaller than its parts; tokens hold no white space, so neither separator."""
+    for rows in _training(batches, most):
+        told = ["\x1e".join(map("\x1f".join, features)) for features in rows["features"]]
+        yield pd.DataFrame({"features": told, "tags": list(map(bytes, rows["tags"]))})
+
+
+def _samples(rows: pa.Table) -> Iterator[tuple[list[list[str]], list[int]]]:
+    for features, tags in zip(rows["features"], rows["tags"]):
+        yield [fs.split("\x1f") for fs in features.as_py().split("\x1e")], list(tags.as_py())
+
+
 def train(docs: DataFrame, text_col: str = "text", sample: int = 600, per_text: int = 12) -> Field:
     """Fit the field on a sample bounded by ``sample`` distinct texts with base spans and as many without, ``per_text`` windows of sequences of each (and as many with recast secrets per recast): at most ``WINDOW`` tokens, those with secrets first, then by hash.
 
@@ -288,9 +318,8 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = 600, per_text:
         part = narrow.filter(F.col("likely") == kind).orderBy("h").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     texts = own.join(F.broadcast(chosen.select("h")), "h").dropDuplicates(["h"]).select("text")
-    rows = texts.mapInPandas(partial(_training, most=per_text), "features array<array<string>>, tags array<int>").collect()
-    rows.sort()
-    return fit([([list(f) for f in r["features"]], list(r["tags"])) for r in rows])
+    rows = texts.mapInPandas(partial(_packed, most=per_text), "features string, tags binary").toArrow()
+    return fit(_samples(rows.sort_by([("features", "ascending"), ("tags", "ascending")])))
 
 
 def without(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:

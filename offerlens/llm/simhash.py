@@ -11,7 +11,8 @@ single buckets; their fingerprints meet in whole elements one bit from both inst
 distinct fingerprints share, so no group can grow hot and no pair is lost.
 
 ``near_duplicates`` finds all groups of texts whose word shingles overlap by a given similarity, in two
-passes.  Both verify candidates by the exact similarity of their shingle sets.
+passes.  Both verify candidates by the exact similarity of their shingle sets, a slice of the hashes
+at a time, so that the sets of all pairs are never on the way together.
 
 * Fingerprints of distinct long words are cut into 32-bit segments; texts within two bits in any
   segment share a key.  Texts also share a key for each shingle of their prefixes (see
@@ -51,6 +52,8 @@ CHUNK = 1 << 15
 SALTS = 16
 #: Texts whose shingle arrays a Python worker holds at once.
 TEXTS_AT_ONCE = 500
+#: Parts of a shingle set, by hash; pairs are compared on one after another.
+SLICES = 4
 #: Longs in the bitmap of shingle parities.
 PARITY = 8
 
@@ -213,19 +216,40 @@ def _profile(
         yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "content": content, "fps": prints, "size": sizes, "bits": bits, "rare": rare})
 
 
+GRAMS = ", ".join(["node long", "size int", *(f"grams{i} array<long>" for i in range(SLICES))])
+
+
 def _shingle_sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Distinct shingles of each node, cut into slices by hash, and how many there are."""
     for batch in _portions(batches):
-        sets = [np.unique(hashes(shingles(t, size))).view(np.int64) for t in batch["text"]]
-        yield pd.DataFrame({"node": batch["node"], "grams": sets})
+        sizes, slices = [], [[] for _ in range(SLICES)]
+        for t in batch["text"]:
+            grams = np.unique(hashes(shingles(t, size)))
+            of = grams % np.uint64(SLICES)
+            sizes.append(len(grams))
+            for i, part in enumerate(slices):
+                part.append(grams[of == i].view(np.int64))
+        yield pd.DataFrame({"node": batch["node"], "size": sizes, **{f"grams{i}": part for i, part in enumerate(slices)}})
 
 
 def similar_pairs(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` whose sets have at least the given Jaccard similarity."""
-    one = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    two = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    near = both >= similarity * (F.size("ga") + F.size("gb") - both)
-    return pairs.join(one, "a").join(two, "b").filter(near).select("a", "b")
+    """Pairs ``a, b`` whose sets have at least the given Jaccard similarity.
+
+    A pair meets its sets slice by slice: only one slice is on the way at a time, and a pair goes as soon as what
+    is common so far and all that is left cannot reach the similarity.
+    """
+    met = pairs.select("a", "b")
+    for i in range(SLICES):
+        side = lambda k: grams.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col(f"grams{i}").alias(f"grams_{k}"))
+        left = [F.col(f"left_{k}" if i else f"size_{k}") - F.size(f"grams_{k}") for k in ("a", "b")]
+        both = F.size(F.array_intersect("grams_a", "grams_b")) + (F.col("both") if i else 0)
+        total = F.col("size_a") + F.col("size_b")
+        step = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", total.alias("total"), both.alias("both"), left[0].alias("left_a"), left[1].alias("left_b"))
+        most = F.col("both") + F.least("left_a", "left_b")
+        found = materialize(step.filter(most >= similarity * (F.col("total") - most)).drop("total"), "similar")
+        release(pairs.sparkSession, *([met] if i else []))  # the shuffles of a slice go before those of the next one come
+        met = found
+    return met.select("a", "b")
 
 
 def release(spark, *tables: DataFrame) -> None:
@@ -329,10 +353,10 @@ def near_duplicates(
         needed = needed.select("node", F.col("rank.doc_id").alias("id"), F.col("rank.th").alias("h"))
         texts = own.join(needed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("node", "text")
         # Repeated rows go as texts, which are smaller than their shingles and compress.
-        grams = texts.dropDuplicates(["node"]).mapInPandas(partial(_shingle_sets, size=size), "node long, grams array<long>")
+        grams = texts.dropDuplicates(["node"]).mapInPandas(partial(_shingle_sets, size=size), GRAMS)
         grams = materialize(grams, "grams")
         release(spark)  # the shuffles of the texts go before those of the shingles come
-        found = materialize(similar_pairs(pairs, grams, similarity), "similar")
+        found = similar_pairs(pairs, grams, similarity)
         release(spark, pairs, grams)
         return found
 

@@ -5,6 +5,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from cases import EDGE, SCHEMA, with_columns
@@ -359,3 +360,19 @@ def test_texts_that_only_share_a_key_make_no_pair(spark):
     nodes = spark.createDataFrame([(k, bits(k)) for k in range(20)], "node long, bits array<long>")
     entries = spark.createDataFrame([(7, k, 100, 0, (0, k)) for k in range(20)], "key long, node long, size int, pos int, group struct<kind int, name long>")
     assert [tuple(r) for r in simhash._across(entries, nodes, 0.8).collect()] == [(0, 1)]
+
+
+def test_shingle_sets_are_compared_slice_by_slice(spark):
+    """The same pairs as whole sets give, and no step carries more than a slice of a set."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(0, 120))] for _ in range(30)]
+    texts = [" ".join(ws[: len(ws) - cut] + [f"new{cut}"] * (cut > 0)) for ws in base for cut in (0, 1, 3, 9) if len(ws) >= cut]
+    sets = [set(simhash.hashes(simhash.shingles(t, 5)).tolist()) for t in texts]
+    frame = pd.concat(simhash._shingle_sets(iter([pd.DataFrame({"node": range(len(texts)), "text": texts})]), 5))
+    slices = [c for c in frame.columns if c.startswith("grams")]
+    assert len(slices) == simhash.SLICES and all(sum(len(row[c]) for c in slices) == row["size"] == len(sets[row["node"]]) for _, row in frame.iterrows())
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, min(i + 9, len(texts)))]
+    found = simhash.similar_pairs(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(frame, simhash.GRAMS), 0.8)
+    both = lambda i, j: len(sets[i] & sets[j])
+    want = [(i, j) for i, j in pairs if both(i, j) >= 0.8 * (len(sets[i]) + len(sets[j]) - both(i, j))]
+    assert sorted(map(tuple, found.collect())) == want and 0 < len(want) < len(pairs)

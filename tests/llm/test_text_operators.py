@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -234,3 +235,17 @@ def test_training_sequences_are_bounded():
     tags = [0] * 60 + [1] + [2] * 9 + [0] * 100 + [1] + [2] * 99
     ranges = list(secrets.windows(tags))
     assert ranges[0] == (0, 60) and [i for a, b in ranges for i in range(a, b)] == list(range(len(tags))) and max(b - a for a, b in ranges) <= 64
+
+
+def test_training_holds_little_at_once():
+    """The fit keeps its sample as numbers and looks at a part of it at a time; equal sequences count as often as they come."""
+    make = lambda i: ([[f"f{(i * 31 + t * 7 + k) % 4000}.{k}" for k in range(12)] for t in range(12)], [1 if t == i % 12 else 0 for t in range(12)])
+    tracemalloc.start()
+    field = secrets.fit((make(i) for i in range(4000)), rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    few = [make(i) for i in range(40)]
+    one, two = secrets.fit(few + few, rounds=20), secrets.fit([x for x in few for _ in range(2)], rounds=20)
+    assert one.index == two.index and np.allclose(one.emit, two.emit) and np.allclose(one.move, two.move)
+    assert len(field.index) == len({f for i in range(4000) for fs in make(i)[0] for f in fs})
