@@ -118,6 +118,19 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when(common == "", 0.0).otherwise(F.greatest(seq_ratio(common, left), seq_ratio(common, right)))
 
 
+def seq_bound(a: Column, b: Column) -> Column:
+    """No less than ``seq_ratio`` of two keys: the letters, digits and blanks that both hold, wherever they stand."""
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    shared = sum((F.least(count(a, x), count(b, x)) for x in "abcdefghijklmnopqrstuvwxyz0123456789 "), F.lit(0))
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, 1.0).otherwise(2.0 * shared / both)
+
+
+def token_set_bound(common: Column, width_a: Column, width_b: Column) -> Column:
+    """No less than ``token_set_ratio``, from the joined lengths of the common tokens and of both sets: all of them may match."""
+    return F.when(common == 0, 0.0).otherwise(2.0 * common / (common + F.least(width_a, width_b)))
+
+
 def similarity_columns(df, a: str, b: str, prefix: str = "", ordered: bool = True, sets: tuple[str, str] | None = None):
     """Add overlap, token, sequence, set and combined similarity of two key columns.
 

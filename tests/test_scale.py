@@ -12,7 +12,7 @@ from offerlens.functions.pages import html_to_text
 from offerlens.functions.similarity import page_match_confident, ratio_function
 from offerlens.operators.cascade import canonical_index, exact_index, url_index
 from offerlens.operators.prefixjoin import frequencies, similar_pairs, sized_combinations, with_ordered
-from offerlens.operators.resolve import address_issues, candidate_words, score_candidates, suggest_scores, suggestion_keys
+from offerlens.operators.resolve import address_issues, best_suggestion, best_suggestions, candidate_words, score_candidates, suggest_scores, suggestion_keys
 from offerlens.registry.base import Inputs
 
 
@@ -125,3 +125,26 @@ def test_a_late_row_of_a_repeated_name_wins(spark):
     rows = [(1, "A b", None, "4", "", "", "", ""), (2, "a B", None, "", "7", "", "u", "9"), (3, "A b", None, "4", "", "", "", ""), (4, "A b", "a-b", "", "", "", "", "")]
     df = spark.createDataFrame(rows, "ord long, wine_name string, match_name string, rating string, num_ratings string, alt_num_ratings string, url string, price string")
     assert [tuple(r) for r in exact_index(df).collect()] == [("a b", 3)]
+
+
+def test_suggestions_are_scored_only_where_they_can_win(spark, monkeypatch):
+    """Bounds choose the same best suggestions, ties included, as scoring every pair; few pairs are scored."""
+    from offerlens.operators import resolve
+
+    rng = random.Random(11)
+    words = ["rouge", "blanc", "maison", "clos", "vieilles", "vignes", "2001", "1999", "reserve", "cru", "noir", "saint"]
+    names = [" ".join(rng.sample(words, rng.randint(2, 6))) for _ in range(25)]
+    titles = [" ".join(rng.sample(words, rng.randint(1, 7))) for _ in range(80)] + names[:5] + names[:5] + ["", "é"]
+    rows = [(n, t, f"https://x.example/w/{r}" + ("?year=2001" if r % 3 else ""), r) for n in dict.fromkeys(names) for r, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "offer_name string, title string, url string, rank long")
+    want = best_suggestion(suggest_scores(df, target="offer_name"), item="offer_name").select("offer_name", "title", "rank", "score").collect()
+    scored, plain = [], resolve.suggest_scores
+
+    def counted(pairs, **names):
+        scored.append(pairs.count())
+        return plain(pairs, **names)
+
+    monkeypatch.setattr(resolve, "suggest_scores", counted)
+    keyed = suggestion_keys(suggestion_keys(df, "a", "offer_name"), "b", "title")
+    got = best_suggestions(keyed, item="offer_name").select("offer_name", "title", "rank", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want and sum(scored) < len(rows) / 4
