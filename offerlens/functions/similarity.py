@@ -36,6 +36,13 @@ def listing_similarity(name_a: Column, name_b: Column, label_a: Column, label_b:
     return F.when(both, F.least(full, jaccard(label_a, label_b))).otherwise(full)
 
 
+def counted_similarity(both_names: Column, both_labels: Column, name_a: Column, name_b: Column, label_a: Column, label_b: Column) -> Column:
+    """``listing_similarity`` from the tokens that both sides share and the sizes of their sets."""
+    share = lambda both, a, b: F.when(a + b == 0, 0.0).otherwise(both / (a + b - both))
+    full = share(both_names, name_a, name_b)
+    return F.when((label_a > 0) & (label_b > 0), F.least(full, share(both_labels, label_a, label_b))).otherwise(full)
+
+
 #: Results of distinct pairs that one task keeps.
 MEMO_SIZE = 200_000
 #: From this length of the second text on, ``SequenceMatcher`` passes over its frequent characters.

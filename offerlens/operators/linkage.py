@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.numbers import round4
-from offerlens.functions.similarity import listing_similarity
+from offerlens.functions.similarity import counted_similarity
 from offerlens.functions.text import tokens
-from offerlens.operators.prefixjoin import close_sizes, frequencies, prefix_rows, with_ordered
+from offerlens.operators.prefixjoin import close_sizes, prefix_rows
 from offerlens.session import materialize, widen
 
 
 #: Bounds of the similarity join, from high to low.
 ROUNDS = (0.8, 0.65, 0.5, 0.25)
+#: What a score and its tier depend on.
+SHAPE = ["blk", "qty", "toks", "size", "ltoks", "lsize"]
 
 
 def block_key(columns: list[str]) -> Column:
@@ -23,31 +25,56 @@ def block_key(columns: list[str]) -> Column:
     return F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]))
 
 
-def _shapes(df: DataFrame, block: list[str], quantity: str, name: str, label: str) -> DataFrame:
-    out = df.withColumns(
-        {"blk": block_key(block), "qty": F.col(quantity), "nset": tokens(F.col(name)), "lset": tokens(F.col(label))}
+def _looks(df: DataFrame, block: list[str], quantity: str, name: str, label: str) -> DataFrame:
+    """Block, pack and the token sets of name and label of distinct texts, numbered as ``look``."""
+    return df.withColumns(
+        {
+            "blk": block_key(block), "qty": F.col(quantity), "nset": tokens(F.col(name)), "lset": tokens(F.col(label)),
+            "look": F.monotonically_increasing_id(),
+        }
     )
-    return out.withColumn("sig", F.md5(F.to_json(F.struct("blk", "qty", "nset", "lset"))))
+
+
+def _words(looks: DataFrame) -> DataFrame:
+    """(look, blk, part, tok): tokens of names (part n) and of labels (part l)."""
+    named = lambda c, part: F.transform(c, lambda t: F.struct(F.lit(part).alias("part"), t.alias("tok")))
+    return looks.select("look", "blk", F.explode(F.concat(named("nset", "n"), named("lset", "l"))).alias("w")).select("look", "blk", "w.*")
+
+
+def common_words(a_looks: DataFrame, r_looks: DataFrame) -> DataFrame:
+    """(blk, part, tok, n): tokens of a block that both sides hold, with the contacts they would make."""
+    held = lambda looks, n: _words(looks).groupBy("blk", "part", "tok").agg(F.count("*").alias(n))
+    both = held(a_looks, "_a").join(held(r_looks, "_r"), ["blk", "part", "tok"])
+    return both.select("blk", "part", "tok", (F.col("_a") * F.col("_r")).alias("n"))
+
+
+def shapes(looks: DataFrame, common: DataFrame) -> DataFrame:
+    """(look, blk, qty, toks, size, ltoks, lsize): what the other side can see of a look.
+
+    A token that the other side of the block lacks can never be shared: it counts in the size of its set only.  Looks that
+    differ in such tokens alone score alike, so they are one shape.  Tokens stand by rising contacts; looks that share no
+    token of the name with the other side are left out, as they score zero.
+    """
+    ordered = lambda part: F.transform(F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("n", "tok")))), lambda x: x["tok"])
+    seen = _words(looks).join(common, ["blk", "part", "tok"]).groupBy("look").agg(ordered("n").alias("toks"), ordered("l").alias("ltoks"))
+    sizes = looks.select("look", "blk", "qty", F.size("nset").alias("size"), F.size("lset").alias("lsize"))
+    return sizes.join(seen.filter(F.size("toks") > 0), "look").select("look", *SHAPE)
 
 
 def candidate_scores(a_sets: DataFrame, r_sets: DataFrame, t: float) -> DataFrame:
     """Scores (sig, same, score, r_ord) of all pairs that reach ``t``, and of some that do not.
 
-    Both inputs hold distinct shapes (blk, qty, nset, lset) with their name tokens by frequency
-    (``toks``); ``r_ord`` is the earliest rival row of a shape.  A score is at most the similarity of
-    the names, so their prefixes find every pair.
+    Both inputs hold distinct ``shapes``; ``r_ord`` is the earliest rival row of a shape.  A score is at most the
+    similarity of the names, so their prefixes find every pair.
     """
-    a_side = prefix_rows(a_sets, t).select("sig", "blk", "tok", "size", "qty", "nset", "lset")
-    r_side = prefix_rows(r_sets, t).select(
-        "blk", "tok", "r_ord", F.col("size").alias("r_size"), F.col("qty").alias("r_qty"), F.col("nset").alias("r_nset"), F.col("lset").alias("r_lset")
-    )
+    a_side = prefix_rows(a_sets, t, size="size").select("sig", "blk", "tok", *SHAPE[1:])
+    r_side = prefix_rows(r_sets, t, size="size").select("blk", "tok", "r_ord", *[F.col(c).alias(f"r_{c}") for c in SHAPE[1:]])
     met = a_side.join(r_side, ["blk", "tok"]).filter(close_sizes("size", "r_size", t))
-    return met.select(
-        "sig",
-        (F.col("qty") == F.col("r_qty")).alias("same"),
-        listing_similarity(F.col("nset"), F.col("r_nset"), F.col("lset"), F.col("r_lset")).alias("score"),
-        "r_ord",
-    ).filter(F.col("score") > 0)
+    similarity = counted_similarity(
+        *[F.size(F.array_intersect(c, f"r_{c}")) for c in ("toks", "ltoks")], *[F.col(c) for c in ("size", "r_size", "lsize", "r_lsize")]
+    )
+    scored = met.select("sig", (F.col("qty") == F.col("r_qty")).alias("same"), similarity.alias("score"), "r_ord")
+    return scored.filter(F.col("score") > 0)
 
 
 def best_scores(a_sets: DataFrame, r_sets: DataFrame, threshold: float, rounds: tuple[float, ...] = ROUNDS) -> DataFrame:
@@ -62,6 +89,8 @@ def best_scores(a_sets: DataFrame, r_sets: DataFrame, threshold: float, rounds:
     rank = F.struct(F.col("score"), (-F.col("r_ord")).alias("neg"))
     left, settled = a_sets, []
     for t in steps:
+        if left.isEmpty():
+            break
         met = candidate_scores(left, r_sets, t)
         best = materialize(
             met.groupBy("sig").agg(F.max(F.when(F.col("same"), rank)).alias("same"), F.max(F.when(~F.col("same"), rank)).alias("cross")), "best"
@@ -70,8 +99,8 @@ def best_scores(a_sets: DataFrame, r_sets: DataFrame, threshold: float, rounds:
         known = (same >= max(t, threshold)) | (F.lit(t <= threshold) & ((cross >= threshold) | (F.greatest(same, cross) >= t)))
         done = best.filter(known) if t > 0 else best
         settled.append(done)
-        left = left.join(done.select("sig"), "sig", "left_anti")
-    return reduce(DataFrame.unionByName, settled)
+        left = materialize(left.join(done.select("sig"), "sig", "left_anti"), "left")
+    return reduce(DataFrame.unionByName, settled) if settled else None
 
 
 def match_listings(
@@ -93,16 +122,18 @@ def match_listings(
     ``payload`` rival columns come back with an ``m_`` prefix.  ``match_score`` of an
     unmatched row is the best score seen.  Copies of a listing are scored once.
     """
-    # Rows come down to distinct texts before these are cut into tokens.
     raw = list(dict.fromkeys([*block, quantity, name, label]))
-    looks = materialize(_shapes(anchors.select(*raw).distinct(), block, quantity, name, label), "anchor-looks")
-    r = _shapes(rivals.groupBy(*raw).agg(F.min(order).alias("_first")), block, quantity, name, label)
-    # Distinct shapes are read by several joins, so they are written once, with their tokens in order.
-    a_sets = materialize(looks.select("sig", "blk", "qty", "nset", "lset").dropDuplicates(["sig"]), "anchor-sets")
-    r_sets = materialize(r.groupBy("blk", "qty", "nset", "lset").agg(F.min("_first").alias("r_ord")), "rival-shapes")
-    freq = frequencies((a_sets, "nset"), (r_sets, "nset"))
-    a_sets = widen(materialize(with_ordered(a_sets, "sig", "nset", freq), "anchor-shapes"))
-    r_sets = materialize(with_ordered(r_sets, "r_ord", "nset", freq), "rival-tokens")
+    # Listings are read twice below, and preparing them costs more than writing them.
+    anchors = materialize(anchors, "anchors")
+    rivals = materialize(rivals.select(*dict.fromkeys([order, *raw, *payload])), "rivals")
+    # Rows come down to distinct texts before these are cut into tokens.
+    looks = materialize(_looks(widen(anchors.select(*raw).distinct()), block, quantity, name, label), "anchor-looks")
+    r_looks = materialize(_looks(widen(rivals.groupBy(*raw).agg(F.min(order).alias("_first"))), block, quantity, name, label), "rival-looks")
+    common = materialize(common_words(looks, r_looks), "common-words")
+    shaped = materialize(shapes(looks, common).withColumn("sig", F.md5(F.to_json(F.struct(*SHAPE)))), "anchor-shapes")
+    a_sets = widen(materialize(shaped.drop("look").dropDuplicates(["sig"]), "anchor-sets"))
+    r_shaped = shapes(r_looks, common).join(r_looks.select("look", "_first"), "look")
+    r_sets = materialize(r_shaped.groupBy(*SHAPE).agg(F.min("_first").alias("r_ord")), "rival-sets")
     best = best_scores(a_sets, r_sets, threshold, rounds)
     same_ok, cross_ok = F.col("same.score") >= threshold, F.col("cross.score") >= threshold
     chosen = best.select(
@@ -114,7 +145,8 @@ def match_listings(
     )
     details = rivals.select(F.col(order).alias("r_ord"), *[F.col(c).alias(f"m_{c}") for c in payload])
     keys = [f"_raw{k}" for k in range(len(raw))]
-    chosen = looks.select("sig", *[F.col(c).alias(k) for c, k in zip(raw, keys)]).join(chosen, "sig").join(details, "r_ord", "left").drop("r_ord", "sig")
+    named = looks.select("look", *[F.col(c).alias(k) for c, k in zip(raw, keys)]).join(shaped.select("look", "sig"), "look")
+    chosen = named.join(chosen, "sig").join(details, "r_ord", "left").drop("r_ord", "sig", "look")
     chosen = materialize(chosen, "choices")
     same_look = reduce(Column.__and__, [anchors[c].eqNullSafe(chosen[k]) for c, k in zip(raw, keys)])
     return (

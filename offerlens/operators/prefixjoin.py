@@ -32,10 +32,15 @@ def with_ordered(sets: DataFrame, key: str, column: str, freq: DataFrame, into:
     return sets.join(ordered, key, "left").withColumn(into, F.coalesce(into, F.array().cast("array<string>")))
 
 
-def prefix_rows(sets: DataFrame, t: float, column: str = "toks") -> DataFrame:
-    """One row for each prefix token of a set, with the size of the set as ``size``."""
-    n = F.size(column)
-    return sets.withColumn("size", n).withColumn("tok", F.explode(F.slice(column, F.lit(1), F.least(n, n - F.ceil(t * n - EPS).cast("int") + 1))))
+def prefix_rows(sets: DataFrame, t: float, column: str = "toks", size: str | None = None) -> DataFrame:
+    """One row for each prefix token of a set, with the size of the set as ``size``.
+
+    ``size`` names the size of the whole set where ``column`` holds only the tokens that others may share; sets that
+    hold too few of them to reach ``t`` give no row.
+    """
+    n, whole = F.size(column), F.col(size) if size else F.size(column)
+    front = F.least(n, n - F.ceil(t * whole - EPS).cast("int") + 1)
+    return sets.withColumn("size", whole).withColumn("tok", F.explode(F.slice(column, F.lit(1), F.greatest(front, F.lit(0)))))
 
 
 def close_sizes(a: str, b: str, t: float):

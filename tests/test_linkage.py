@@ -76,6 +76,35 @@ def test_match_listings_equals_brute_force(spark, rounds):
         assert row["match_score"] == pytest.approx(score, abs=6e-5)
 
 
+def test_words_of_one_side_make_no_contacts(spark, monkeypatch):
+    """Listings that differ only in words the other shop never uses are compared once; the choices stay exact."""
+    from offerlens.operators import linkage
+
+    rnd = random.Random(3)
+    def side(own, n):
+        names = [f"{own}{k} " + " ".join(rnd.sample(WORDS[:6], rnd.randint(2, 4))) for k in range(n)]
+        rows = [(k, rnd.choice([None, 2001]), rnd.choice([1, 6]), name, " ".join(name.split()[rnd.randint(0, 1) : 3])) for k, name in enumerate(names)]
+        return [*rows, (n, 2001, 1, own, own), (n + 1, None, 6, f"{own} alpha", "")]
+
+    anchors, rivals = side("maison", 120), side("domaine", 150)
+    contacts, plain = [], linkage.candidate_scores
+
+    def counted(a, r, t):
+        contacts.append(plain(a, r, t).count())
+        return plain(a, r, t)
+
+    monkeypatch.setattr(linkage, "candidate_scores", counted)
+    # One pack, no labels and all words but one in common: every anchor meets every rival, but only one shape of each is compared.
+    schema = "ord int, year int, quantity int, name_clean string, label_clean string"
+    alike = [[(k, 2001, 1, f"{own}{k} old vine rock", "") for k in range(200)] for own in ("maison", "domaine")]
+    got = match_listings(*[spark.createDataFrame(x, schema) for x in alike], block=["year"], payload=["ord"], threshold=0.4).collect()
+    assert {(r["match_method"], r["m_ord"], r["match_score"]) for r in got} == {("name_same_bundle", 0, 0.6)} and len(got) == 200
+    assert sum(contacts) < 10
+    want = _brute(anchors, rivals, 0.4)
+    got = match_listings(spark.createDataFrame(anchors, schema), spark.createDataFrame(rivals, schema), block=["year"], payload=["ord"], threshold=0.4).collect()
+    assert {r["ord"]: (r["match_method"], r["m_ord"], r["match_score"]) for r in got} == {k: (m, o, round(s, 4)) for k, (m, o, s) in want.items()}
+
+
 def _names(seed, n, years=("1999", "2004", "")):
     rnd = random.Random(seed)
     return [" ".join([rnd.choice(years)] + rnd.sample(WORDS, rnd.randint(1, 5)) + (["maison"] if rnd.random() < 0.8 else [])).strip() for _ in range(n)]
