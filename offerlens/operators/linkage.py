@@ -89,7 +89,7 @@ def best_scores(a_sets: DataFrame, r_sets: DataFrame, threshold: float, rounds:
     rank = F.struct(F.col("score"), (-F.col("r_ord")).alias("neg"))
     left, settled = a_sets, []
     for t in steps:
-        if left.isEmpty():
+        if settled and left.isEmpty():
             break
         met = candidate_scores(left, r_sets, t)
         best = materialize(
@@ -100,7 +100,7 @@ def best_scores(a_sets: DataFrame, r_sets: DataFrame, threshold: float, rounds:
         done = best.filter(known) if t > 0 else best
         settled.append(done)
         left = materialize(left.join(done.select("sig"), "sig", "left_anti"), "left")
-    return reduce(DataFrame.unionByName, settled) if settled else None
+    return reduce(DataFrame.unionByName, settled)
 
 
 def match_listings(

@@ -8,6 +8,8 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 # Settings every job of this library expects.  Sizes follow the cluster: shuffle
 # partitions start high and AQE coalesces them, and AQE splits skewed joins.
@@ -52,10 +54,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df, name: str):
-    """Write ``df`` to the scratch folder once and read it back, which cuts its lineage."""
+    """Write ``df`` to the scratch folder once and read it back, which cuts its lineage.
+
+    Columns that hold nothing but an untyped null cannot be written; they are put back after.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    untyped = [f.name for f in df.schema if isinstance(f.dataType, NullType)]
+    typed = df.drop(*untyped)
+    typed.write.parquet(path)
+    read = df.sparkSession.read.schema(typed.schema).parquet(path)
+    return read.select(*[F.lit(None).alias(c) if c in untyped else F.col(f"`{c}`") for c in df.columns]) if untyped else read
 
 
 def widen(df):

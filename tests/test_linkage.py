@@ -105,6 +105,17 @@ def test_words_of_one_side_make_no_contacts(spark, monkeypatch):
     assert {r["ord"]: (r["match_method"], r["m_ord"], r["match_score"]) for r in got} == {k: (m, o, round(s, 4)) for k, (m, o, s) in want.items()}
 
 
+def test_shops_with_nothing_in_common(spark):
+    """Empty catalogues, names that share no word, and columns without a type leave every anchor unmatched."""
+    schema = "ord int, year int, quantity int, name_clean string, label_clean string"
+    anchors = spark.createDataFrame([(1, 2001, 1, "alpha", ""), (2, None, 1, "", ""), (3, None, 1, None, None)], schema).withColumn("note", F.lit(None))
+    for rivals in ([], [(7, 2001, 1, "beta", "alpha"), (8, None, 1, "", "")]):
+        got = match_listings(anchors, spark.createDataFrame(rivals, schema), block=["year"], payload=["ord"], threshold=0.5)
+        assert [c for c in got.columns if c in anchors.columns] == anchors.columns
+        assert {(r["ord"], r["match_method"], r["match_score"], r["m_ord"], r["note"]) for r in got.collect()} == {(k, "no_match", 0.0, None, None) for k in (1, 2, 3)}
+    assert match_listings(anchors.limit(0), anchors, block=["year"], payload=["ord"], threshold=0.5).count() == 0
+
+
 def _names(seed, n, years=("1999", "2004", "")):
     rnd = random.Random(seed)
     return [" ".join([rnd.choice(years)] + rnd.sample(WORDS, rnd.randint(1, 5)) + (["maison"] if rnd.random() < 0.8 else [])).strip() for _ in range(n)]
